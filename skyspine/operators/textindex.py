@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,8 +50,6 @@ def read_text_index(spark: SparkSession, path: str) -> DataFrame:
 
 def _words(term: str, stop_words: frozenset[str]) -> list[tuple[int, str]]:
     """Words of a term with their offsets; stop words leave a gap."""
-    import regex
-
     found = regex.findall(r"[\p{L}\p{N}]+", term.lower())
     kept = [(i, w) for i, w in enumerate(found) if w not in stop_words]
     return [(i - kept[0][0], w) for i, w in kept]
@@ -85,10 +84,8 @@ def text_search(postings: DataFrame, query: Query, key: str, docs: DataFrame | N
                   for t, o, n in use]))])
     hits = postings.where(F.col("token").isin(list(wanted)))
     if "bucket" in postings.columns:
-        # The stored index is partitioned by word hash, so the scan is cut to the words' folders.
-        places = postings.sparkSession.createDataFrame([(w,) for w in wanted], "token STRING")
-        folders = [r[0] for r in places.select(_bucket(F.col("token"))).distinct().collect()]
-        hits = hits.where(F.col("bucket").isin(folders))
+        # Constant expressions: the scan of a stored index is cut to the words' folders.
+        hits = hits.where(F.col("bucket").isin(*[_bucket(F.lit(w)) for w in wanted]))
     hits = hits.select(key, "pos", F.explode(uses[F.col("token")]).alias("use"))
     start = F.when(F.col("use.words") == 1, F.lit(0)).otherwise(F.col("pos") - F.col("use.offset"))
     found = (hits.groupBy(key, F.col("use.term").alias("term"), F.col("use.words").alias("words"),

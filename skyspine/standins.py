@@ -262,7 +262,7 @@ DOMAIN = {
     "operators": "v_operators", "part135_aircraft": "v_link", "faa_registry": "v_registry",
     "aircraft_ref": "v_ref", "aircraft_photos": "v_photos", "airports": "v_airports", "runways": "v_runways",
     "faa_airport_detail": "v_detail", "t100_segment": "v_t100", "aircraft_type_ref": "v_type_ref",
-    "service_logs": "v_logs", "notifications": "v_notes", "services": "v_jobs", "run_events": "v_run_events",
+    "emails": "v_emails", "service_logs": "v_logs", "notifications": "v_notes", "services": "v_jobs", "run_events": "v_run_events",
 }
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from skyspine.workload.registry import QUERIES, SQL
 
-FAMILIES = ["fleet"]
+FAMILIES = ["fleet", "routes", "airports"]
 
 
 def _load() -> None:

@@ -6,7 +6,7 @@ import importlib
 
 from skyspine.workload.registry import QUERIES, SQL
 
-FAMILIES = ["fleet", "routes", "airports"]
+FAMILIES = ["fleet", "routes", "airports", "cleaning", "jobs"]
 
 
 def _load() -> None:

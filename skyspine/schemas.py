@@ -85,6 +85,10 @@ def table_schema(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLE_DDL[name])
 
 
+def column_names(name: str) -> list[str]:
+    return [c.strip().split(" ")[0] for c in TABLE_DDL[name].replace("(18,2)", "").split(",")]
+
+
 # Landed documents.
 CLOUDS = "ARRAY<STRUCT<cover: STRING, base: INT>>"
 METAR_DDL = ("icaoId STRING, name STRING, obsTime BIGINT, fltCat STRING, altim DOUBLE, wdir STRING, "

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from skyspine.operators.upsert import upsert_partial
 
-COMMIT_DDL = "generation BIGINT, part STRING, replaces BOOLEAN, source STRING, batch BIGINT"
+COMMIT_DDL = "generation BIGINT, shard STRING, replaces BOOLEAN, source STRING, batch BIGINT"
 
 
 @dataclass(frozen=True)
@@ -43,22 +43,22 @@ class StoredTable:
             return spark.createDataFrame([], COMMIT_DDL)
 
     def live(self, spark: SparkSession) -> DataFrame:
-        """(part, generation) now valid: the newest of each part since the last full replace."""
+        """(shard, generation) now valid: the newest of each part since the last full replace."""
         log = self.commits(spark)
         since = log.where("replaces").agg(F.coalesce(F.max("generation"), F.lit(0)).alias("g")).scalar()
-        return (log.where(F.col("part").isNotNull() & (F.col("generation") >= since))
-                .groupBy("part").agg(F.max("generation").alias("generation")))
+        return (log.where(F.col("shard").isNotNull() & (F.col("generation") >= since))
+                .groupBy("shard").agg(F.max("generation").alias("generation")))
 
     def read(self, spark: SparkSession, parts: DataFrame | None = None) -> DataFrame:
-        """The table, or only the given parts (a column ``part``).
+        """The table, or only the given parts (a column ``shard``).
 
         The list of live folders is metadata of one row per partition; it becomes the scan's file list.
         """
         live = self.live(spark)
         if parts is not None:
-            live = live.join(parts, "part", "left_semi")
-        folders = [f"{self.root}/data/generation={g}/part={p}" for p, g in
-                   live.select("part", "generation").sort("part").collect()]
+            live = live.join(parts, "shard", "left_semi")
+        folders = [f"{self.root}/data/generation={g}/shard={p}" for p, g in
+                   live.select("shard", "generation").sort("shard").collect()]
         if not folders:
             return spark.createDataFrame([], self.schema)
         return spark.read.schema(self.schema).parquet(*folders)
@@ -69,17 +69,17 @@ class StoredTable:
         generation = newest + 1
         folder = f"{self.root}/data/generation={generation}"
         names = [f.name for f in self.schema.fields]
-        (df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], self._part().alias("part"))
-         .hint("rebalance", F.col("part"))
-         .write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("part").parquet(folder))
-        wrote = spark.createDataFrame([(None,)], "part STRING")
+        (df.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields], self._part().alias("shard"))
+         .hint("rebalance", F.col("shard"))
+         .write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("shard").parquet(folder))
+        wrote = spark.createDataFrame([(None,)], "shard STRING")
         try:
-            found = spark.read.schema(T.StructType([T.StructField("part", T.StringType())])).parquet(folder)
-            wrote = wrote.unionByName(found.select("part").distinct())
+            found = spark.read.schema(T.StructType([T.StructField("shard", T.StringType())])).parquet(folder)
+            wrote = wrote.unionByName(found.select("shard").distinct())
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
-        (wrote.select(F.lit(generation).cast("bigint").alias("generation"), "part", F.lit(replaces).alias("replaces"),
+        (wrote.select(F.lit(generation).cast("bigint").alias("generation"), "shard", F.lit(replaces).alias("replaces"),
                       F.lit(source).cast("string").alias("source"), F.lit(batch).cast("bigint").alias("batch"))
          .coalesce(1).write.mode("append").json(f"{self.root}/commits"))
 
@@ -98,7 +98,7 @@ class StoredTable:
             done = self.commits(spark).where((F.col("source") == source) & (F.col("batch") == batch_id))
             if not done.isEmpty():
                 return
-        touched = batch.select(self._part().alias("part")).distinct()
+        touched = batch.select(self._part().alias("shard")).distinct()
         target = self.read(spark, touched)
         self._write(upsert_partial(target, batch, list(self.keys), update_cols, order), False, source, batch_id)
 

@@ -58,12 +58,13 @@ def read_banner_table(spark: SparkSession, path: str, position: bool = False) ->
     banner, header = [r["value"] for r in at_start.limit(2).collect()]
     empty = spark.range(1).select(F.schema_of_csv(F.lit(header)))
     width = len(T.StructType.fromDDL(empty.first()[0][len("STRUCT<"):-1]).fields)
-    names_row = spark.range(1).select(F.from_csv(F.lit(header), ", ".join(f"c{i} STRING" for i in range(width)))).first()
+    names_row = spark.range(1).select(F.from_csv(F.lit(header), ", ".join(f"c{i} STRING" for i in range(width)),
+                                                   {"escape": '"', "ignoreLeadingWhiteSpace": "true"})).first()
     names = [(n or f"_c{i}").strip() for i, n in enumerate(names_row[0])]
     fields = ", ".join(f"`c{i}` STRING" for i in range(width))
     body = lines.select("value", *([file_position().alias(POSITION)] if position else []))
     body = body.where((F.col("value") != F.lit(header)) & (F.col("value") != F.lit(banner)))
-    cells = F.from_csv("value", fields, {"escape": '"'})
+    cells = F.from_csv("value", fields, {"escape": '"', "ignoreLeadingWhiteSpace": "true"})
     keep = [POSITION] if position else []
     return body.select(cells.alias("r"), *keep).select(
         *[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)], *keep)

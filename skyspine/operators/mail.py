@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import blank_to_null
@@ -22,7 +23,7 @@ from skyspine.operators.textindex import Query, build_text_index, text_search
 BODY_DEPTH = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _deep_body(payload: pd.Series) -> pd.Series:
     """Bodies of messages nested deeper than the column expression reaches."""
     def text(data: str) -> str:
@@ -77,7 +78,7 @@ def mime_body(payload_json: Column, depth: int = BODY_DEPTH) -> Column:
     return strip(F.coalesce(shallow, _deep_body(F.when(deep, payload_json)), F.lit("")))
 
 
-@F.pandas_udf("struct<name: string, addr: string>")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("addr", T.StringType())]))
 def _odd_address(header: pd.Series) -> pd.DataFrame:
     pairs = [email.utils.parseaddr(h) if h is not None else (None, None) for h in header]
     return pd.DataFrame(pairs, columns=["name", "addr"])

@@ -262,13 +262,52 @@ DOMAIN = {
     "operators": "v_operators", "part135_aircraft": "v_link", "faa_registry": "v_registry",
     "aircraft_ref": "v_ref", "aircraft_photos": "v_photos", "airports": "v_airports", "runways": "v_runways",
     "faa_airport_detail": "v_detail", "t100_segment": "v_t100", "aircraft_type_ref": "v_type_ref",
-    "emails": "v_emails", "service_logs": "v_logs", "notifications": "v_notes", "services": "v_jobs", "run_events": "v_run_events",
+    "service_logs": "v_logs", "notifications": "v_notes", "services": "v_jobs", "run_events": "v_run_events",
 }
 
 
+def _clouds(*layers: tuple[str, str]) -> str:
+    items = ", ".join(f"named_struct('cover', {c}, 'base', {b})" for c, b in layers)
+    return f"filter(array({items}), x -> x.cover IS NOT NULL)"
+
+
+# Stand-ins of landed documents: the flat view with its nested columns put together.
+def _metar(flat: DataFrame) -> DataFrame:
+    return flat.selectExpr("report_id", "station", "obs_time", "name", "flt_cat", "wdir", "wspd", "wgst", "visib", "temp",
+                           "dewp", "altim", _clouds(("cover1", "base1"), ("cover2", "base2")) + " AS clouds", "raw_ob")
+
+
+def _taf(flat: DataFrame) -> DataFrame:
+    first = ("named_struct('timeFrom', from1, 'timeTo', to1, 'fcstChange', change1, 'probability', prob1, 'wdir', wdir1, "
+             "'wspd', wspd1, 'wgst', wgst1, 'clouds', " + _clouds(("'BKN'", "wspd1 * 100")) + ")")
+    second = ("named_struct('timeFrom', from2, 'timeTo', to2, 'fcstChange', change2, 'probability', CAST(NULL AS INT), "
+              "'wdir', CAST(NULL AS BIGINT), 'wspd', CAST(NULL AS BIGINT), 'wgst', CAST(NULL AS BIGINT), 'clouds', "
+              + _clouds(("CAST(NULL AS STRING)", "wspd1")) + ")")
+    return flat.selectExpr("taf_id", "station", "issue_time", "raw_taf", f"array({first}, {second}) AS fcsts")
+
+
+def _hazards(flat: DataFrame, vertices: DataFrame) -> DataFrame:
+    from skyspine.operators.hazards import polygons
+    return flat.join(polygons(vertices), "hazard_id")
+
+
+def _emails(flat: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from skyspine.functions.text import epoch_ms_ts
+    return flat.withColumn("internal_ts", epoch_ms_ts(F.col("internal_ms")).cast("timestamp_ntz"))
+
+
 def domain_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All domain tables over one test data folder."""
     loaders = {name: (lambda v=v: view(spark, sf_dir, v)) for name, v in DOMAIN.items()}
     loaders.update({v: (lambda v=v: view(spark, sf_dir, v)) for v in VIEWS})
+    loaders.update({
+        "emails": lambda: _emails(view(spark, sf_dir, "v_emails")),
+        "metar": lambda: _metar(view(spark, sf_dir, "v_metar")),
+        "taf": lambda: _taf(view(spark, sf_dir, "v_taf")),
+        "hazards": lambda: _hazards(view(spark, sf_dir, "v_hazards"), view(spark, sf_dir, "v_vertices")),
+        "pireps": lambda: view(spark, sf_dir, "v_pireps").withColumnsRenamed({"lat": "report_lat", "lon": "report_lon"}),
+    })
     loaders.update({t: (lambda t=t: raw_table(spark, sf_dir, t)) for t in RAW})
     return Tables(loaders)

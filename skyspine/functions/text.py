@@ -60,22 +60,21 @@ def header_map(headers: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda h: F.struct(F.lower(h["name"]), h["value"])))
 
 
-_ANGLE = '^\\s*(.*?)\\s*<\\s*([^<>]*?)\\s*>\\s*$'
+_ATOM = r'[^\s()<>@,:;"\[\]\\]+'
+_SPEC = f"{_ATOM}@{_ATOM}"
+_QUOTED = r'"[^"\\()<>@:;\[\]]*"'
+# ``address``, ``<address>``, ``Name <address>`` and ``"Name" <address>``; every other form needs the mail grammar.
+COMMON_ADDRESS = rf"^ *(?:{_SPEC}|(?:(?:{_QUOTED}|{_ATOM}(?: {_ATOM})*) ?)?<{_SPEC}>) *$"
 
 
 def address_name(col: Column) -> Column:
-    """Display name of ``Name <address>``; blank when there is only an address."""
-    name = F.regexp_extract(col, _ANGLE, 1)
-    return F.regexp_replace(F.regexp_replace(name, '^"(.*)"$', "$1"), '\\\\(.)', "$1")
+    """Display name of an address in a common form; blank when there is only an address."""
+    return F.btrim(F.regexp_extract(col, '^ *"?(.*?)"? ?<', 1))
 
 
 def address_spec(col: Column) -> Column:
-    """The address of ``Name <address>`` or of a bare address."""
-    return F.when(col.rlike(_ANGLE), F.regexp_extract(col, _ANGLE, 2)).otherwise(F.btrim(col))
-
-
-# Comments, escapes, several addresses and routes need the full mail grammar.
-ODD_ADDRESS = '[(),;:\\\\\\[\\]]|".*".*"|<.*<'
+    """The address of a common form."""
+    return F.regexp_extract(col, f"({_SPEC})>? *$", 1)
 
 
 def epoch_ms_ts(col: Column) -> Column:

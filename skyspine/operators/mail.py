@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import blank_to_null
-from skyspine.functions.text import (ODD_ADDRESS, address_name, address_spec, decode_b64url, epoch_ms_ts, header_value,
+from skyspine.functions.text import (COMMON_ADDRESS, address_name, address_spec, decode_b64url, epoch_ms_ts, header_value,
                                      search_document, strip_tags)
 from skyspine.functions.clean import strip
 from skyspine.operators.ordering import down_nulls_last, page, up
@@ -61,8 +61,8 @@ def mime_body(payload_json: Column, depth: int = BODY_DEPTH) -> Column:
     may be nested deeper goes through the Arrow function, so no level is cut off.
     """
     def level(node: Column, left: int) -> Column:
-        kind = F.variant_get(node, "$.mimeType", "string")
-        data = blank_to_null(F.variant_get(node, "$.body.data", "string"))
+        kind = F.try_variant_get(node, "$.mimeType", "string")
+        data = blank_to_null(F.try_variant_get(node, "$.body.data", "string"))
         plain = F.when((kind == "text/plain") & data.isNotNull(), decode_b64url(data))
         html = F.when((kind == "text/html") & data.isNotNull(), strip_tags(decode_b64url(data)))
         if left == 0:
@@ -86,7 +86,7 @@ def _odd_address(header: pd.Series) -> pd.DataFrame:
 
 def parse_address(header: Column) -> Column:
     """(name, addr) of a sender header. Common forms are column expressions, odd ones an Arrow function."""
-    odd = header.rlike(ODD_ADDRESS)
+    odd = ~header.rlike(COMMON_ADDRESS)
     common = F.struct(address_name(header).alias("name"), address_spec(header).alias("addr"))
     return F.when(header.isNull(), F.struct(F.lit("").alias("name"), F.lit("").alias("addr"))).when(
         odd, _odd_address(F.when(odd, header))).otherwise(common)

@@ -6,7 +6,7 @@ import importlib
 
 from skyspine.workload.registry import QUERIES, SQL
 
-FAMILIES = ["fleet", "routes", "airports", "cleaning", "jobs", "loads", "weather"]
+FAMILIES = ["fleet", "routes", "airports", "cleaning", "jobs", "loads", "weather", "mail"]
 
 
 def _load() -> None:

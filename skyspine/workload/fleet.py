@@ -217,7 +217,7 @@ def _(t, spark):
                                                                             "operator_name")
 
 
-@query("optional_filters_operator", SPINE_SQL + " WHERE o.operator_name = 'Supplier#000000005'")
+@query("optional_filters", SPINE_SQL + " WHERE o.operator_name = 'Supplier#000000005'")
 def _(t, spark):
     return plans.fleet_filter(t, operator="Supplier#000000005")
 

@@ -55,7 +55,7 @@ def found(condition: str) -> str:
     return f"WITH p AS ({DOC_POSTINGS}) SELECT doc_id FROM documents WHERE {condition}"
 
 
-@query("text_search_all", found(f"doc_id IN ({with_word('tion')}) AND doc_id IN ({with_word('ing')})"))
+@query("text_search", found(f"doc_id IN ({with_word('tion')}) AND doc_id IN ({with_word('ing')})"))
 def _(t, spark):
     return text_search(doc_postings(t), Query((Clause(("tion", "Ing the")),)), "doc_id")
 

@@ -42,9 +42,11 @@ def strip_tags(col: Column) -> Column:
 
 
 def decode_b64url(col: Column) -> Column:
-    """URL-safe base64 to text; bytes that are no UTF-8 are dropped."""
-    std = F.translate(col, "-_", "+/")
-    return F.replace(F.make_valid_utf8(F.unbase64(std).cast("string")), F.lit("\ufffd"), F.lit(""))
+    """URL-safe base64, padded or not, to text; bytes that are no UTF-8 are dropped, other data is blank."""
+    std = F.replace(F.replace(col, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    padded = F.concat(std, F.repeat(F.lit("="), F.pmod(-F.length(col), F.lit(4))))
+    text = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.when(col.isNotNull(), F.coalesce(F.replace(text, F.lit("\ufffd"), F.lit("")), F.lit("")))
 
 
 def header_value(headers: Column, name: str) -> Column:

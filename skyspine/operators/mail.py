@@ -62,20 +62,20 @@ def mime_body(payload_json: Column, depth: int = BODY_DEPTH) -> Column:
     """
     def level(node: Column, left: int) -> Column:
         kind = F.try_variant_get(node, "$.mimeType", "string")
-        data = blank_to_null(F.try_variant_get(node, "$.body.data", "string"))
-        plain = F.when((kind == "text/plain") & data.isNotNull(), decode_b64url(data))
-        html = F.when((kind == "text/html") & data.isNotNull(), strip_tags(decode_b64url(data)))
-        if left == 0:
-            inner = F.lit(None).cast("string")
-        else:
+        text = decode_b64url(blank_to_null(F.try_variant_get(node, "$.body.data", "string")))
+        inner = F.lit(None).cast("string")
+        if left:
             parts = F.try_variant_get(node, "$.parts", "array<variant>")
             texts = F.transform(parts, lambda p: level(p, left - 1))
             inner = F.try_element_at(F.filter(texts, lambda x: x != ""), F.lit(1))
-        return F.coalesce(plain, inner, html, F.lit(""))
+        return F.coalesce(F.when(kind == "text/plain", text), inner, F.when(kind == "text/html", strip_tags(text)),
+                          F.lit(""))
 
     deep = F.regexp_count(payload_json, F.lit('"parts"\\s*:')) > depth
-    shallow = F.when(~deep, level(F.parse_json(F.when(~deep, payload_json)), depth))
-    return strip(F.coalesce(shallow, _deep_body(F.when(deep, payload_json)), F.lit("")))
+    # The one-element transform parses each document once instead of once per field.
+    parsed = F.array(F.parse_json(F.when(~deep, payload_json)))
+    shallow = F.element_at(F.transform(parsed, lambda node: level(node, depth)), 1)
+    return strip(F.coalesce(F.when(~deep, shallow), _deep_body(F.when(deep, payload_json)), F.lit("")))
 
 
 @F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("addr", T.StringType())]))

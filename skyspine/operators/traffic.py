@@ -52,16 +52,16 @@ def route_totals(routes: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def route_summary(routes: DataFrame) -> DataFrame:
-    """One row per carrier, origin and destination; labels are those of the newest period."""
-    def newest(column: str):
-        return F.max_by(column, F.struct("year", "month", column)).alias(column)
-
+    """One row per carrier, origin and destination; the labels are those of its newest period."""
+    labels = ["carrier_name", "origin_city", "origin_state", "dest_city", "dest_state"]
+    newest = F.max(F.struct("year", "month", *labels)).alias("_newest")
     return (routes.groupBy("unique_carrier", "origin", "dest")
-            .agg(newest("carrier_name"), newest("origin_city"), newest("origin_state"), newest("dest_city"),
-                 newest("dest_state"), F.sum("departures").alias("departures"),
-                 F.sum("passengers").alias("passengers"), F.sum("seats").alias("seats"), _distance(), _months())
-            .withColumn("origin_city", city_of(F.col("origin_city")))
-            .withColumn("dest_city", city_of(F.col("dest_city"))))
+            .agg(newest, F.sum("departures").alias("departures"), F.sum("passengers").alias("passengers"),
+                 F.sum("seats").alias("seats"), _distance(), _months())
+            .select("unique_carrier", "origin", "dest",
+                    *[city_of(F.col(f"_newest.{c}")).alias(c) if c.endswith("city") else F.col(f"_newest.{c}")
+                      for c in labels],
+                    "departures", "passengers", "seats", "distance", "months"))
 
 
 def route_monthly(routes: DataFrame) -> DataFrame:

@@ -125,7 +125,10 @@ def _(t, spark):
 
 
 def b64url(col):
-    return F.rtrim(F.translate(F.base64(F.encode(col, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
+    coded = F.base64(F.encode(col, "UTF-8"))
+    for old, new in (("\r\n", ""), ("+", "-"), ("/", "_")):
+        coded = F.replace(coded, F.lit(old), F.lit(new))
+    return F.rtrim(coded, F.lit("="))
 
 
 @query("decode_b64url", "SELECT doc_id, text FROM documents")

@@ -60,13 +60,13 @@ def _(t, spark):
     return as_double(traffic.route_totals(rows))
 
 
-SUMMARY = """SELECT unique_carrier, origin, dest, arg_max(carrier_name, (year, month, carrier_name)) AS carrier_name,
-  split_part(arg_max(origin_city, (year, month, origin_city)), ',', 1) AS origin_city,
-  arg_max(origin_state, (year, month, origin_state)) AS origin_state,
-  split_part(arg_max(dest_city, (year, month, dest_city)), ',', 1) AS dest_city,
-  arg_max(dest_state, (year, month, dest_state)) AS dest_state, sum(departures)::DOUBLE AS departures,
-  sum(passengers)::DOUBLE AS passengers, sum(seats)::DOUBLE AS seats, round(max(distance))::DOUBLE AS distance,
-  count(DISTINCT (year, month)) AS months FROM {source} GROUP BY unique_carrier, origin, dest"""
+SUMMARY = """SELECT unique_carrier, origin, dest, newest[3] AS carrier_name, split_part(newest[4], ',', 1) AS origin_city,
+  newest[5] AS origin_state, split_part(newest[6], ',', 1) AS dest_city, newest[7] AS dest_state, departures, passengers, seats,
+  distance, months FROM (SELECT unique_carrier, origin, dest,
+    max(row(year, month, carrier_name, origin_city, origin_state, dest_city, dest_state)) AS newest,
+    sum(departures)::DOUBLE AS departures, sum(passengers)::DOUBLE AS passengers, sum(seats)::DOUBLE AS seats,
+    round(max(distance))::DOUBLE AS distance, count(DISTINCT (year, month)) AS months
+  FROM {source} GROUP BY unique_carrier, origin, dest) sums"""
 
 
 @query("route_summary", SUMMARY.format(source=ROUTES))

@@ -96,12 +96,14 @@ MESSAGE_DDL = "id STRING, threadId STRING, snippet STRING, labelIds ARRAY<STRING
 HEADERS_DDL = "ARRAY<STRUCT<name: STRING, value: STRING>>"
 
 
-def message_rows(messages: DataFrame, column: str = "value", mailbox: Column | None = None) -> DataFrame:
+def message_rows(messages: DataFrame, column: str = "value", mailbox: Column | None = None,
+                 keep: list[str] | None = None) -> DataFrame:
     """Landed message documents (JSON text) to rows of the mail table."""
     doc = F.from_json(column, MESSAGE_DDL)
     payload = F.get_json_object(column, "$.payload")
     headers = F.from_json(F.get_json_object(column, "$.payload.headers"), HEADERS_DDL)
-    rows = messages.select(doc.alias("d"), payload.alias("payload"), headers.alias("h"),
+    keep = keep or []
+    rows = messages.select(*keep, doc.alias("d"), payload.alias("payload"), headers.alias("h"),
                            (mailbox if mailbox is not None else F.lit(None).cast("string")).alias("mailbox"))
     sender = parse_address(header_value(F.col("h"), "from"))
     return rows.withColumn("sender", sender).select(
@@ -112,7 +114,7 @@ def message_rows(messages: DataFrame, column: str = "value", mailbox: Column | N
         F.coalesce("d.snippet", F.lit("")).alias("snippet"),
         mime_body(F.col("payload")).alias("body"),
         F.coalesce("d.labelIds", F.array().cast("array<string>")).alias("labels"),
-        epoch_ms_ts(F.col("d.internalDate")).alias("internal_ts"))
+        epoch_ms_ts(F.col("d.internalDate")).alias("internal_ts"), *keep)
 
 
 def merge_pages(pages: DataFrame) -> DataFrame:

@@ -15,7 +15,10 @@ from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import drop_blank_key, int_or_zero, norm_tail, row_total, strip, strip_all, yes_no
 from skyspine.functions.decode import classify_category, decode_passthrough
 from skyspine.operators.keys import keep_first, typed_load
+from skyspine.operators.mail import message_rows
+from skyspine.operators.upsert import photo_results
 from skyspine.sources import text as X
+from skyspine.sources.json_feeds import read_mail_json, read_photo_answers
 from skyspine.sources.store import StoredTable, load_report
 
 POSITION = X.POSITION
@@ -175,6 +178,35 @@ def ingest_traffic(spark: SparkSession, files: dict[str, str], root: str) -> Dat
     return report
 
 
+def ingest_photos(spark: SparkSession, landing: str, root: str) -> DataFrame:
+    """Photo answers: "no photo" is stored too, a failed fetch is not and stays in the backlog."""
+    answers = read_photo_answers(spark, landing)
+    target = stored(root, "aircraft_photos")
+    target.upsert(photo_results(answers, F.current_timestamp()), S.UPDATE_COLUMNS["aircraft_photos"],
+                  order=[F.col("photo_id").desc_nulls_last()])
+    return load_report("aircraft_photos", answers, processed=F.count_if("fetched_ok"),
+                       photos=F.count_if(F.col("fetched_ok") & F.col("local_path").isNotNull()),
+                       errors=F.count_if(~F.col("fetched_ok")))
+
+
+def _ingest_messages(messages: DataFrame, root: str, update_cols: list[str]) -> DataFrame:
+    """Of several copies of one message in a landing the last one counts."""
+    stored(root, "emails").upsert(messages, update_cols, order=[F.col(POSITION).desc()])
+    return load_report("emails", messages)
+
+
+def ingest_mail(spark: SparkSession, landing: str, root: str) -> DataFrame:
+    """Messages of one account."""
+    return _ingest_messages(read_mail_json(spark, landing, position=True), root, S.UPDATE_COLUMNS["emails"])
+
+
+def ingest_mailboxes(spark: SparkSession, landing: str, root: str) -> DataFrame:
+    """Messages of all accounts: ``landing`` holds one folder ``mailbox=<address>`` per account."""
+    lines = spark.read.text(landing).select("value", "mailbox", X.file_position().alias(POSITION))
+    rows = message_rows(lines, mailbox=F.col("mailbox"), keep=[POSITION])
+    return _ingest_messages(rows, root, S.UPDATE_COLUMNS["emails_domain_wide"])
+
+
 INGESTS = {
     "faa_registry": ingest_registry,
     "faa_reference": ingest_reference,
@@ -183,4 +215,7 @@ INGESTS = {
     "bts_aircraft_types": ingest_aircraft_types,
     "ourairports": ingest_airports,
     "faa_airports": ingest_airport_detail,
+    "photos": ingest_photos,
+    "mail": ingest_mail,
+    "mailboxes": ingest_mailboxes,
 }

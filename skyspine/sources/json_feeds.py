@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skyspine import schemas as S
 from skyspine.functions.weather import first_photo
 from skyspine.operators.mail import message_rows
+from skyspine.sources.text import POSITION, file_position
 
 WEATHER = {"metar": S.METAR_DDL, "taf": S.TAF_DDL, "hazard": S.HAZARD_DDL, "pirep": S.PIREP_DDL}
 
@@ -23,9 +24,21 @@ def read_photo_json(answers: DataFrame, column: str = "value") -> DataFrame:
     return answers.select(*rest, first_photo(F.from_json(column, S.PHOTO_DDL)["photos"]).alias("p")).select(*rest, "p.*")
 
 
-def read_mail_json(spark: SparkSession, path: str) -> DataFrame:
+def read_mail_json(spark: SparkSession, path: str, mailbox: str | None = None, position: bool = False) -> DataFrame:
     """Mail messages, one document per line, to rows of the mail table."""
-    return message_rows(spark.read.text(path))
+    lines = spark.read.text(path)
+    if position:
+        lines = lines.select("value", file_position().alias(POSITION))
+    return message_rows(lines, mailbox=F.lit(mailbox).cast("string"), keep=[POSITION] if position else [])
+
+
+def read_photo_answers(spark: SparkSession, path: str) -> DataFrame:
+    """Landed answers of the photo source: tail, HTTP status and body; only a status of 200 counts as fetched."""
+    answers = spark.read.schema("n_number STRING, status INT, body STRING").json(path)
+    rows = answers.select("n_number", (F.col("status") == 200).alias("fetched_ok"), F.col("body").alias("value"))
+    held = F.col("has_photo") & F.col("thumbnail_url").isNotNull()
+    return read_photo_json(rows).withColumn(
+        "local_path", F.when(held, F.concat(F.lit("/photos/"), F.col("n_number"), F.lit(".jpg"))))
 
 
 def read_account_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -10,7 +10,9 @@ import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skyspine.functions.text import epoch_ms_ts
 from skyspine.tables import Tables
 
 RAW = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -286,15 +288,18 @@ def _taf(flat: DataFrame) -> DataFrame:
     return flat.selectExpr("taf_id", "station", "issue_time", "raw_taf", f"array({first}, {second}) AS fcsts")
 
 
+def polygons(vertices: DataFrame) -> DataFrame:
+    """Vertices as the ``coords`` array of a landed hazard: five per polygon, see ``_SHAPE``."""
+    ordered = F.array_sort(F.collect_list(F.struct("seq", "lat", "lon")))
+    return vertices.groupBy("hazard_id").agg(
+        F.transform(ordered, lambda v: F.struct(v["lat"].alias("lat"), v["lon"].alias("lon"))).alias("coords"))
+
+
 def _hazards(flat: DataFrame, vertices: DataFrame) -> DataFrame:
-    from skyspine.operators.hazards import polygons
     return flat.join(polygons(vertices), "hazard_id")
 
 
 def _emails(flat: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from skyspine.functions.text import epoch_ms_ts
     return flat.withColumn("internal_ts", epoch_ms_ts(F.col("internal_ms")).cast("timestamp_ntz"))
 
 

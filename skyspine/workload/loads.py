@@ -13,6 +13,7 @@ from skyspine.sources import store
 from skyspine.sources import text as X
 from skyspine.session import scratch
 from skyspine.streaming.upsert_stream import stream_upsert
+from skyspine.workload.cleaning import WS
 from skyspine.workload.landing import csv_line, land_lines, zip_batches
 from skyspine.workload.registry import query
 
@@ -398,3 +399,46 @@ def _(t, spark):
     store.register_views(t, ["charter_fleet", "airport_capability", "charter_routes"])
     return spark.sql("SELECT operator_name, count(*) AS tails, count(*) FILTER (WHERE mode_s_hex <> '') AS ready "
                      "FROM charter_fleet GROUP BY operator_name")
+
+
+@query("ingest_photos", """SELECT n_number, CASE WHEN has_photo THEN photo_id END AS photo_id, has_photo,
+  CASE WHEN has_photo THEN '/photos/' || n_number || '.jpg' END AS local_path,
+  CASE WHEN has_photo THEN photographer END AS photographer FROM v_photos WHERE n_number IN (SELECT n_number FROM v_registry
+  WHERE status_code <> 'V')""")
+def _(t, spark):
+    landing, root = scratch(spark, "photos"), scratch(spark, "tables")
+    photo = F.struct(F.col("photo_id").alias("id"), F.col("page_link").alias("link"), "photographer",
+                     F.struct(F.col("thumbnail_url").alias("src")).alias("thumbnail"))
+    photos = F.when(F.col("has_photo"), F.array(photo)).otherwise(F.slice(F.array(photo), 1, 0))
+    fetched = t.faa_registry.select("n_number", F.when(F.col("status_code") != "V", 200).otherwise(429).alias("status"))
+    (t.aircraft_photos.join(fetched, "n_number")
+     .select("n_number", "status", F.to_json(F.struct(photos.alias("photos"))).alias("body")).write.json(landing))
+    ingest.ingest_photos(spark, landing, root)
+    return ingest.stored(root, "aircraft_photos").read(spark).select("n_number", "photo_id", "has_photo", "local_path",
+                                                                     "photographer")
+
+
+@query("ingest_mailboxes", f"""SELECT id, mailbox, from_addr, from_name, subject, 'new ' || snippet AS snippet,
+  trim(body, {WS}) AS body FROM v_emails WHERE mailbox IS NOT NULL""")
+def _(t, spark):
+    landing, root = scratch(spark, "mail"), scratch(spark, "tables")
+    held = t.v_emails.where("mailbox IS NOT NULL")
+
+    def message(rows):
+        sender = F.when(F.col("from_name") == "", F.col("from_addr")).otherwise(
+            F.concat("from_name", F.lit(" <"), "from_addr", F.lit(">")))
+        named = F.array(F.struct(F.lit("From").alias("name"), sender.alias("value")),
+                        F.struct(F.lit("Subject").alias("name"), F.col("subject").alias("value")))
+        body = F.struct(F.replace(F.base64(F.encode("body", "UTF-8")), F.lit("\r\n"), F.lit("")).alias("data"))
+        payload = F.struct(F.lit("text/plain").alias("mimeType"), named.alias("headers"), body.alias("body"))
+        return rows.select(F.to_json(F.struct("id", F.col("thread_id").alias("threadId"), "snippet",
+                                              payload.alias("payload"))).alias("value"), "mailbox")
+
+    message(held).write.partitionBy("mailbox").text(landing)
+    ingest.ingest_mailboxes(spark, landing, root)
+    again = scratch(spark, "mail")
+    changed = held.withColumn("snippet", F.concat(F.lit("new "), "snippet")).withColumn("subject", F.lit("other"))
+    message(changed).write.partitionBy("mailbox").text(again)
+    ingest.ingest_mailboxes(spark, again, root)
+    return ingest.stored(root, "emails").read(spark).select("id", "mailbox", "from_addr", "from_name", "subject", "snippet",
+                                                            "body")

@@ -12,6 +12,7 @@ from skyspine.operators import ordering
 from skyspine.plans import airports as plans
 from skyspine.session import scratch
 from skyspine.sources.json_feeds import read_photo_json, read_weather_json
+from skyspine.standins import polygons
 from skyspine.workload.registry import query
 
 CLOUDS = "list_filter([{'cover': cover1, 'base': base1}, {'cover': cover2, 'base': base2}], lambda x: x.cover IS NOT NULL)"
@@ -109,13 +110,13 @@ FROM ({CENTRE.replace('{v_vertices}', 'v_vertices')}) p LEFT JOIN (SELECT p.haza
   GROUP BY p.hazard_id) c ON c.hazard_id = p.hazard_id""")
 def _(t, spark):
     points = spark.sql(CENTRE, v_vertices=t.v_vertices)
-    rows = H.polygons(t.v_vertices).join(points, "hazard_id")
+    rows = polygons(t.v_vertices).join(points, "hazard_id")
     return rows.select("hazard_id", geo.point_in_polygon(F.col("lat"), F.col("lon"), F.col("coords")).alias("inside"))
 
 
 @query("point_in_polygon_join", OVER)
 def _(t, spark):
-    areas = H.polygons(t.v_vertices)
+    areas = polygons(t.v_vertices)
     return H.point_in_polygon_join(plans.stations(t), areas).select("ident", "hazard_id")
 
 

@@ -58,7 +58,12 @@ def header_value(headers: Column, name: str) -> Column:
 def header_map(headers: Column) -> Column:
     """All headers as a map from lower-cased name; the last of several wins."""
     names = F.transform(headers, lambda h: F.lower(h["name"]))
-    last = F.filter(headers, lambda h, i: F.array_position(F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1))), F.lower(h["name"])) == 0)
+
+    def is_last(h: Column, i: Column) -> Column:
+        later = F.slice(names, i + 2, F.greatest(F.size(names), F.lit(1)))
+        return ~F.array_contains(later, F.lower(h["name"]))
+
+    last = F.filter(headers, is_last)
     return F.map_from_entries(F.transform(last, lambda h: F.struct(F.lower(h["name"]), h["value"])))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyspine.functions import fixed_values as V
+from skyspine.functions.stem import english_stem, may_have_stem
 from skyspine.functions.text import tokens
 
 INDEX_BUCKETS = 256
@@ -55,38 +56,64 @@ def _words(term: str, stop_words: frozenset[str]) -> list[tuple[int, str]]:
     return [(i - kept[0][0], w) for i, w in kept]
 
 
+def vocabulary(postings: DataFrame) -> DataFrame:
+    """The distinct words of an index with their stems and number of uses: (token, uses, stem).
+
+    The stem hangs on the number of uses, so that a filter on it is not pushed below the aggregation and
+    evaluated for every occurrence.
+    """
+    words = postings.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    return words.withColumn("stem", F.when(F.col("uses") > 0, english_stem(F.col("token"))))
+
+
+def _query_stems(spark: SparkSession, words: list[str]) -> dict[str, str]:
+    rows = spark.createDataFrame([(w,) for w in words], "token STRING").select("token", english_stem(F.col("token")).alias("stem"))
+    return {r["token"]: r["stem"] for r in rows.collect()}
+
+
 def text_search(postings: DataFrame, query: Query, key: str, docs: DataFrame | None = None,
-                stop_words: list[str] | None = None) -> DataFrame:
+                stop_words: list[str] | None = None, stems: DataFrame | None = None) -> DataFrame:
     """Keys of the documents that fit the query.
 
     Only postings of the query's words are read. They are counted per document, term and start position:
     a phrase occurs where all its words agree on the start. ``docs`` is needed when a clause has
-    exclusions only.
+    exclusions only. With ``stems`` (see ``vocabulary``) a word stands for all words of its stem.
     """
     stop = frozenset(V.STOP_WORDS if stop_words is None else stop_words)
     terms = {t: _words(t, stop) for c in query.any_of for t in (*c.all, *c.none)}
     terms = {t: w for t, w in terms.items() if w}
     number = {t: i for i, t in enumerate(terms)}
-    wanted: dict[str, list[tuple[int, int, int]]] = {}
-    for term, words in terms.items():
-        for offset, word in words:
-            wanted.setdefault(word, []).append((number[term], offset, len(words)))
-
     clauses = [Clause(tuple(t for t in c.all if t in number), tuple(t for t in c.none if t in number))
                for c in query.any_of]
     clauses = [c for c in clauses if c.all or c.none]
     if not clauses:
         return postings.select(key).limit(0)
 
+    spark = postings.sparkSession
+    stem_of = _query_stems(spark, sorted({w for words in terms.values() for _, w in words})) if stems is not None else {}
+    wanted: dict[str, list[tuple[int, int, int]]] = {}
+    for term, words in terms.items():
+        for offset, word in words:
+            wanted.setdefault(stem_of.get(word, word), []).append((number[term], offset, len(words)))
     uses = F.create_map(*[x for word, use in wanted.items() for x in (
         F.lit(word),
         F.array(*[F.struct(F.lit(t).alias("term"), F.lit(o).alias("offset"), F.lit(n).alias("words"))
                   for t, o, n in use]))])
-    hits = postings.where(F.col("token").isin(list(wanted)))
-    if "bucket" in postings.columns:
-        # Constant expressions: the scan of a stored index is cut to the words' folders.
-        hits = hits.where(F.col("bucket").isin(*[_bucket(F.lit(w)) for w in wanted]))
-    hits = hits.select(key, "pos", F.explode(uses[F.col("token")]).alias("use"))
+
+    stored = "bucket" in postings.columns
+    if stems is not None:
+        # The words of a stem are few; joined on the bucket too, they cut a stored index to their folders.
+        forms = (stems.where(may_have_stem(F.col("token"), list(wanted)) & ~F.col("token").isin(list(stop)))
+                 .where(F.col("stem").isin(list(wanted))))
+        on = ["bucket", "token"] if stored else ["token"]
+        forms = forms.withColumn("bucket", _bucket(F.col("token"))) if stored else forms
+        hits = postings.join(forms.select(*on, F.col("stem").alias("word")), on)
+    else:
+        hits = postings.where(F.col("token").isin(list(wanted))).withColumn("word", F.col("token"))
+        if stored:
+            # Constant expressions: the scan of a stored index is cut to the words' folders.
+            hits = hits.where(F.col("bucket").isin(*[_bucket(F.lit(w)) for w in wanted]))
+    hits = hits.select(key, "pos", F.explode(uses[F.col("word")]).alias("use"))
     start = F.when(F.col("use.words") == 1, F.lit(0)).otherwise(F.col("pos") - F.col("use.offset"))
     found = (hits.groupBy(key, F.col("use.term").alias("term"), F.col("use.words").alias("words"),
                           start.alias("start"))

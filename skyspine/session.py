@@ -13,8 +13,6 @@ RUNTIME_SETTINGS = {
     # A hot join key is split by the adaptive planner, even where the split costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A replace of one partition generation must not touch its neighbours.
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 _own_folders: dict[str, str] = {}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skyspine import schemas as S
 from skyspine.functions import fixed_values as V
-from skyspine.functions.clean import drop_blank_key, int_or_zero, norm_tail, row_total, strip, strip_all, yes_no
+from skyspine.functions.clean import drop_blank_key, int_or_zero, norm_tail, row_total, strip_all, yes_no
 from skyspine.functions.decode import classify_category, decode_passthrough
 from skyspine.operators.keys import keep_first, typed_load
 from skyspine.operators.mail import message_rows

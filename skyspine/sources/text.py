@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import na_text_to_blank, strip
 
 POSITION = "_position"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyspine.functions import text as X
-from skyspine.operators import filters
 from skyspine.operators import mail as M
-from skyspine.operators.textindex import Clause, Query, build_text_index, read_text_index, text_search, write_text_index
+from skyspine.operators.textindex import (Clause, Query, build_text_index, read_text_index, text_search, vocabulary,
+                                           write_text_index)
 from skyspine.plans import mail as plans
 from skyspine.plans import platform
 from skyspine.session import scratch
@@ -15,7 +15,7 @@ from skyspine.sources.json_feeds import read_account_pages, read_mail_json
 from skyspine.workload.cleaning import WS
 from skyspine.workload.fleet import COUNT_SQL, TOP_SQL
 from skyspine.workload.jobs import STATUS
-from skyspine.workload.registry import SQL, query
+from skyspine.workload.registry import query
 
 DOCUMENT = "coalesce(subject, '') || ' ' || coalesce(from_addr, '') || ' ' || coalesce(body, '')"
 
@@ -266,3 +266,11 @@ FROM ({TOP_SQL}) o
 UNION ALL SELECT 'job', display_name, NULL, NULL, shown_status FROM ({STATUS}) j""")
 def _(t, spark):
     return platform.platform_stats(t)
+
+
+# No SQL twin: DuckDB has no stems here. tests/test_stem.py checks them on the public sample words.
+@query("text_search_stemmed")
+def _(t, spark):
+    postings = doc_postings(t)
+    q = Query((Clause(("licensed",)), Clause(("ing er", "blessed"), ("tions",))))
+    return text_search(postings, q, "doc_id", stems=vocabulary(postings))

@@ -5,7 +5,6 @@ import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from skyspine import schemas as S
 from skyspine.operators import keys as K

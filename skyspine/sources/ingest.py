@@ -17,6 +17,7 @@ from skyspine.functions.decode import classify_category, decode_passthrough
 from skyspine.operators.keys import keep_first, typed_load
 from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
+from skyspine.session import scratch
 from skyspine.sources import text as X
 from skyspine.sources.json_feeds import read_mail_json, read_photo_answers
 from skyspine.sources.store import StoredTable, load_report
@@ -99,7 +100,8 @@ def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
     """Several period files to (rows of the good periods with their ``period``, report per period).
 
     A period whose file lacks columns, or holds one bad cell, is left out whole and reported as skipped.
-    All files are checked and loaded in one job; only their headers are looked at beforehand.
+    All files are checked in one job; only their headers are looked at beforehand. The checked rows are
+    written once to the shared folder, so that neither the report nor the load reads the files again.
     """
     order = S.table_schema("t100_segment").fieldNames()
     shaped, skipped = [], []
@@ -120,6 +122,9 @@ def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
     schema = S.table_schema("t100_segment")
     checked = typed_load(first, S.T.StructType([*schema.fields, S.T.StructField("period", S.T.StringType())]),
                          strict=False)
+    staged = scratch(spark, "periods")
+    checked.write.parquet(staged)
+    checked = spark.read.parquet(staged)
     key_missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in S.KEYS["t100_segment"]])
     bad = (F.size("_bad_cells") > 0) | key_missing
     report = checked.groupBy("period").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_rows")).select(

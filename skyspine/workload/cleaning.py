@@ -215,10 +215,6 @@ def _(t, spark):
                            D.whole_number((F.col("event_id") - 50) / 2).alias("half"))
 
 
-PAGE = """concat('<a href="/x/NASR_Subscription/', {day}, '">a</a> <a href="NASR_Subscription/',
-  {later}, '"> NASR_Subscription/', {day}, ' NASR_Subscription/bad')"""
-
-
 @query("latest_cycle", """SELECT o_orderkey, CASE WHEN later <= pick THEN later WHEN day <= pick THEN day ELSE later END AS cycle
 FROM (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day,
   strftime(o_orderdate + to_days(CAST(o_orderkey % 60 + 1 AS INTEGER)), '%Y-%m-%d') AS later,

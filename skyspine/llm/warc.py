@@ -217,7 +217,8 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
                 if rows:
                     yield common.record(RECORDS, *zip(*rows))
 
-    return ranges.repartition("path", "start").mapInArrow(read, _RECORDS_DDL)
+    tasks = max(1, ranges.count())  # a number of its own keeps the small ranges from being put together again
+    return ranges.repartition(tasks, "path", "start").mapInArrow(read, _RECORDS_DDL)
 
 
 def query(pages: DataFrame) -> DataFrame:

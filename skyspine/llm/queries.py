@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspine.llm import mixing, rule_ledger, warc
+from skyspine.llm import mixing, packing, rule_ledger, voronoi_join, warc
 from skyspine.llm.common import prepare
 
 
@@ -14,6 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_join.query(table(spark, sf_dir, "embeddings"))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.query(table(spark, sf_dir, "documents"))
+
+
 def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.query(table(spark, sf_dir, "documents"))
 
@@ -27,8 +35,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_rule_ledger, op6_warc, op8_mixing)}
+    return {f.__name__: f for f in (op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_voronoi_join": voronoi_join.SQL, "op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op8_mixing": mixing.SQL}

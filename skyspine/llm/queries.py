@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspine.llm import mixing, packing, rule_ledger, voronoi_join, warc
+from skyspine.llm import langid, mixing, packing, pii_crf, rule_ledger, toxicity, voronoi_join, warc
 from skyspine.llm.common import prepare
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_voronoi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_join.query(table(spark, sf_dir, "embeddings"))
 
@@ -34,8 +38,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.query(table(spark, sf_dir, "documents"))
+
+
+def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op8_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op8_mixing, op9_langid, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:

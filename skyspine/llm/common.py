@@ -30,6 +30,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids that ``without`` broadcasts.
+BROADCAST_IDS = 200_000
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of some ids, given by a frame of one column; rows without an id stay."""
+    ids = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+
+
 def id_bucket(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a missing id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspine.llm import langid, mixing, packing, pii_crf, rule_ledger, toxicity, voronoi_join, warc
+from skyspine.llm import langid, mixing, packing, pii_crf, rule_ledger, toxicity, trie_join, voronoi_join, warc
 from skyspine.llm.common import prepare
 
 
@@ -34,6 +34,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
 
+def op7_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_join.query(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(table(spark, sf_dir, "documents"))
 
@@ -47,8 +51,8 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op8_mixing, op9_langid, op10_pii_crf)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op7_trie_join, op8_mixing, op9_langid, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_join": voronoi_join.SQL, "op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_voronoi_join": voronoi_join.SQL, "op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op7_trie_join": trie_join.SQL, "op8_mixing": mixing.SQL}

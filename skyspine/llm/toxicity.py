@@ -316,8 +316,7 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold.
 
-    The verdict belongs to an id: if several rows share one, it goes if any of its texts is toxic. Only ids of rejected rows,
-    a small part, are joined.
+    The verdict belongs to an id: if several rows share one, all go if one of their texts is toxic. A row without an id stays
+    if it has no score to its name, so all such rows stay.
     """
-    bad = common.stored(score(docs, labels).where(F.col("score") >= THRESHOLD).select(F.col("doc_id").alias("_bad")).distinct(), "toxic-ids")
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return common.without(docs, score(docs, labels).where(F.col("score") >= THRESHOLD).select("doc_id"), "doc_id")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspine.llm import langid, mixing, packing, pii_crf, rule_ledger, toxicity, trie_join, voronoi_join, warc
+from skyspine.llm import chaining, langid, mixing, packing, pii_crf, rule_ledger, toxicity, trie_join, voronoi_join, warc
 from skyspine.llm.common import prepare
 
 
@@ -30,6 +30,10 @@ def op4_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ledger.query(table(spark, sf_dir, "documents"))
 
 
+def op5_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.query(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(table(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op6_warc, op7_trie_join, op8_mixing, op9_langid, op10_pii_crf)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op5_chaining, op6_warc, op7_trie_join, op8_mixing, op9_langid, op10_pii_crf)}
 
 
 def oracle_sql() -> dict[str, str]:

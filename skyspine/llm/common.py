@@ -38,7 +38,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows of some ids, given by a frame of one column; rows without an id stay."""
     ids = stored(ids.select(F.col(ids.columns[0]).cast("long").alias("_gone")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long") == ids["_gone"], "left_anti")
 
 
 def id_bucket(doc_id: Column, parts: int) -> Column:
@@ -176,8 +176,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     neighbours and itself. The edges become stars of the roots. Both are aggregations and equi-joins on the node; a
     hot node is one side's single row. Every round is stored in the shared folder. Null ends drop out.
     """
-    e = (edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-         .where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct())
+    e = (edges.where("a IS NOT NULL AND b IS NOT NULL")
+         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     e = stored(e, "links")
     loops = e.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
     e = e.where("a <> b")

@@ -118,7 +118,7 @@ class Parser:
             tables.append(table)
             self.roots.append(at * self.width)
             at += states
-        self.table = np.concatenate(tables).ravel()
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, dtype=np.int64)
         self.table = self.table.astype(np.int32) if self.table.max(initial=0) < 1 << 31 else self.table
         self.cost = np.log2([n for _, _, n in model.automata])
         small = np.arange(0x110000)

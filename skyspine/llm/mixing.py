@@ -6,7 +6,8 @@ of sources. Rules for odd rows:
 - a null or empty text has size 0 and is never taken; a source of size 0 has target 0;
 - a null source is a source of its own, last in the order of sources;
 - repeated rows are documents of their own that share the coin of their id; a null id has the coin of the empty text;
-- an empty table gives an empty result; columns of the input with the names used here are replaced.
+- an empty table gives an empty result; ``mix`` replaces input columns with the names of its results, ``mixed_rows`` keeps
+  all columns as they are.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def mix(docs: DataFrame, cycle=(1, 2, 3), share: float = 1.0, cap: float = 3.0,
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, in its own columns."""
-    out = mix(docs, **options).where("copies > 0")
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    whole = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    out = mix(whole, **options).where("copies > 0")
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 #: The same rules over the tables for DuckDB.

@@ -1,15 +1,16 @@
 """Jaccard join of word n-gram sets by prefix trees, and its connected components.
 
-Sets are ordered by one global order of the n-grams, rarest first. Two sets that link share an n-gram among the first
-n - ceil(t n) + 1 of both, and the first they share stands early enough in both for the rest to suffice. That gives candidate
-pairs without looking at whole sets. Sets joined by candidate pairs form groups; only these sets are formed again and brought
+Sets are ordered by one global order of the n-grams, rarest first. Two sets that link share at least ``LEAD`` n-grams (all of a
+smaller set) among the first n - ceil(t n) + LEAD of both, and are of similar size. That gives candidate pairs without looking at
+whole sets. Sets joined by candidate pairs form groups; only these sets are formed again and brought
 together, a group once, or a large group in blocks, every block with every other. There the sets, now most frequent n-gram first,
 are stored in a tree, so that similar sets share a path. Each set walks the tree: the overlap with a path is counted once for all
 sets below it, and a subtree is left when the lengths that remain cannot reach the threshold, or when all below is joined already.
 
 Equal sets are one node from the start, so groups of copies cost one. N-grams listed as frequent (by lossy counting over all
 documents: local counts of at least ``LOCAL_COUNT``, the list held to ``LISTED`` entries) stand last in the order. Their buckets, which may be
-huge, are never gathered: their sets are tied to a node of the bucket instead, and so are sets of other buckets beyond ``BUCKET``.
+huge, are never gathered: their sets are tied to a node of the bucket and their range of sizes instead, and so are sets of other
+buckets beyond ``BUCKET``. Two sets that link either share such a node or share ``LEAD`` n-grams of small buckets.
 The order only moves work; every linked pair is found whatever the counts.
 
 Sets are known by 64-bit hashes of their n-grams and of the whole. Only the list of frequent n-grams passes through the driver.
@@ -35,10 +36,12 @@ from skyspine.llm import common
 COUNTED, LOCAL_COUNT, LISTED = 2_000_000, 4, 1 << 18
 #: Sets of a bucket that are compared pair by pair.
 BUCKET = 64
+#: N-grams that a candidate pair shares at the front.
+LEAD = 3
 #: N-grams of the sets of one block.
-BLOCK_TOKENS = 150_000
+BLOCK_TOKENS = 1_500_000
 #: Length of a piece of path between two tests of the bound.
-RUN = 48
+RUN = 64
 #: Rows of ids that are broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -60,7 +63,7 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return min(n, n - (percent * n + 99) // 100 + LEAD)
 
 
 SETS = common.arrow_schema(doc_id=pa.int64(), n=pa.int64(), node=pa.int64(), token=pa.int64())
@@ -121,8 +124,8 @@ def rank(grams: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray
     return np.where(tokens[at] == grams, counts[at], 0)
 
 
-ENTRIES = common.arrow_schema(deal=pa.int64(), token=pa.int64(), node=pa.int64(), n=pa.int32(), pos=pa.int32(), listed=pa.bool_())
-_ENTRIES_DDL = "deal long, token long, node long, n int, pos int, listed boolean"
+ENTRIES = common.arrow_schema(deal=pa.int64(), token=pa.int64(), node=pa.int64(), n=pa.int32(), listed=pa.bool_())
+_ENTRIES_DDL = "deal long, token long, node long, n int, listed boolean"
 
 
 def _prefixes(size: int, percent: int, shared):
@@ -140,41 +143,46 @@ def _prefixes(size: int, percent: int, shared):
                         seen.add(node)
                     count = rank(grams, listed)
                     first = np.lexsort((grams, count))[:prefix_size(len(grams), percent)]
-                    parts.append((grams[first].view(np.int64), np.full(len(first), node), np.full(len(first), len(grams)),
-                                  np.arange(len(first)), count[first] > 0))
+                    parts.append((grams[first].view(np.int64), np.full(len(first), node), np.full(len(first), len(grams)), count[first] > 0))
                 if parts:
-                    token, node, n, pos, known = (np.concatenate(c) for c in zip(*parts))
-                    yield common.record(ENTRIES, np.where(known, node, token), token, node, n.astype(np.int32), pos.astype(np.int32), known)
+                    token, node, n, known = (np.concatenate(c) for c in zip(*parts))
+                    yield common.record(ENTRIES, np.where(known, node, token), token, node, n.astype(np.int32), known)
     return run
 
 
 PAIRS = common.arrow_schema(a=pa.int64(), b=pa.int64())
+VOTES = common.arrow_schema(a=pa.int64(), b=pa.int64(), votes=pa.int64())
+#: Votes of a candidate; each n-gram that two sets share gives 6 / min(LEAD, size of the smaller).
+ENOUGH = 6
+
+
+def ties(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """(set, odd node of the bucket and a range of sizes); sets of similar size share one of their two ranges."""
+    band = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.uint64)
+    both = [common.mix(token.view(np.uint64) + (band + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) | 1 for k in (0, 1)]
+    return np.stack([np.concatenate([node, node]), np.concatenate(both), np.full(2 * len(node), ENOUGH)], axis=1)
 
 
 def _candidates(percent: int):
-    """Pairs of sets (even, even), and ties of sets to buckets (even, odd), from entries sorted by n-gram, length and node."""
-    def pairs(token, node, n, pos) -> np.ndarray:
+    """Votes for pairs of sets (even, even), and ties (even, odd), from entries sorted by n-gram, length and node."""
+    def pairs(token, node, n) -> np.ndarray:
         out = []
         for d in range(1, len(token)):
             same = np.flatnonzero(token[d:] == token[:-d])
             if not len(same):
                 break
-            other = same + d
-            total, left = n[same] + n[other], np.minimum(n[same] - pos[same], n[other] - pos[other])
-            good = (100 * n[same] >= percent * n[other]) & ((100 + percent) * left >= percent * total) & (node[same] != node[other])
-            out.append(np.stack([np.minimum(node[same], node[other]), np.maximum(node[same], node[other])], axis=1)[good])
-        return np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
+            same = same[100 * n[same] >= percent * n[same + d]]
+            a, b = node[same], node[same + d]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), ENOUGH // np.minimum(n[same], LEAD)], axis=1))
+        return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry, big = None, None  # entries of a bucket that may go on; the n-gram of a bucket known to be large
-        def found(edges: np.ndarray) -> pa.RecordBatch:
-            edges = np.unique(edges, axis=0)
-            return common.record(PAIRS, edges[:, 0], edges[:, 1])
-
         for batch in it:
-            token, node, n, pos, listed = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
-            out = [np.stack([node[listed], token[listed] | 1], axis=1)]
-            rest = [x[~listed].astype(np.int64) for x in (token, node, n, pos)]
+            token, node, n, listed = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
+            n = n.astype(np.int64)
+            out = [ties(token[listed], node[listed], n[listed], percent)]
+            rest = [x[~listed] for x in (token, node, n)]
             if carry is not None:
                 rest = [np.concatenate(x) for x in zip(carry, rest)]
             if len(rest[0]):
@@ -183,18 +191,22 @@ def _candidates(percent: int):
                 heads = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
                 sizes = np.diff(np.concatenate([heads, [len(rest[0])]]))
                 large = np.repeat((sizes > BUCKET) | (rest[0][heads] == big if big is not None else False), sizes)
-                out.append(np.stack([rest[1][large], rest[0][large] | 1], axis=1))
+                out.append(ties(*(x[large] for x in rest), percent))
                 last = rest[0] == rest[0][-1]
                 big = rest[0][-1] if large[-1] else None
                 out.append(pairs(*(x[~large & ~last] for x in rest)))
                 carry = None if large[-1] else [x[last] for x in rest]
-            edges = np.concatenate(out)
-            if len(edges):
-                yield found(edges)
+            yield from summed(np.concatenate(out))
         if carry is not None:
-            edges = pairs(*carry)
-            if len(edges):
-                yield found(edges)
+            yield from summed(pairs(*carry))
+
+    def summed(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """One row per pair, with its votes."""
+        if len(found):
+            found = found[np.lexsort((found[:, 1], found[:, 0]))]
+            head = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)]))
+            yield common.record(VOTES, found[head, 0], found[head, 1], np.add.reduceat(found[:, 2], head))
+
     return run
 
 
@@ -226,14 +238,14 @@ class Branch:
 
 
 def tree(sets: list[np.ndarray]) -> Branch:
-    """The prefix tree of sets sorted by their bytes."""
+    """The prefix tree of sets in an order that puts equal beginnings together."""
     def branch(first: int, end: int, depth: int) -> Branch:
         a, b = sets[first], sets[end - 1]
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[depth:n] != b[depth:n])
         to = depth + int(differ[0]) if len(differ) else n
         x = Branch()
-        x.runs = [(frozenset(a[k:min(k + RUN, to)].tolist()), min(k + RUN, to)) for k in range(depth, to, RUN)]
+        x.runs = [(a[k:min(k + RUN, to)], min(k + RUN, to)) for k in range(depth, to, RUN)]
         x.depth, x.first, x.end, x.below = to, first, end, []
         x.ends = [i for i in range(first, end) if len(sets[i]) == to]
         lengths = [len(s) for s in sets[first:end]]
@@ -259,15 +271,16 @@ def tree(sets: list[np.ndarray]) -> Branch:
     return top
 
 
-def walk(top: Branch, query: frozenset, percent: int, skip) -> Iterator[int]:
-    """Places of the sets that link with the query; ``skip(branch)`` says which branches are of no interest."""
-    n, todo = len(query), [(top, 0)]
+def walk(top: Branch, n: int, marked: np.ndarray, percent: int, skip) -> Iterator[int]:
+    """Places of the sets that link with a set of ``n`` n-grams, those that are ``marked``; ``skip(branch)`` says which branches are
+    of no interest."""
+    todo = [(top, 0)]
     while todo:
         x, overlap = todo.pop()
         if 100 * n < percent * x.least or 100 * x.most < percent * n or skip(x):
             continue
         for run, depth in x.runs:
-            overlap += len(run & query)
+            overlap += int(np.count_nonzero(marked[run]))
             if (100 + percent) * (overlap + x.most - depth) < percent * (n + x.most):
                 break
         else:
@@ -278,7 +291,11 @@ def walk(top: Branch, query: frozenset, percent: int, skip) -> Iterator[int]:
 
 
 def linked(nodes: list[int], sets: list[np.ndarray], side: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that join all linked sets, of one side with each other if there is one side, else of side 0 with side 1."""
+    """Links that join all linked sets, of one side with each other if there is one side, else of one side with the other."""
+    every, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.cumsum([len(s) for s in sets])[:-1]
+    sets = np.split(codes.astype(np.int32), cut)
+    marked = np.zeros(len(every), dtype=bool)
     order = sorted(range(len(sets)), key=lambda i: sets[i].tobytes())
     trees = [i for i in order if side[i] == max(side)]
     top = tree([sets[i] for i in trees])
@@ -300,11 +317,13 @@ def linked(nodes: list[int], sets: list[np.ndarray], side: list[int], percent: i
                 return True
             return x.end - x.first <= 4 and all(root(nodes[trees[k]]) == root(mine) for k in range(x.first, x.end))
 
-        for place in walk(top, frozenset(sets[q].tolist()), percent, skip):
+        marked[sets[q]] = True
+        for place in walk(top, len(sets[q]), marked, percent, skip):
             a, b = root(mine), root(nodes[trees[place]])
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 yield mine, nodes[trees[place]]
+        marked[sets[q]] = False
 
 
 def _solve(percent: int):
@@ -349,7 +368,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     entries = docs.select("text").mapInArrow(_prefixes(size, percent, listed), _ENTRIES_DDL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "deal").sortWithinPartitions("token", "n", "node")
-    pairs = entries.mapInArrow(_candidates(percent), "a long, b long")
+    votes = entries.mapInArrow(_candidates(percent), "a long, b long, votes long")
+    pairs = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= ENOUGH).select("a", "b")
     groups = common.components(pairs).where(F.col("node") % 2 == 0)
 
     nodes = common.stored(own.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "trie-nodes")

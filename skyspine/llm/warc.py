@@ -2,8 +2,9 @@
 
 Writer: one record per row; equal payloads are stored once and the others revisit it. Each task writes one archive.
 Reader: the archives are cut into byte ranges, one task each. A task looks for gzip magic from its range's start, takes a
-candidate for a record only if its decoded head is a WARC header, and owns the records that start inside its range,
-reading past its end for the last one. Any range size gives the same records.
+candidate for a record only if its decoded head is a WARC header and another member or the file's end follows it, and owns the
+records that start inside its range, reading past its end for the last one. Any range size gives the same records; only an archive
+that lies whole and unpacked inside a payload could be taken for records, by a range that starts inside its carrier.
 
 Odd rows: a null payload is an empty one; a null id is written as a missing id and comes back null; rows that repeat the
 largest id of a payload are all responses; an empty table gives no records; other columns are not archived.
@@ -165,8 +166,11 @@ def _decode(window: _Window, at: int) -> tuple[dict[str, str], bytes, int] | Non
     fields = head_of(raw)
     if fields is None:
         return None
+    after = pos - len(unpack.unused_data)
+    if window.upto(after + 1) and not (window.upto(after + len(MAGIC)) and window.held.startswith(MAGIC, after - window.base)):
+        return None
     begin = raw.index(b"\r\n\r\n") + 4
-    return fields, raw[begin:begin + int(fields["Content-Length"])], pos - len(unpack.unused_data)
+    return fields, raw[begin:begin + int(fields["Content-Length"])], after
 
 
 def records_in(file: io.RawIOBase, start: int, end: int, size: int) -> Iterator[tuple[int, dict[str, str], bytes]]:

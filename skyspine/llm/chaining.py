@@ -188,9 +188,12 @@ def x_end(place: int, at: int) -> int:
 
 
 def passages(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[tuple[int, int, int, int, int, float]]:
-    """Passages (start, end, source start, source end, equal words, identity) of two texts from their matches, by start."""
+    """Passages (start, end, source start, source end, equal words, identity) of two texts from their matches, by start.
+
+    Without a chain, as in texts that repeat one word, the first match is aligned.
+    """
     out: list[tuple[int, int, int, int, int, float]] = []
-    for chain in chains(x, y):
+    for chain in chains(x, y) or [[0]]:
         if any(s <= x[chain[0]] and x[chain[-1]] + K <= e and u <= y[chain[0]] and y[chain[-1]] + K <= v for s, e, u, v, _, _ in out):
             continue  # an alignment went over it already
         s, e, u, v, same = align(a, b, [x[k] for k in chain], [y[k] for k in chain])

@@ -64,9 +64,6 @@ PILOT_REPORT_RADIUS = 150.0
 PUBLISH_LAG_MONTHS = 4
 EXTRACT_MAX_AGE_HOURS = 6.0
 WEATHER_MAX_AGE_SECONDS = 300
-FLEET_PAGE_CAP = 500
-ROUTE_PAGE_CAP = 800
-AIRPORT_PAGE_CAP = 500
 DASH = "—"
 # Published cycle dates in a subscription page.
 CYCLE_PATTERN = r"NASR_Subscription/(\d{4}-\d{2}-\d{2})"

@@ -9,6 +9,7 @@ from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import truncate_text
 from skyspine.functions.text import contains
 from skyspine.operators.filters import optional_filters
+from skyspine.operators.keys import keep_first
 from skyspine.operators.ordering import latest_n
 
 
@@ -17,12 +18,12 @@ def run_ledger(run_events: DataFrame) -> DataFrame:
 
     Events: run_id, service, ts, status, trigger, error, result. A run without a finish is running.
     """
-    finished = F.col("status") != "running"
-    end = F.when(finished, F.struct("ts", "status", "error", "result"))
-    ledger = run_events.groupBy("run_id").agg(
-        F.min("service").alias("service"),
-        F.min(F.when(~finished, F.struct("ts", "trigger"))).alias("_start"),
-        F.max(end).alias("_end"))
+    # The first start and the last finish of a run, each cut to one row per run before the exchange.
+    start = keep_first(run_events.where("status = 'running'"), ["run_id"], ["ts", "trigger"]).select(
+        "run_id", F.struct("ts", "trigger", "service").alias("_start"))
+    end = keep_first(run_events.where("status <> 'running'"), ["run_id"], [F.col(c).desc() for c in ("ts", "status", "error", "result")]).select(
+        "run_id", F.struct("ts", "status", "error", "result", "service").alias("_end"))
+    ledger = start.join(end, "run_id", "full_outer").withColumn("service", F.coalesce("_start.service", "_end.service"))
     started, ended = F.col("_start.ts"), F.col("_end.ts")
     micros = F.unix_micros(ended.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))
     return ledger.select(
@@ -33,15 +34,15 @@ def run_ledger(run_events: DataFrame) -> DataFrame:
 
 
 def job_status(jobs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Each job with its newest run, when it is due next, and the status to show.
+    """Each job with its newest run, its error and result, when it is due next, and the status to show.
 
     A job that is switched off shows as paused and is not due; one that never ran is idle.
     """
-    newest = F.max(F.struct("started_at", "id", "finished_at", "status", "duration_ms"))
-    latest = (ledger.groupBy(F.col("service").alias("name")).agg(newest.alias("_run"))
-              .select("name", F.col("_run.started_at").alias("last_run_at"),
-                      F.col("_run.finished_at").alias("last_finished_at"),
-                      F.col("_run.duration_ms").alias("last_duration_ms"), F.col("_run.status").alias("run_status")))
+    latest = newest_per_key(ledger.where("service IS NOT NULL"), "service", "started_at", "id").select(
+        F.col("service").alias("name"), F.col("started_at").alias("last_run_at"),
+        F.col("finished_at").alias("last_finished_at"), F.col("duration_ms").alias("last_duration_ms"),
+        F.col("status").alias("run_status"), truncate_text(F.col("error"), V.JOB_ERROR_CHARS).alias("last_error"),
+        F.col("result").alias("last_result"))
     due = F.col("last_finished_at") + F.make_dt_interval(secs=F.col("interval_seconds").cast("decimal(18,6)"))
     return (jobs.join(latest, "name", "left")
             .withColumn("next_run_at", F.when(F.col("enabled"), due))
@@ -82,5 +83,4 @@ def fresh_only(df: DataFrame, ts: str, as_of: Column, max_age_seconds: float) ->
 def newest_per_key(df: DataFrame, key: str, ts: str, tie: str) -> DataFrame:
     """The newest row of each key, cut to one row per key before anything is exchanged."""
     rest = [c for c in df.columns if c not in (key, ts, tie)]
-    best = F.max_by(F.struct(ts, tie, *rest), F.struct(ts, tie)).alias("_row")
-    return df.groupBy(key).agg(best).select(key, "_row.*")
+    return keep_first(df, [key], [F.col(ts).desc(), F.col(tie).desc()]).select(key, ts, tie, *rest)

@@ -31,7 +31,7 @@ def _distance():
     return round_measure(F.max("distance")).alias("distance")
 
 
-def route_totals(routes: DataFrame, limit: int | None = None) -> DataFrame:
+def route_totals(routes: DataFrame, limit: int | None = None, cap: int | None = None) -> DataFrame:
     """Traffic per carrier and route, busiest first; routes without a departure are left out.
 
     Groups are formed on the raw city names, so two spellings of one city stay two rows.
@@ -47,15 +47,20 @@ def route_totals(routes: DataFrame, limit: int | None = None) -> DataFrame:
     if limit is not None:
         totals = page(totals, [down("departures"), *[up(c) for c in (
             "unique_carrier", "origin", "dest", "carrier_name", "raw_origin_city", "raw_dest_city", "origin_state",
-            "dest_state")]], limit, V.ROUTE_PAGE_CAP)
+            "dest_state")]], limit, cap)
     return totals.drop("raw_origin_city", "raw_dest_city")
 
 
 def route_summary(routes: DataFrame) -> DataFrame:
-    """One row per carrier, origin and destination; the labels are those of its newest period."""
+    """One row per carrier, origin and destination; the labels are those of its newest period.
+
+    Raw rows are hashed to one row per labels and period first; only those few are sorted for the newest.
+    """
     labels = ["carrier_name", "origin_city", "origin_state", "dest_city", "dest_state"]
     newest = F.max(F.struct("year", "month", *labels)).alias("_newest")
-    return (routes.groupBy("unique_carrier", "origin", "dest")
+    periods = routes.groupBy(*ROUTE_KEYS, "year", "month").agg(
+        *[F.sum(c).alias(c) for c in ("departures", "passengers", "seats")], F.max("distance").alias("distance"))
+    return (periods.groupBy("unique_carrier", "origin", "dest")
             .agg(newest, F.sum("departures").alias("departures"), F.sum("passengers").alias("passengers"),
                  F.sum("seats").alias("seats"), _distance(), _months())
             .select("unique_carrier", "origin", "dest",

@@ -35,10 +35,10 @@ def airport_filter(t: Tables, q: str | None = None, country: str | None = None,
 
 
 def airport_search(t: Tables, q: str | None = None, country: str | None = None, type: str | None = None,
-                   min_runway: int = 0, limit: int = 200) -> DataFrame:
-    """One page of airports, longest runway first."""
+                   min_runway: int = 0, limit: int = 200, cap: int | None = None) -> DataFrame:
+    """One page of airports, longest runway first; ``cap`` is for a caller that holds requests to a size."""
     return page(airport_filter(t, q, country, type, min_runway), [down_nulls_last("longest_runway_ft"), up("ident")],
-                limit, V.AIRPORT_PAGE_CAP)
+                limit, cap)
 
 
 def airport_detail(t: Tables, ident: str | None = None) -> DataFrame:

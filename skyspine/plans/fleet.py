@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import nonblank
 from skyspine.functions.decode import joined_label, owner_type, parse_seats, status_label, status_tier, title_case
 from skyspine.functions.text import contains
 from skyspine.operators import spine
 from skyspine.operators.filters import optional_filters
+from skyspine.operators.keys import parents_with_children
 from skyspine.operators.ordering import down, page, up
 from skyspine.operators.traffic import charter_routes
 from skyspine.tables import Tables
@@ -28,10 +28,10 @@ def fleet_filter(t: Tables, q: str | None = None, category: str | None = None, o
 
 
 def fleet_search(t: Tables, q: str | None = None, category: str | None = None, operator: str | None = None,
-                 adsb_ready: bool = False, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page of the fleet, by operator and tail."""
+                 adsb_ready: bool = False, limit: int = 100, offset: int = 0, cap: int | None = None) -> DataFrame:
+    """One page of the fleet, by operator and tail; ``cap`` is for a caller that holds requests to a size."""
     return page(fleet_filter(t, q, category, operator, adsb_ready),
-                [up("operator_name"), up("n_number"), up("certificate_designator")], limit, V.FLEET_PAGE_CAP, offset)
+                [up("operator_name"), up("n_number"), up("certificate_designator")], limit, cap, offset)
 
 
 def aircraft_detail(t: Tables, n_number: str | None = None) -> DataFrame:
@@ -61,15 +61,13 @@ def operator_detail(t: Tables, designator: str) -> DataFrame:
     totals = spine.operator_fleet_agg(t, chosen)
     fleet = spine.fleet_enriched(t).where(F.col("certificate_designator") == F.lit(designator)).drop(
         "operator_name", "fsdo")
-    return totals.join(fleet, "certificate_designator", "left").orderBy(up("category"), up("n_number"))
+    return parents_with_children(totals, fleet, ["certificate_designator"]).orderBy(up("category"), up("n_number"))
 
 
 def fsdo_detail(t: Tables, fsdo: str) -> DataFrame:
     """A district's operators by fleet size, beside the district's totals."""
-    district = F.col("fsdo") == F.lit(fsdo)
-    operators = spine.operator_fleet_agg(t, t.operators.where(district))
-    totals = spine.fsdo_totals(t).where(district).select("fsdo", F.col("ops").alias("district_ops"),
-                                                         F.col("aircraft").alias("district_aircraft"))
+    operators = spine.operator_fleet_agg(t, t.operators.where(F.col("fsdo") == F.lit(fsdo)))
+    totals = operators.groupBy("fsdo").agg(F.count(F.lit(1)).alias("district_ops"), F.sum("fleet_size").alias("district_aircraft"))
     return operators.join(totals, "fsdo").orderBy(down("fleet_size"), up("certificate_designator"))
 
 

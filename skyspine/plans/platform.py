@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,18 +15,13 @@ from skyspine.tables import Tables
 
 
 def platform_stats(t: Tables) -> DataFrame:
-    """Counts, categories with their share, largest operators and job states as (section, name, n, share, note)."""
-    none = F.lit(None)
-    counts = platform_counts(t).select(F.lit("count").alias("section"), F.col("relation").alias("name"),
-                                       F.col("rows").alias("n"), none.cast("double").alias("share"),
-                                       none.cast("string").alias("note"))
+    """Counts, categories with their share, largest operators by rank and job states, each with the columns that it has."""
+    counts = platform_counts(t).select(F.lit("count").alias("section"), F.col("relation").alias("name"), F.col("rows").alias("n"))
     categories = spine.share_of_max(spine.count_by_category(t)).select(
-        F.lit("category").alias("section"), F.col("category").alias("name"), "n", "share",
-        none.cast("string").alias("note"))
+        F.lit("category").alias("section"), F.col("category").alias("name"), "n", "share")
     top = spine.ranked_list(spine.top_operators(t), [down("n"), up("operator_name")]).select(
-        F.lit("operator").alias("section"), F.col("operator_name").alias("name"), "n",
-        F.col("position").cast("double").alias("share"), none.cast("string").alias("note"))
+        F.lit("operator").alias("section"), F.col("operator_name").alias("name"), "n", F.col("position").cast("int").alias("position"))
     jobs = job_status(t.services, run_ledger(t.run_events)).select(
-        F.lit("job").alias("section"), F.col("display_name").alias("name"), none.cast("bigint").alias("n"),
-        none.cast("double").alias("share"), F.col("shown_status").alias("note"))
-    return counts.unionByName(categories).unionByName(top).unionByName(jobs)
+        F.lit("job").alias("section"), F.col("display_name").alias("name"), F.col("shown_status").alias("note"), "enabled",
+        "last_finished_at")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (counts, categories, top, jobs))

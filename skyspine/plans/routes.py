@@ -21,11 +21,11 @@ def _on_route(carrier: str | None, origin: str | None, dest: str | None) -> list
 
 
 def charter_route_list(t: Tables, q: str | None = None, origin: str | None = None, dest: str | None = None,
-                       limit: int = 300) -> DataFrame:
+                       limit: int = 300, cap: int | None = None) -> DataFrame:
     """Busiest charter routes under those filters that were given; the filters reach the scan."""
     rows = optional_filters(traffic.charter_routes(t), (q, contains(F.col("carrier_name"), q or "")),
                             *_on_route(None, origin, dest))
-    return traffic.route_totals(rows, limit)
+    return traffic.route_totals(rows, limit, cap)
 
 
 def charter_route_detail(t: Tables, carrier: str | None = None, origin: str | None = None,

@@ -25,6 +25,7 @@ def _(t, spark):
 
 
 STATUS = f"""SELECT j.*, l.started_at AS last_run_at, l.finished_at AS last_finished_at, l.duration_ms AS last_duration_ms,
+  l.error[:2000] AS last_error, l.result AS last_result,
   CASE WHEN j.enabled THEN l.finished_at + to_seconds(j.interval_seconds) END AS next_run_at,
   coalesce(l.status, 'idle') AS status, CASE WHEN j.enabled THEN coalesce(l.status, 'idle') ELSE 'paused' END AS shown_status
 FROM v_jobs j LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY service ORDER BY started_at DESC, id DESC) AS rn

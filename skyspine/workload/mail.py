@@ -253,17 +253,18 @@ def _(t, spark):
 
 
 @query("platform_stats", f"""SELECT 'count' AS section, relation AS name, rows AS n, CAST(NULL AS DOUBLE) AS share,
-  CAST(NULL AS STRING) AS note FROM (SELECT 'operators' AS relation, count(*) AS rows FROM v_operators
+  CAST(NULL AS INTEGER) AS position, CAST(NULL AS STRING) AS note, CAST(NULL AS BOOLEAN) AS enabled, CAST(NULL AS TIMESTAMP) AS last_finished_at
+FROM (SELECT 'operators' AS relation, count(*) AS rows FROM v_operators
   UNION ALL SELECT 'aircraft', count(*) FROM v_link UNION ALL SELECT 'registry', count(*) FROM v_registry
   UNION ALL SELECT 'reference', count(*) FROM v_ref UNION ALL SELECT 'emails', count(*) FROM v_emails
   UNION ALL SELECT 'adsb_ready', count(*) FROM v_link p JOIN v_operators o USING (certificate_designator)
     JOIN v_registry r ON r.n_number = p.n_number WHERE r.mode_s_hex <> ''
   UNION ALL SELECT 'charter_segments', count(*) FROM v_t100 WHERE class IN ('L', 'P')
   UNION ALL SELECT 'airports', count(*) FROM v_airports) c
-UNION ALL SELECT 'category', category, n, round(n * 100.0::DOUBLE / greatest(max(n) OVER (), 1), 1), NULL FROM ({COUNT_SQL}) k
-UNION ALL SELECT 'operator', operator_name, n, CAST(row_number() OVER (ORDER BY n DESC, operator_name) AS DOUBLE), NULL
+UNION ALL SELECT 'category', category, n, round(n * 100.0::DOUBLE / greatest(max(n) OVER (), 1), 1), NULL, NULL, NULL, NULL FROM ({COUNT_SQL}) k
+UNION ALL SELECT 'operator', operator_name, n, NULL, CAST(row_number() OVER (ORDER BY n DESC, operator_name) AS INTEGER), NULL, NULL, NULL
 FROM ({TOP_SQL}) o
-UNION ALL SELECT 'job', display_name, NULL, NULL, shown_status FROM ({STATUS}) j""")
+UNION ALL SELECT 'job', display_name, NULL, NULL, NULL, shown_status, enabled, last_finished_at FROM ({STATUS}) j""")
 def _(t, spark):
     return platform.platform_stats(t)
 

@@ -4,9 +4,10 @@ import pytest
 import sqlcheck
 
 import __spark_entry__ as entry
+from skyspine import workload
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = workload.queries(), workload.oracle_sql()
 
 
 @pytest.fixture(scope="module")

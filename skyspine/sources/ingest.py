@@ -25,7 +25,7 @@ from skyspine.sources.store import StoredTable, load_report
 POSITION = X.POSITION
 
 
-def stored(root: str, table: str, parts: tuple[str, ...] = (), buckets: int = 16) -> StoredTable:
+def stored(root: str, table: str, parts: tuple[str, ...] = (), buckets: int | None = None) -> StoredTable:
     return StoredTable(f"{root}/{table}", S.table_schema(table), tuple(S.KEYS[table]), parts, buckets)
 
 

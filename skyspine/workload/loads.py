@@ -317,10 +317,49 @@ def _(t, spark):
 def _(t, spark):
     table = base_table(spark)
     table.replace(t.v_base)
-    table.upsert(t.v_delta, ["measure"])
+    table.upsert(t.v_delta, ["measure"], order=["id"])
     return doubled(table.read(spark))
 
 
+REPEATED = """SELECT id, label, measure::DOUBLE AS measure FROM (SELECT coalesce(b.id, d.id) AS id, coalesce(b.label, d.label) AS label,
+  coalesce(d.measure + 2, b.measure) AS measure FROM v_base b FULL OUTER JOIN v_delta d ON b.id = d.id)"""
+
+
+def thrice(t):
+    """Every key of the batch three times, the newest with two more in its measure."""
+    return t.v_delta.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(0)))).withColumn("measure", F.col("measure") + F.col("version"))
+
+
+@query("upsert_repeated_keys", REPEATED)
+def _(t, spark):
+    table = base_table(spark)
+    table.replace(t.v_base)
+    table.upsert(thrice(t), ["measure"], order=[F.col("version").desc()])
+    return doubled(table.read(spark))
+
+
+@query("stream_upsert_renewed", UPSERTED)
+def _(t, spark):
+    """A second checkpoint numbers its batches from 0 again, with new data under them; repeated rows come in one file."""
+    table = base_table(spark)
+    table.replace(t.v_base)
+    for part, odd in (("first", "id % 2 = 0"), ("second", "id % 2 <> 0")):
+        landing = scratch(spark, part)
+        rows = t.v_delta.where(odd)
+        rows.unionByName(rows).coalesce(1).write.parquet(landing)
+        stream_upsert(spark, landing, BASE_SCHEMA, table, ["measure"], scratch(spark, "stream"), "delta", file_format="parquet").awaitTermination()
+    return doubled(table.read(spark))
+
+
+@query("stored_read_pruned", "SELECT id, label, measure::DOUBLE AS measure FROM v_base WHERE id % 10 = 3")
+def _(t, spark):
+    """The filter on the partition column reaches the list of files."""
+    parted = T.StructType([*BASE_SCHEMA.fields, T.StructField("last_digit", T.IntegerType())])
+    table = store.StoredTable(scratch(spark, "parted"), parted, ("id",), ("last_digit",))
+    table.replace(t.v_base.withColumn("last_digit", (F.col("id") % 10).cast("int")))
+    return doubled(table.read(spark).where("last_digit = 3").drop("last_digit"))
+
+
 @query("stream_upsert", UPSERTED)
 def _(t, spark):
     table = base_table(spark)

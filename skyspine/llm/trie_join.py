@@ -1,7 +1,7 @@
 """Jaccard join of word n-gram sets by prefix trees, and its connected components.
 
-Sets are ordered by one global order of the n-grams, rarest first. Two sets that link share at least ``LEAD`` n-grams (all of a
-smaller set) among the first n - ceil(t n) + LEAD of both, and are of similar size. That gives candidate pairs without looking at
+Sets are ordered by one global order of the n-grams, rarest first. With lead = 3 + n / 64 (n for a smaller set), two sets that link
+share at least the smaller one's lead of n-grams among the first n - ceil(t n) + lead of both, and are of similar size. That gives candidate pairs without looking at
 whole sets. Sets joined by candidate pairs form groups; only these sets are formed again and brought
 together, a group once, or a large group in blocks, every block with every other. There the sets, now most frequent n-gram first,
 are stored in a tree, so that similar sets share a path. Each set walks the tree: the overlap with a path is counted once for all
@@ -10,7 +10,7 @@ sets below it, and a subtree is left when the lengths that remain cannot reach t
 Equal sets are one node from the start, so groups of copies cost one. N-grams listed as frequent (by lossy counting over all
 documents: local counts of at least ``LOCAL_COUNT``, the list held to ``LISTED`` entries) stand last in the order. Their buckets, which may be
 huge, are never gathered: their sets are tied to a node of the bucket and their range of sizes instead, and so are sets of other
-buckets beyond ``BUCKET``. Two sets that link either share such a node or share ``LEAD`` n-grams of small buckets.
+buckets beyond ``BUCKET``. Two sets that link either share such a node or share all of that lead in small buckets.
 The order only moves work; every linked pair is found whatever the counts.
 
 Sets are known by 64-bit hashes of their n-grams and of the whole. Only the list of frequent n-grams passes through the driver.
@@ -36,8 +36,6 @@ from skyspine.llm import common
 COUNTED, LOCAL_COUNT, LISTED = 2_000_000, 4, 1 << 18
 #: Sets of a bucket that are compared pair by pair.
 BUCKET = 64
-#: N-grams that a candidate pair shares at the front.
-LEAD = 3
 #: N-grams of the sets of one block.
 BLOCK_TOKENS = 1_500_000
 #: Length of a piece of path between two tests of the bound.
@@ -62,8 +60,13 @@ def node_of(grams: np.ndarray) -> int:
     return int(common.mix(total).view(np.int64)[0]) & ~1
 
 
+def lead(n):
+    """N-grams at the front that a set of ``n`` shares with a candidate that is no smaller."""
+    return np.minimum(n, 3 + n // 64)
+
+
 def prefix_size(n: int, percent: int) -> int:
-    return min(n, n - (percent * n + 99) // 100 + LEAD)
+    return min(n, n - (percent * n + 99) // 100 + int(lead(n)))
 
 
 SETS = common.arrow_schema(doc_id=pa.int64(), n=pa.int64(), node=pa.int64(), token=pa.int64())
@@ -151,16 +154,15 @@ def _prefixes(size: int, percent: int, shared):
 
 
 PAIRS = common.arrow_schema(a=pa.int64(), b=pa.int64())
-VOTES = common.arrow_schema(a=pa.int64(), b=pa.int64(), votes=pa.int64())
-#: Votes of a candidate; each n-gram that two sets share gives 6 / min(LEAD, size of the smaller).
-ENOUGH = 6
+#: ``votes`` n-grams of a pair, of which it needs ``need``; a tie needs one.
+VOTES = common.arrow_schema(a=pa.int64(), b=pa.int64(), need=pa.int64(), votes=pa.int64())
 
 
 def ties(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
     """(set, odd node of the bucket and a range of sizes); sets of similar size share one of their two ranges."""
     band = np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.uint64)
     both = [common.mix(token.view(np.uint64) + (band + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64) | 1 for k in (0, 1)]
-    return np.stack([np.concatenate([node, node]), np.concatenate(both), np.full(2 * len(node), ENOUGH)], axis=1)
+    return np.stack([np.concatenate([node, node]), np.concatenate(both), np.ones(2 * len(node), dtype=np.int64)], axis=1)
 
 
 def _candidates(percent: int):
@@ -173,7 +175,7 @@ def _candidates(percent: int):
                 break
             same = same[100 * n[same] >= percent * n[same + d]]
             a, b = node[same], node[same + d]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), ENOUGH // np.minimum(n[same], LEAD)], axis=1))
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), lead(n[same])], axis=1))
         return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def _candidates(percent: int):
         if len(found):
             found = found[np.lexsort((found[:, 1], found[:, 0]))]
             head = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)]))
-            yield common.record(VOTES, found[head, 0], found[head, 1], np.add.reduceat(found[:, 2], head))
+            yield common.record(VOTES, *found[head].T, np.diff(np.concatenate([head, [len(found)]])))
 
     return run
 
@@ -368,8 +370,8 @@ def join(docs: DataFrame, size: int = 3, percent: int = 90) -> DataFrame:
     entries = docs.select("text").mapInArrow(_prefixes(size, percent, listed), _ENTRIES_DDL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     entries = entries.repartition(parts, "deal").sortWithinPartitions("token", "n", "node")
-    votes = entries.mapInArrow(_candidates(percent), "a long, b long, votes long")
-    pairs = votes.groupBy("a", "b").agg(F.sum("votes").alias("votes")).where(F.col("votes") >= ENOUGH).select("a", "b")
+    votes = entries.mapInArrow(_candidates(percent), "a long, b long, need long, votes long")
+    pairs = votes.groupBy("a", "b", "need").agg(F.sum("votes").alias("votes")).where("votes >= need").select("a", "b")
     groups = common.components(pairs).where(F.col("node") % 2 == 0)
 
     nodes = common.stored(own.where("node IS NOT NULL").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc_id")), "trie-nodes")

@@ -29,19 +29,30 @@ def typed_load(df: DataFrame, schema: T.StructType, blank_as_null: bool = True,
     """Text cells to declared types.
 
     ``strict`` lets one bad cell fail the load. Otherwise a bad cell becomes NULL and ``_bad_cells``
-    names its column, so that rejects can be split off.
+    names its column, so that rejects can be split off. A number with more decimals than its column holds is a bad cell.
     """
+    def rounded(raw: Column, field: T.StructField) -> Column:
+        """Whether the column would hold another number than the cell."""
+        if not isinstance(field.dataType, T.DecimalType):
+            return F.lit(False)
+        return F.coalesce(raw.try_cast(field.dataType) != raw.try_cast(T.DecimalType(38, 18)), F.lit(False))
+
     def cell(field: T.StructField) -> Column:
         raw = F.col(field.name)
         if blank_as_null:
             raw = F.nullif(raw, F.lit(""))
         if isinstance(field.dataType, T.StringType):
             return raw.alias(field.name)
-        return (raw.cast(field.dataType) if strict else raw.try_cast(field.dataType)).alias(field.name)
+        if not strict:
+            return F.when(~rounded(raw, field), raw.try_cast(field.dataType)).alias(field.name)
+        value = raw.cast(field.dataType)
+        if isinstance(field.dataType, T.DecimalType):
+            value = F.when(rounded(raw, field), F.raise_error(F.concat(F.lit(f"{field.name} has too many decimals: "), raw)).cast(field.dataType)).otherwise(value)
+        return value.alias(field.name)
 
     def bad(field: T.StructField) -> Column:
         raw = F.nullif(F.col(field.name), F.lit(""))
-        return F.when(raw.isNotNull() & raw.try_cast(field.dataType).isNull(), F.lit(field.name))
+        return F.when(raw.isNotNull() & (raw.try_cast(field.dataType).isNull() | rounded(raw, field)), F.lit(field.name))
 
     cells = [cell(f) for f in schema.fields]
     if strict:
@@ -65,23 +76,36 @@ def check_keys(df: DataFrame, keys: list[str], parent: DataFrame | None = None,
 
     ``parent_key`` maps a column here to its column in ``parent``.
     """
-    def report(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    def report(rows: DataFrame, name: str, columns: list[str], least: int = 1) -> DataFrame:
+        """Grouped by the columns themselves; the text is formed for the violators only."""
         key_text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in columns])
-        return rows.groupBy(key_text.alias("key_text")).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("violation"), "key_text", "n")
+        groups = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+        return groups.select(F.lit(name).alias("violation"), key_text.alias("key_text"), F.col("_n").alias("n"))
 
     has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    parts = [report(df.where(has_key), "duplicate", keys).where("n > 1")]
+    parts = [report(df.where(has_key), "duplicate", keys, least=2)]
     for column in not_null or keys:
         parts.append(report(df.where(F.col(column).isNull()), f"null {column}", keys))
     if parent is not None:
         for child, own in (parent_key or {}).items():
-            known = parent.select(F.col(own).alias(child)).distinct()
+            known = parent.select(F.col(own).alias(child))
             orphans = df.where(F.col(child).isNotNull()).join(known, child, "left_anti")
             parts.append(report(orphans, f"no parent {child}", [child]))
     return reduce(DataFrame.unionByName, parts)
 
 
+class KeyViolation(ValueError):
+    """A load whose rows break the key of their table."""
+
+
+def keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` if every key is there and unique; else the load fails with the first violations."""
+    broken = check_keys(df, keys).limit(10).collect()
+    if broken:
+        raise KeyViolation(f"key ({', '.join(keys)}): " + "; ".join(f"{r['violation']} {r['key_text']} x {r['n']}" for r in broken))
+    return df
+
+
 def parents_with_children(parents: DataFrame, children: DataFrame, on: list[str]) -> DataFrame:
     """``parents LEFT JOIN children`` for a parent that may own a large share of all children.
 

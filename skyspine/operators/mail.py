@@ -27,13 +27,20 @@ BODY_DEPTH = 4
 def _deep_body(payload: pd.Series) -> pd.Series:
     """Bodies of messages nested deeper than the column expression reaches."""
     def text(data: str) -> str:
-        raw = data.encode("ascii", "ignore")
-        return base64.urlsafe_b64decode(raw + b"=" * (-len(raw) % 4)).decode("utf-8", "ignore")
+        """As ``decode_b64url``: white space is skipped, data that is no base64 is blank, bytes that are no UTF-8 are dropped."""
+        std = data.replace("-", "+").replace("_", "/") + "=" * (-len(data) % 4)
+        try:
+            return base64.b64decode(re.sub("[ \t\r\n]", "", std), validate=True).decode("utf-8", "ignore").replace("\ufffd", "")
+        except ValueError:
+            return ""
 
     def body(doc: str | None) -> str | None:
         if doc is None:
             return None
-        stack = [(json.loads(doc), False)]
+        try:
+            stack = [(json.loads(doc), False)]
+        except ValueError:
+            return ""
         while stack:
             node, children_done = stack.pop()
             kind, data = node.get("mimeType"), (node.get("body") or {}).get("data")

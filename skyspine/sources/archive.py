@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import itertools
 import zipfile
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyspine.sources.text import parse_lines
+
 LINES_PER_BATCH = 20000
 
 
@@ -18,7 +23,9 @@ def member_lines(archives: DataFrame, suffix: str, encoding: str = "ISO-8859-1")
     """(archive, member, line_no, line) of the first member with the suffix in each archive (path, content).
 
     Archives are opened in parallel; within one the lines are streamed in batches. An archive without
-    such a member, or one that cannot be opened, gives a row with NULL ``line_no`` and the reason.
+    such a member, or one that cannot be opened or read to its end, gives a row with NULL ``line_no`` and the reason; of
+    one broken inside the lines before the break come too, and ``good_lines`` leaves them out. One archive is one
+    task and lies in memory whole, as zip asks for.
     """
     def frame(archive, member, numbers, texts):
         return pd.DataFrame({"archive": archive, "member": member,
@@ -35,10 +42,13 @@ def member_lines(archives: DataFrame, suffix: str, encoding: str = "ISO-8859-1")
                 except (zipfile.BadZipFile, FileNotFoundError) as why:
                     yield frame(archive, None, [None], [str(why)])
                     continue
-                with bundle.open(member) as raw:
-                    numbered = enumerate(io.TextIOWrapper(raw, encoding=encoding))
-                    while chunk := list(itertools.islice(numbered, LINES_PER_BATCH)):
-                        yield frame(archive, member, [i for i, _ in chunk], [x.rstrip("\n") for _, x in chunk])
+                try:
+                    with bundle.open(member) as raw:
+                        numbered = enumerate(io.TextIOWrapper(raw, encoding=encoding))
+                        while chunk := list(itertools.islice(numbered, LINES_PER_BATCH)):
+                            yield frame(archive, member, [i for i, _ in chunk], [x.rstrip("\n") for _, x in chunk])
+                except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as why:  # broken inside
+                    yield frame(archive, None, [None], [str(why)])
 
     return archives.select("path", "content").mapInPandas(
         lines, "archive STRING, member STRING, line_no BIGINT, line STRING")
@@ -51,7 +61,9 @@ def read_zip_members(spark: SparkSession, path: str, suffix: str, encoding: str
 
 
 def good_lines(members: DataFrame) -> DataFrame:
-    return members.where(F.col("line_no").isNotNull())
+    """Lines of the archives that were read whole."""
+    broken = members.where(F.col("line_no").isNull()).select("archive").distinct()
+    return members.where(F.col("line_no").isNotNull()).join(broken, "archive", "left_anti")
 
 
 def bad_archives(members: DataFrame) -> DataFrame:
@@ -59,12 +71,24 @@ def bad_archives(members: DataFrame) -> DataFrame:
 
 
 def member_table(members: DataFrame, columns: list[str]) -> DataFrame:
-    """Delimited member lines to text columns; the header line of each archive is left out.
+    """Delimited member lines to text columns, found by the header line of their archive.
 
-    The position is (archive, line number), so the first of several equal keys can be told.
+    The position is (archive, line number), so the first of several equal keys can be told. The distinct headers, one
+    for each layout the publisher used, are looked at beforehand; a header without one of the columns is an error.
     """
-    fields = ", ".join(f"`{c}` STRING" for c in columns)
-    rows = good_lines(members).where("line_no > 0").select(
-        F.from_csv("line", fields, {"escape": '"', "ignoreLeadingWhiteSpace": "true"}).alias("r"),
-        F.struct("archive", "line_no").alias("_position"))
-    return rows.select(*[F.coalesce(F.col(f"r.`{c}`"), F.lit("")).alias(c.strip()) for c in columns], "_position")
+    lines = good_lines(members).withColumn("_position", F.struct("archive", "line_no"))
+    headers = lines.where("line_no = 0").select("archive", F.col("line").alias("_header"))
+    parts = []
+    for (header,) in headers.select("_header").distinct().sort("_header").collect():
+        names = [n.strip() for n in next(csv.reader([header], skipinitialspace=True))]
+        missing = [c for c in columns if c.strip() not in names]
+        if missing:
+            raise KeyError(f"columns {missing} are missing in {header!r}")
+        mine = headers.where(F.col("_header") == F.lit(header)).select("archive")
+        body = lines.where("line_no > 0").join(mine, "archive", "left_semi")
+        cells = parse_lines(body, "line", ", ".join(f"c{i} STRING" for i in range(len(names))), ["_position"])
+        parts.append(cells.select(*[F.col(f"c{names.index(c.strip())}").alias(c.strip()) for c in columns], "_position"))
+    if not parts:
+        empty = lines.select(*[F.lit("").alias(c.strip()) for c in columns], "_position")
+        return empty.limit(0)
+    return reduce(DataFrame.unionByName, parts)

@@ -14,7 +14,7 @@ from skyspine import schemas as S
 from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import drop_blank_key, int_or_zero, norm_tail, row_total, strip_all, yes_no
 from skyspine.functions.decode import classify_category, decode_passthrough
-from skyspine.operators.keys import keep_first, typed_load
+from skyspine.operators.keys import keep_first, keyed, typed_load
 from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
 from skyspine.session import scratch
@@ -135,8 +135,10 @@ def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
 
 
 def _replace(spark: SparkSession, root: str, table: str, rows: DataFrame, **counts: Column) -> DataFrame:
-    target = stored(root, table)
-    target.replace(rows)
+    """The rows are formed once, into the shared folder. Missing or repeated keys fail the load before it shows."""
+    target, staged = stored(root, table), scratch(spark, table)
+    rows.write.parquet(staged)
+    target.replace(keyed(spark.read.schema(rows.schema).parquet(staged), S.KEYS[table]))
     return load_report(table, target.read(spark), **counts)
 
 

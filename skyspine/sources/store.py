@@ -8,13 +8,14 @@ opened. One writer at a time is assumed. Partition columns are folders, so filte
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyspine.operators.keys import keep_first
+from skyspine.operators.keys import KeyViolation, keep_first
 from skyspine.operators.upsert import upsert_partial
 from skyspine.session import scratch
 
@@ -128,6 +129,9 @@ class StoredTable:
         staged = scratch(spark, "batch")
         rows.write.parquet(staged)
         rows = spark.read.schema(self.schema).parquet(staged)
+        missing = rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in self.keys]))
+        if not missing.isEmpty():
+            raise KeyViolation(f"{self.root}: a row without its key ({', '.join(self.keys)})")
         target = self.read(spark, rows.select(self._part(spark).alias("shard")).distinct())
         self._write(upsert_partial(target, rows, list(self.keys), update_cols), False, source, batch_id)
 

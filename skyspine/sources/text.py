@@ -17,18 +17,40 @@ def file_position() -> Column:
                     F.monotonically_increasing_id().alias("place"))
 
 
+EXTRA = "_extra"
+#: Cells beyond the header that are looked at. Blank ones hold nothing and are no fault.
+BEYOND = [f"{EXTRA}{i}" for i in range(16)]
+
+
+def refused(wrong: Column, why: str, row: Column) -> Column:
+    """A condition that holds for every row and fails on a wrong one."""
+    return F.when(wrong, F.raise_error(F.concat(F.lit(why), row)).cast("boolean")).otherwise(F.lit(True))
+
+
 def read_text_table(spark: SparkSession, path: str | list[str], position: bool = False, pandas_na: bool = False,
-                    multi_line: bool = False, keep_leading_space: bool = False) -> DataFrame:
+                    multi_line: bool = True, keep_leading_space: bool = False, strict: bool = True) -> DataFrame:
     """Delimited file with a header: all cells text, header names trimmed, missing cells blank.
 
-    Blanks after a delimiter are skipped. ``pandas_na`` also blanks texts such as ``NA``, which loses real
-    codes and is therefore off by default. ``position`` adds the source order.
+    Blanks after a delimiter are skipped unless ``keep_leading_space``. ``pandas_na`` also blanks texts such as ``NA``, which
+    loses real codes and is therefore off by default. ``position`` adds the source order. A row with a filled cell beyond the
+    header fails the scan; without ``strict`` it stays, and the column ``_extra`` holds that cell and is NULL elsewhere.
+    Line breaks inside quotes belong to their cell, so one file is one task; ``multi_line=False`` lets files that hold
+    no such breaks be split.
     """
-    scan = (spark.read.option("header", True).option("ignoreLeadingWhiteSpace", not keep_leading_space)
-            .option("escape", '"').option("multiLine", multi_line).csv(path))
+    options = {"header": True, "ignoreLeadingWhiteSpace": not keep_leading_space, "escape": '"', "multiLine": multi_line}
+    names = spark.read.options(**options).csv(path).columns
+    numbers = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*numbers, *BEYOND]])
+    # Without pruning the parser sees whole rows, whatever columns are asked for.
+    scan = spark.read.options(**options, columnPruning=False).schema(schema).csv(path)
     cell = na_text_to_blank if pandas_na else (lambda c: F.coalesce(c, F.lit("")))
-    cells = [cell(F.col(f"`{c}`")).alias(c.strip()) for c in scan.columns]
-    return scan.select(*cells, *([file_position().alias(POSITION)] if position else []))
+    cells = [cell(F.col(n)).alias(name.strip()) for n, name in zip(numbers, names)]
+    place = [file_position().alias(POSITION)] if position else []
+    extra = F.coalesce(*BEYOND)
+    if not strict:
+        return scan.select(*cells, extra.alias(EXTRA), *place)
+    row = F.concat_ws(",", *numbers, extra)
+    return scan.where(refused(extra.isNotNull(), "more cells than the header: ", row)).select(*cells, *place)
 
 
 def find_column(columns: list[str], alternatives: list[tuple[str, ...]]) -> str:
@@ -50,7 +72,8 @@ def resolve_columns(df: DataFrame, wanted: dict[str, list[tuple[str, ...]]], kee
 def read_banner_table(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
     """Delimited file whose first line is a title banner and whose second line is the header.
 
-    The first two lines of the landing name the columns; both are left out wherever a file repeats them.
+    The first two lines of the landing name the columns; both are left out wherever a file repeats them. Rows with more cells
+    than the header, or with a quote that does not end in their line, fail the scan.
     """
     lines = spark.read.text(path)
     at_start = lines.where(F.col("_metadata.file_block_start") == 0)
@@ -63,10 +86,20 @@ def read_banner_table(spark: SparkSession, path: str, position: bool = False) ->
     fields = ", ".join(f"`c{i}` STRING" for i in range(width))
     body = lines.select("value", *([file_position().alias(POSITION)] if position else []))
     body = body.where((F.col("value") != F.lit(header)) & (F.col("value") != F.lit(banner)))
-    cells = F.from_csv("value", fields, {"escape": '"', "ignoreLeadingWhiteSpace": "true"})
     keep = [POSITION] if position else []
-    return body.select(cells.alias("r"), *keep).select(
-        *[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)], *keep)
+    return parse_lines(body, "value", fields, keep).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *keep)
+
+
+def parse_lines(lines: DataFrame, column: str, fields: str, keep: list[str]) -> DataFrame:
+    """Cells of delimited lines, missing ones blank; lines with too many cells or an open quote fail."""
+    beyond = ", ".join(f"{n} STRING" for n in BEYOND)
+    parsed = F.from_csv(column, f"{fields}, {beyond}", {"escape": '"', "ignoreLeadingWhiteSpace": "true", "columnPruning": "false"})
+    rows = lines.select(parsed.alias("r"), F.col(column).alias("_line"), *keep)
+    open_quote = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit('"'), F.lit("")))
+    wrong = F.coalesce(*[F.col(f"r.{n}") for n in BEYOND]).isNotNull() | (open_quote % 2 == 1)
+    rows = rows.where(refused(wrong, "no row of the header's cells: ", F.col("_line")))
+    names = [f.name for f in T.StructType.fromDDL(fields).fields]
+    return rows.select(*[F.coalesce(F.col(f"r.`{n}`"), F.lit("")).alias(n) for n in names], *keep)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:

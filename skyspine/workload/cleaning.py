@@ -148,6 +148,20 @@ def _(t, spark):
     return lines.unionByName(orders).unionByName(airports)
 
 
+@query("check_keys_bars", """SELECT 'duplicate' AS violation, a || '|' || b AS key_text, count(*) AS n
+FROM (SELECT l_returnflag || '|' || l_linestatus AS a, CAST(l_linenumber AS STRING) || '|' || CAST(l_suppkey % 7 AS STRING) AS b FROM lineitem) k GROUP BY a, b HAVING count(*) > 1
+UNION ALL SELECT 'duplicate', a || '|' || b, count(*) FROM (SELECT CASE WHEN n_nationkey % 2 = 0 THEN '1' ELSE '1|2' END AS a,
+  CASE WHEN n_nationkey % 2 = 0 THEN '2|3' ELSE '3' END AS b FROM nation) z GROUP BY a, b HAVING count(*) > 1""")
+def _(t, spark):
+    """Bars inside keys make no two keys one."""
+    bar = F.lit("|")
+    lines = t.lineitem.select(F.concat("l_returnflag", bar, "l_linestatus").alias("a"),
+                              F.concat(F.col("l_linenumber").cast("string"), bar, (F.col("l_suppkey") % 7).cast("string")).alias("b"))
+    even = F.col("n_nationkey") % 2 == 0
+    nations = t.nation.select(F.when(even, "1").otherwise("1|2").alias("a"), F.when(even, "2|3").otherwise("3").alias("b"))
+    return K.check_keys(lines, ["a", "b"]).unionByName(K.check_keys(nations, ["a", "b"]))
+
+
 def _case(table: dict, code: str) -> str:
     return f"CASE {code} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {code} END"
 

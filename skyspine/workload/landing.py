@@ -15,7 +15,7 @@ def csv_line(*cells: Column) -> Column:
     """Cells as one delimited line: blanks after the commas, quotes where a cell needs them."""
     def quoted(c: Column) -> Column:
         text = F.coalesce(c, F.lit(""))
-        return F.when(text.rlike('[",]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+        return F.when(text.rlike('[",\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
     return F.concat_ws(", ", *[quoted(c) for c in cells])
 
 

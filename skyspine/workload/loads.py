@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from skyspine import schemas as S
 from skyspine.functions import fixed_values as V
 from skyspine.operators import upsert as U
+from skyspine.operators.keys import KeyViolation
 from skyspine.sources import archive, ingest
 from skyspine.sources import store
 from skyspine.sources import text as X
@@ -41,6 +42,23 @@ def _(t, spark):
     return table.select("N-NUMBER", "NAME", "STATUS CODE", "MODE S CODE HEX")
 
 
+@query("read_text_table_bad_rows", """SELECT n_number AS "A", registrant_name AS "B",
+  CASE WHEN year_mfr LIKE '%7' THEN 'more' WHEN year_mfr LIKE '%8' THEN 'far' END AS _extra FROM v_registry""")
+def _(t, spark):
+    """Rows with a cell too many are shown, short rows are filled with blanks."""
+    year = F.col("year_mfr")
+    more = (F.when(year.endswith("7"), F.lit(",more")).when(year.endswith("8"), F.lit(",,,far"))
+            .when(year.endswith("9"), F.lit(",,")).otherwise(F.lit("")))
+    lines = F.concat(csv_line(F.col("n_number"), F.col("registrant_name")), more)
+    return X.read_text_table(spark, land_lines(t.faa_registry, lines, scratch(spark, "bad"), "A,B"), strict=False)
+
+
+@query("read_text_table_quoted_breaks", """SELECT n_number AS "A", registrant_name || chr(10) || ' "x", y' AS "B", '' AS "C" FROM v_registry""")
+def _(t, spark):
+    text = F.concat("registrant_name", F.lit('\n "x", y'))
+    return X.read_text_table(spark, land_lines(t.faa_registry, csv_line(F.col("n_number"), text), scratch(spark, "breaks"), "A,B,C"))
+
+
 @query("resolve_columns", """SELECT regexp_replace(n_number, '^N', '') AS n_number, serial_number || '  ' AS serial_number,
   mfr_mdl_code || '  ' AS mfr_mdl_code, year_mfr || '  ' AS year_mfr, registrant_type || '  ' AS registrant_type,
   registrant_name || '  ' AS registrant_name, city || '  ' AS city, state || '  ' AS state,
@@ -276,6 +294,21 @@ def _(t, spark):
     return ingest.stored(root, "aircraft_ref").read(spark)
 
 
+@query("ingest_reference_duplicates", "SELECT code, description FROM v_type_ref")
+def _(t, spark):
+    """A landing with a code twice, or without one, fails as a whole; the table keeps its rows."""
+    root = scratch(spark, "tables")
+    head, kept = "Code,Description", t.aircraft_type_ref
+    ingest.ingest_aircraft_types(spark, land_lines(kept, csv_line(F.col("code"), F.col("description")), scratch(spark, "types"), head), root)
+    twice = kept.unionByName(kept.limit(1)).withColumn("description", F.lit("other"))
+    failed = 0
+    try:
+        ingest.ingest_aircraft_types(spark, land_lines(twice, csv_line(F.col("code"), F.col("description")), scratch(spark, "types"), head), root)
+    except KeyViolation:
+        failed = 1
+    return ingest.stored(root, "aircraft_type_ref").read(spark).where(F.lit(failed) == 1)
+
+
 @query("ingest_aircraft_types", "SELECT code, description FROM v_type_ref")
 def _(t, spark):
     path = land_lines(t.aircraft_type_ref, csv_line(F.col("code"), F.col("description")), scratch(spark, "types"),

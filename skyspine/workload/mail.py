@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from skyspine.functions import text as X
@@ -218,6 +220,21 @@ def _(t, spark):
     return t.emails.select("id", M.mime_body(payload(F.col("body"))).alias("body"))
 
 
+@query("mime_body_malformed", """SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'ok ' || id ELSE '' END AS body FROM v_emails""")
+def _(t, spark):
+    """Data that is no base64 gives a blank body at every depth from 0 to 8."""
+    number = F.col("id").cast("bigint")
+    good = F.replace(F.replace(F.base64(F.encode(F.concat(F.lit("ok "), "id"), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(""))
+    data = F.when(number % 4 == 0, good).when(number % 4 == 1, F.lit("!!!!")).when(number % 4 == 2, F.lit("A")).otherwise(F.lit("QUJ=RA"))
+    node = F.concat(F.lit('{"mimeType":"text/plain","body":{"data":"'), data, F.lit('"}}'))
+    nested = [node]
+    for _ in range(8):
+        nested.append(F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), nested[-1], F.lit("]}")))
+    depth = F.floor(number / 4) % 9
+    doc = reduce(lambda other, k: F.when(depth == k, nested[k]).otherwise(other), range(8), nested[8])
+    return t.emails.select("id", M.mime_body(doc).alias("body"))
+
+
 @query("read_mail_json", f"""SELECT id, thread_id, lang || '@example.org' AS from_addr, {NAME_SQL} AS from_name, to_addrs, subject,
   snippet, {BODY_SQL} AS body, CASE WHEN source = 'src1' THEN '' ELSE 'INBOX' END AS labels,
   make_timestamp(CAST(internal_ms AS BIGINT) * 1000) AS internal_ts FROM v_emails""")

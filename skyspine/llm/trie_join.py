@@ -216,10 +216,27 @@ MEMBERS = common.arrow_schema(node=pa.int64(), root=pa.int64(), blocks=pa.int32(
 _MEMBERS_DDL = "node long, root long, blocks int, grams binary"
 
 
+def packed(grams: np.ndarray, listed: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> bytes:
+    """A sorted set, most frequent n-gram first: listed n-grams by ``place`` in their order, as steps that compress well, then the others."""
+    known = rank(grams, listed) > 0
+    at = np.searchsorted(listed[0], grams)
+    steps = np.diff(np.sort(place[at[known]]), prepend=0).astype(np.uint32)
+    return np.uint32(len(steps)).tobytes() + steps.tobytes() + grams[~known].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The set as numbers in its order; listed n-grams are their places."""
+    n = int(np.frombuffer(data, dtype=np.uint32, count=1)[0])
+    steps = np.frombuffer(data, dtype=np.uint32, count=n, offset=4)
+    return np.concatenate([np.cumsum(steps, dtype=np.uint64), np.frombuffer(data[4 + 4 * n:], dtype=np.uint64)])
+
+
 def _members(size: int, shared):
-    """Of rows (text, node, root, blocks) whose text is that node's, the set, most frequent n-gram first."""
+    """Of rows (text, node, root, blocks) whose text is that node's, the packed set."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = shared.value
+        place = np.empty(len(listed[0]), dtype=np.int64)
+        place[np.lexsort((listed[0], -listed[1]))] = np.arange(len(place))
         for batch in it:
             node = batch.column(1).to_pylist()
             for at, texts in common.text_slices(batch.column(0)):
@@ -227,7 +244,7 @@ def _members(size: int, shared):
                 for i, grams in enumerate(shingle_sets(texts, size), at):
                     if len(grams) and node_of(grams) == node[i]:
                         keep.append(i)
-                        sets.append(grams[np.lexsort((grams, rank(grams, listed)))[::-1]].tobytes())
+                        sets.append(packed(grams, listed, place))
                 some = pa.array(keep, type=pa.int32())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(some) for k in (1, 2, 3)), pa.array(sets, type=pa.binary())], schema=MEMBERS)
     return run
@@ -337,7 +354,7 @@ def _solve(percent: int):
             nodes, sets, side = [], [], []
             for _, _, _, block, node, grams in {r[4]: r for r in held}.values():
                 nodes.append(node)
-                sets.append(np.frombuffer(grams, dtype=np.uint64))
+                sets.append(unpacked(grams))
                 side.append(block)
             if len(nodes) > 1 and (key[1] == key[2] or len(set(side)) == 2):
                 links.extend(linked(nodes, sets, side, percent))

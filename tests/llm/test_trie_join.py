@@ -80,8 +80,18 @@ def test_other_thresholds(documents):
     assert got(tj.join(documents(rows), percent=60)) == brute(rows, 60)
 
 
-def sizes_of(out):
-    return [len(x) for x in out]
+def test_packed_sets_come_back_in_their_order():
+    rng = np.random.default_rng(3)
+    tokens = np.sort(rng.integers(0, 2 ** 63, 500).astype(np.uint64))
+    counts = rng.integers(1, 90, 500)
+    place = np.empty(500, dtype=np.int64)
+    place[np.lexsort((tokens, -counts))] = np.arange(500)
+    for some in (0, 1, 40, 500):
+        known, other = rng.choice(tokens, some, replace=False), rng.integers(0, 2 ** 63, 30).astype(np.uint64)
+        got = tj.unpacked(tj.packed(np.unique(np.concatenate([known, other])), (tokens, counts), place))
+        assert got[:some].tolist() == sorted(place[np.searchsorted(tokens, known)].tolist()) and sorted(got[some:].tolist()) == sorted(other.tolist())
+    none = np.zeros(0, dtype=np.uint64)
+    assert tj.unpacked(tj.packed(tokens, (none, none.astype(np.int64)), none.astype(np.int64))).tolist() == tokens.tolist()
 
 
 def test_tree_walk_finds_all_and_leaves_subtrees(monkeypatch):

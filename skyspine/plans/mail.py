@@ -11,8 +11,8 @@ from skyspine.tables import Tables
 
 
 def mail_search(t: Tables, query: Query | None = None, mailbox: str | None = None, limit: int = 50,
-                postings: DataFrame | None = None) -> DataFrame:
-    return M.mail_list(t.emails, query, mailbox, limit, postings)
+                postings: DataFrame | None = None, stems: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    return M.mail_list(t.emails, query, mailbox, limit, postings, stems, stemmed)
 
 
 def mailboxes(t: Tables) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from skyspine.functions import stem
 from skyspine.functions.stem import english_stem
+from skyspine.functions.text import tokens
 from skyspine.operators.textindex import Clause, Query, build_text_index, text_search, vocabulary
 
 SAMPLES = """consign consign; consigned consign; consigning consign; consignment consign; consist consist;
@@ -52,3 +54,15 @@ def test_prefilter_loses_no_word(spark):
     from skyspine.functions.stem import SPECIAL
     lost = words.where(~F.col("token").startswith(F.left(F.col("stem"), F.lit(2))) & ~F.col("token").isin(list(SPECIAL)))
     assert lost.count() == 0 and words.count() > 1000
+
+
+def test_the_cheap_condition_loses_no_word(spark):
+    """Over the whole vocabulary of the test documents and the public sample words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = docs.select(F.explode(tokens(F.col("text"))).alias("w")).distinct()
+    words = words.select("w", stem.english_stem(F.col("w")).alias("s"))
+    special = F.col("w").isin(list(stem.SPECIAL))
+    assert words.where((F.substring("w", 1, 2) != F.substring("s", 1, 2)) & ~special).count() == 0
+    some = [r["s"] for r in words.select("s").distinct().limit(40).collect()]
+    found = words.where(F.col("s").isin(some))
+    assert found.where(~stem.may_have_stem(F.col("w"), some)).count() == 0 and found.count() >= 40

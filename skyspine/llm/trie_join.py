@@ -10,7 +10,7 @@ sets below it, and a subtree is left when the lengths that remain cannot reach t
 Equal sets are one node from the start, so groups of copies cost one. N-grams listed as frequent (by lossy counting over all
 documents: local counts of at least ``LOCAL_COUNT``, the list held to ``LISTED`` entries) stand last in the order. Their buckets, which may be
 huge, are never gathered: their sets are tied to a node of the bucket and their range of sizes instead, and so are sets of other
-buckets beyond ``BUCKET``. Two sets that link either share such a node or share all of that lead in small buckets.
+buckets with more than ``BUCKET`` others of similar size. Two sets that link either share such a node or share all of that lead in small buckets.
 The order only moves work; every linked pair is found whatever the counts.
 
 Sets are known by 64-bit hashes of their n-grams and of the whole. Only the list of frequent n-grams passes through the driver.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from skyspine.llm import common
 
 #: N-grams counted together before the rarer ones are let go; the count that stays; the longest list.
-COUNTED, LOCAL_COUNT, LISTED = 2_000_000, 4, 1 << 18
-#: Sets of a bucket that are compared pair by pair.
-BUCKET = 64
+COUNTED, LOCAL_COUNT, LISTED = 4_000_000, 3, 1 << 18
+#: Sets of a bucket and of similar size that are compared one by one with a set; sets of a bucket that are held at a time.
+BUCKET, HELD = 64, 20_000
 #: N-grams of the sets of one block.
 BLOCK_TOKENS = 1_500_000
 #: Length of a piece of path between two tests of the bound.
@@ -167,19 +167,28 @@ def ties(token: np.ndarray, node: np.ndarray, n: np.ndarray, percent: int) -> np
 
 def _candidates(percent: int):
     """Votes for pairs of sets (even, even), and ties (even, odd), from entries sorted by n-gram, length and node."""
-    def pairs(token, node, n) -> np.ndarray:
-        out = []
-        for d in range(1, len(token)):
-            same = np.flatnonzero(token[d:] == token[:-d])
-            if not len(same):
+    def found(token, node, n) -> list[np.ndarray]:
+        """Each set with those behind it that are of similar size: a vote for each, or ties for all if they are many."""
+        if not len(token):
+            return []
+        bucket = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) << 32
+        end = np.searchsorted(bucket + n, bucket + 100 * n // percent, side="right")
+        many = end - np.arange(len(token)) - 1 > BUCKET
+        cover = np.zeros(len(token) + 1, dtype=np.int64)
+        np.add.at(cover, np.flatnonzero(many), 1)
+        np.add.at(cover, end[many], -1)
+        tied = np.cumsum(cover[:-1]) > 0
+        out = [ties(token[tied], node[tied], n[tied], percent)]
+        for d in range(1, BUCKET + 1):
+            at = np.flatnonzero(~many[:-d] & (end[:-d] > np.arange(d, len(token))))
+            if not len(at):
                 break
-            same = same[100 * n[same] >= percent * n[same + d]]
-            a, b = node[same], node[same + d]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), lead(n[same])], axis=1))
-        return np.concatenate(out) if out else np.zeros((0, 3), dtype=np.int64)
+            x, y = node[at], node[at + d]
+            out.append(np.stack([np.minimum(x, y), np.maximum(x, y), lead(n[at])], axis=1))
+        return out
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, big = None, None  # entries of a bucket that may go on; the n-gram of a bucket known to be large
+        carry, big = None, None  # entries of a bucket that may go on; the n-gram of a bucket too large to hold
         for batch in it:
             token, node, n, listed = (c.to_numpy(zero_copy_only=False) for c in batch.columns[1:])
             n = n.astype(np.int64)
@@ -190,24 +199,23 @@ def _candidates(percent: int):
             if len(rest[0]):
                 new = np.concatenate([[True], (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])])
                 rest = [x[new] for x in rest]  # tasks may send the same set
-                heads = np.flatnonzero(np.concatenate([[True], rest[0][1:] != rest[0][:-1]]))
-                sizes = np.diff(np.concatenate([heads, [len(rest[0])]]))
-                large = np.repeat((sizes > BUCKET) | (rest[0][heads] == big if big is not None else False), sizes)
-                out.append(ties(*(x[large] for x in rest), percent))
                 last = rest[0] == rest[0][-1]
-                big = rest[0][-1] if large[-1] else None
-                out.append(pairs(*(x[~large & ~last] for x in rest)))
-                carry = None if large[-1] else [x[last] for x in rest]
+                if last.sum() > HELD:
+                    big = rest[0][-1]
+                large = rest[0] == big if big is not None else np.zeros(len(last), dtype=bool)
+                out.append(ties(*(x[large] for x in rest), percent))
+                out += found(*(x[~large & ~last] for x in rest))
+                carry = [x[last & ~large] for x in rest]
             yield from summed(np.concatenate(out))
         if carry is not None:
-            yield from summed(pairs(*carry))
+            yield from summed(np.concatenate([np.zeros((0, 3), dtype=np.int64), *found(*carry)]))
 
-    def summed(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def summed(votes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One row per pair, with its votes."""
-        if len(found):
-            found = found[np.lexsort((found[:, 1], found[:, 0]))]
-            head = np.flatnonzero(np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)]))
-            yield common.record(VOTES, *found[head].T, np.diff(np.concatenate([head, [len(found)]])))
+        if len(votes):
+            votes = votes[np.lexsort((votes[:, 1], votes[:, 0]))]
+            head = np.flatnonzero(np.concatenate([[True], (votes[1:, :2] != votes[:-1, :2]).any(axis=1)]))
+            yield common.record(VOTES, *votes[head].T, np.diff(np.concatenate([head, [len(votes)]])))
 
     return run
 

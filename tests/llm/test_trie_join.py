@@ -69,6 +69,10 @@ def test_lists_buckets_and_blocks_only_move_work(documents, monkeypatch):
     assert got(tj.join(documents(rows))) == want  # nearly all n-grams listed
     monkeypatch.setattr(tj, "LISTED", 0)
     assert got(tj.join(documents(rows))) == want  # none
+    for limit, held in ((1, 20_000), (3, 5)):  # few votes, many ties; buckets too large to hold
+        monkeypatch.setattr(tj, "BUCKET", limit)
+        monkeypatch.setattr(tj, "HELD", held)
+        assert got(tj.join(documents(rows))) == want
     monkeypatch.setattr(tj, "LISTED", 1 << 18)
     monkeypatch.setattr(tj, "BLOCK_TOKENS", 600)
     monkeypatch.setattr(tj, "BROADCAST_ROWS", 0)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyspine.functions import fixed_values as V
@@ -70,10 +72,21 @@ def stations(t: Tables) -> DataFrame:
                              F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"))
 
 
-def station_report(t: Tables) -> DataFrame:
-    """Per station the newest observation and forecast. Stations without either stay, with NULLs."""
-    metar = newest_per_key(t.metar, "station", "obs_time", "report_id")
-    taf = newest_per_key(t.taf, "station", "issue_time", "taf_id").withColumnRenamed("raw_ob", "raw_taf")
+#: Hours for which an observation, a pilot report and a forecast count as current.
+OBSERVATION_HOURS, FORECAST_HOURS = 2.0, 30.0
+
+
+def current(reports: DataFrame, time: str, as_of: int | None, hours: float) -> DataFrame:
+    """Reports of the last hours before ``as_of`` (seconds since 1970); all of them if that is not given."""
+    if as_of is None:
+        return reports
+    return reports.where((F.col(time) <= F.lit(as_of)) & (F.col(time) > F.lit(as_of - int(hours * 3600))))
+
+
+def station_report(t: Tables, as_of: int | None = None) -> DataFrame:
+    """Per station the newest observation and forecast that are current. Stations without either stay, with NULLs."""
+    metar = newest_per_key(current(t.metar, "obs_time", as_of, OBSERVATION_HOURS), "station", "obs_time", "report_id")
+    taf = newest_per_key(current(t.taf, "issue_time", as_of, FORECAST_HOURS), "station", "issue_time", "taf_id").withColumnRenamed("raw_ob", "raw_taf")
     return (stations(t).join(metar.withColumnRenamed("report_id", "metar_id"), "station", "left")
             .join(taf.drop("from1"), "station", "left"))
 
@@ -104,13 +117,14 @@ def forecast_periods(taf: DataFrame) -> DataFrame:
         zulu(F.col("f.timeFrom")).alias("time_from"), zulu(F.col("f.timeTo")).alias("time_to"),
         change_label(F.col("f.fcstChange"), F.col("f.probability")).alias("change"),
         forecast_wind_text(F.col("f.wdir"), F.col("f.wspd"), F.col("f.wgst")).alias("wind"),
+        F.coalesce(F.concat("f.visib", F.lit(" SM")), F.lit(V.DASH)).alias("visibility"), F.col("f.wxString").alias("weather"),
         cloud_text(F.col("f.clouds")).alias("clouds"))
 
 
 def hazards_shown(points: DataFrame, hazards: DataFrame) -> DataFrame:
     """Hazards over each point ready for display, the raw text cut to the shown length."""
     return H.hazards_over_points(points, hazards).select(
-        "ident", "hazard_id", F.coalesce("hazard", "source").alias("title"), "source", "severity",
+        "ident", "station", "hazard_id", F.coalesce("hazard", "source").alias("title"), "source", "severity",
         zulu(F.col("valid_time_to")).alias("until"),
         F.when(F.col("altitude_low").isNotNull(),
                F.concat(F.lit("FL"), F.col("altitude_low").cast("string"), F.lit("–"),
@@ -118,29 +132,36 @@ def hazards_shown(points: DataFrame, hazards: DataFrame) -> DataFrame:
         truncate_text(F.col("raw"), V.HAZARD_TEXT_CHARS).alias("raw"))
 
 
-def airport_weather(t: Tables, ident: str | None = None) -> DataFrame:
-    """Everything the weather panel of an airport shows, as (ident, station, part, place, text) rows.
+def airport_weather(t: Tables, ident: str | None = None, as_of: int | None = None) -> DataFrame:
+    """Everything the weather panel of an airport shows, one row per item: ident, station, part, place, and typed columns.
 
-    Parts are conditions, forecast, hazard and report. A list inside one row could not be bounded for a
-    busy station, so every item is a row.
+    Parts are conditions, forecast, hazard and report; columns that a part lacks are NULL. A list inside one row could not be
+    bounded for a busy station. With ``ident`` only that station's reports are looked at, before the newest are formed; with ``as_of``
+    only current ones.
     """
     at = stations(t)
     if ident is not None:
         at = at.where(F.col("ident") == F.lit(ident))
     here = at.select("ident", "station")
-    metar = newest_per_key(t.metar, "station", "obs_time", "report_id")
+
+    def chosen(reports: DataFrame) -> DataFrame:
+        return reports if ident is None else reports.join(here, "station", "left_semi")
+
+    def part(name: str, place: Column) -> list[Column]:
+        return ["ident", "station", F.lit(name).alias("part"), place.cast("bigint").alias("place")]
+
+    metar = newest_per_key(chosen(current(t.metar, "obs_time", as_of, OBSERVATION_HOURS)), "station", "obs_time", "report_id")
     conditions = current_conditions(metar).join(here, "station").select(
-        "ident", "station", F.lit("conditions").alias("part"), F.lit(0).cast("bigint").alias("place"),
-        F.concat_ws(" | ", "flight_category", "wind", "visibility", "ceiling", "clouds", "temperature", "dewpoint",
-                    "observed").alias("text"))
-    taf = newest_per_key(t.taf, "station", "issue_time", "taf_id")
-    forecast = forecast_periods(taf).join(here, "station").select(
-        "ident", "station", F.lit("forecast").alias("part"), F.col("pos").alias("place"),
-        F.concat_ws(" | ", "time_from", "time_to", "change", "wind", "clouds").alias("text"))
-    over = hazards_shown(at, t.hazards).join(here, "ident").select(
-        "ident", "station", F.lit("hazard").alias("part"), F.col("hazard_id").cast("bigint").alias("place"),
-        F.concat_ws(" | ", "title", "source", "until", "levels", "raw").alias("text"))
-    near = H.nearby_reports(at, t.pireps).select(
-        "ident", "station", F.lit("report").alias("part"), F.col("position").alias("place"),
-        F.concat_ws(" | ", "ac_type", F.concat(F.lit("FL"), "flt_lvl"), "raw_ob").alias("text"))
-    return conditions.unionByName(forecast).unionByName(over).unionByName(near)
+        *part("conditions", F.lit(0)), "flight_category", "wind", "visibility", "ceiling", "clouds", "temperature", "dewpoint",
+        "altimeter_inhg", "observed", F.col("raw_ob").alias("raw"))
+    taf = newest_per_key(chosen(current(t.taf, "issue_time", as_of, FORECAST_HOURS)), "station", "issue_time", "taf_id")
+    heads = taf.select("station", zulu(F.col("issue_time")).alias("issued"), F.col("raw_taf").alias("raw"))
+    forecast = forecast_periods(taf).join(heads, "station").join(here, "station").select(
+        *part("forecast", F.col("pos")), "issued", "time_from", "time_to", "change", "wind", "visibility", "weather", "clouds", "raw")
+    over = hazards_shown(at, t.hazards if as_of is None else t.hazards.where(F.col("valid_time_to") > F.lit(as_of))).select(
+        *part("hazard", F.col("hazard_id")), "title", "source", "severity", "until", "levels", "raw")
+    reports = current(t.pireps, "obs_time", as_of, OBSERVATION_HOURS)
+    near = H.nearby_reports(at, reports).select(
+        *part("report", F.col("position")), "ac_type", F.concat(F.lit("FL"), "flt_lvl").alias("levels"),
+        zulu(F.col("obs_time")).alias("observed"), F.col("raw_ob").alias("raw"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (conditions, forecast, over, near))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyspine import schemas as S
@@ -18,6 +18,30 @@ def read_weather_json(spark: SparkSession, path: str, kind: str, multi_line: boo
     return spark.read.schema(WEATHER[kind]).option("multiLine", multi_line).json(path)
 
 
+def weather_rows(feed: DataFrame, kind: str) -> DataFrame:
+    """Landed records of one kind as the weather products know them. Records have no id of their own: a hash of what
+    identifies them stands for it, so a record that lands twice is one."""
+    def named(**names: str) -> list[Column]:
+        return [F.col(old).alias(new) for new, old in names.items()]
+
+    if kind == "metar":
+        return feed.select(F.xxhash64("icaoId", "obsTime", "rawOb").alias("report_id"), *named(
+            station="icaoId", name="name", obs_time="obsTime", flt_cat="fltCat", altim="altim", wdir="wdir", wspd="wspd", wgst="wgst",
+            visib="visib", temp="temp", dewp="dewp", clouds="clouds", raw_ob="rawOb"))
+    if kind == "taf":
+        issued = F.unix_timestamp(F.try_to_timestamp("issueTime"))
+        return feed.select(F.xxhash64("icaoId", "issueTime", "rawTAF").alias("taf_id"), *named(station="icaoId", raw_taf="rawTAF", fcsts="fcsts"),
+                           issued.alias("issue_time"))
+    if kind == "hazard":
+        return feed.select(F.xxhash64(F.to_json(F.struct("coords", "hazard", "validTimeTo", "rawAirSigmet", "rawSigmet"))).alias("hazard_id"), *named(
+            coords="coords", hazard="hazard", severity="severity", valid_time_to="validTimeTo", altitude_low="altitudeLow1",
+            altitude_hi="altitudeHi1", raw_air_sigmet="rawAirSigmet", raw_sigmet="rawSigmet"))
+    if kind == "pirep":
+        return feed.select(F.xxhash64("lat", "lon", "obsTime", "rawOb").alias("report_id"), *named(
+            report_lat="lat", report_lon="lon", obs_time="obsTime", ac_type="acType", flt_lvl="fltLvl", raw_ob="rawOb"))
+    raise ValueError(f"no weather feed {kind}")
+
+
 def read_photo_json(answers: DataFrame, column: str = "value") -> DataFrame:
     """Photo answers (JSON text) to the columns of the photo table."""
     rest = [c for c in answers.columns if c != column]

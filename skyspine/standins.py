@@ -281,9 +281,11 @@ def _metar(flat: DataFrame) -> DataFrame:
 
 def _taf(flat: DataFrame) -> DataFrame:
     first = ("named_struct('timeFrom', from1, 'timeTo', to1, 'fcstChange', change1, 'probability', prob1, 'wdir', wdir1, "
-             "'wspd', wspd1, 'wgst', wgst1, 'clouds', " + _clouds(("'BKN'", "wspd1 * 100")) + ")")
+             "'wspd', wspd1, 'wgst', wgst1, 'visib', concat(CAST(wspd1 % 9 AS STRING), '+'), 'wxString', "
+             "CASE WHEN wspd1 % 3 = 0 THEN '-RA' END, 'clouds', " + _clouds(("'BKN'", "wspd1 * 100")) + ")")
     second = ("named_struct('timeFrom', from2, 'timeTo', to2, 'fcstChange', change2, 'probability', CAST(NULL AS INT), "
-              "'wdir', CAST(NULL AS BIGINT), 'wspd', CAST(NULL AS BIGINT), 'wgst', CAST(NULL AS BIGINT), 'clouds', "
+              "'wdir', CAST(NULL AS BIGINT), 'wspd', CAST(NULL AS BIGINT), 'wgst', CAST(NULL AS BIGINT), 'visib', "
+              "CAST(NULL AS STRING), 'wxString', CAST(NULL AS STRING), 'clouds', "
               + _clouds(("CAST(NULL AS STRING)", "wspd1")) + ")")
     return flat.selectExpr("taf_id", "station", "issue_time", "raw_taf", f"array({first}, {second}) AS fcsts")
 

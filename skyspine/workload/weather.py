@@ -11,7 +11,7 @@ from skyspine.operators import hazards as H
 from skyspine.operators import ordering
 from skyspine.plans import airports as plans
 from skyspine.session import scratch
-from skyspine.sources.json_feeds import read_photo_json, read_weather_json
+from skyspine.sources.json_feeds import read_photo_json, read_weather_json, weather_rows
 from skyspine.standins import polygons
 from skyspine.workload.registry import query
 
@@ -69,8 +69,9 @@ def _(t, spark):
 PERIODS = f"""SELECT station, taf_id, CAST(0 AS BIGINT) AS pos, {zulu('from1')} AS time_from, {zulu('to1')} AS time_to,
   coalesce(NULLIF(change1, '') || coalesce(' ' || CAST(prob1 AS STRING) || '%', ''), 'FROM') AS change,
   CASE WHEN wdir1 IS NULL THEN '—' ELSE CAST(wdir1 AS STRING) || '° @ ' || CAST(wspd1 AS STRING) || 'kt' ||
-    coalesce('G' || CAST(wgst1 AS STRING), '') END AS wind, 'BKN ' || format('{{:,}}', wspd1 * 100) AS clouds FROM {{source}}
-UNION ALL SELECT station, taf_id, CAST(1 AS BIGINT), {zulu('from2')}, {zulu('to2')}, change2, '—', 'Clear' FROM {{source}}"""
+    coalesce('G' || CAST(wgst1 AS STRING), '') END AS wind, CAST(wspd1 % 9 AS STRING) || '+ SM' AS visibility,
+  CASE WHEN wspd1 % 3 = 0 THEN '-RA' END AS weather, 'BKN ' || format('{{:,}}', wspd1 * 100) AS clouds FROM {{source}}
+UNION ALL SELECT station, taf_id, CAST(1 AS BIGINT), {zulu('from2')}, {zulu('to2')}, change2, '—', '—', NULL, 'Clear' FROM {{source}}"""
 
 
 @query("taf_periods", PERIODS.replace("{source}", "v_taf"))
@@ -156,31 +157,68 @@ def _(t, spark):
     return H.nearby_reports(plans.stations(t), t.pireps, radius_nm=700.0).select("ident", "report_id", "position")
 
 
-@query("airport_weather", f"""WITH s AS ({STATIONS}),
+COLUMNS = ["flight_category", "wind", "visibility", "ceiling", "clouds", "temperature", "dewpoint", "altimeter_inhg", "observed", "raw", "issued",
+           "time_from", "time_to", "change", "weather", "title", "source", "severity", "until", "levels", "ac_type"]
+
+
+def panel(part: str, place: str, rows: str, **values: str) -> str:
+    """One part of the panel; what it lacks is NULL."""
+    kind = {"altimeter_inhg": "DOUBLE"}
+    cells = [f"{values[c]} AS {c}" if c in values else f"CAST(NULL AS {kind.get(c, 'VARCHAR')}) AS {c}" for c in COLUMNS]
+    return f"SELECT s.ident, s.station, '{part}' AS part, CAST({place} AS BIGINT) AS place, {', '.join(cells)} FROM {rows}"
+
+
+def weather_sql(only: str = "", metar: str = "v_metar", taf: str = "v_taf", hazards: str = "v_hazards", pireps: str = "v_pireps") -> str:
+    same = {c: c for c in COLUMNS}
+    return f"""WITH s AS ({STATIONS} {only}),
  m AS ({CONDITIONS} FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY obs_time DESC, report_id DESC) AS rn
-   FROM v_metar) q WHERE rn = 1),
+   FROM {metar}) q WHERE rn = 1),
  newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY issue_time DESC, taf_id DESC) AS rn
-   FROM v_taf) q WHERE rn = 1),
- f AS ({PERIODS.replace('{source}', 'newest')}), h AS ({SHOWN} FROM ({OVER}) o JOIN v_hazards h USING (hazard_id)),
- n AS ({NEAR.format(radius=150)})
-SELECT s.ident, s.station, 'conditions' AS part, CAST(0 AS BIGINT) AS place, concat_ws(' | ', flight_category, wind, visibility,
-  ceiling, clouds, temperature, dewpoint, observed) AS text FROM m JOIN s USING (station)
-UNION ALL SELECT s.ident, s.station, 'forecast', pos, concat_ws(' | ', time_from, time_to, change, wind, clouds)
-FROM f JOIN s USING (station)
-UNION ALL SELECT s.ident, s.station, 'hazard', h.hazard_id, concat_ws(' | ', coalesce(hazard, source), source,
-  {zulu('valid_time_to')}, CASE WHEN altitude_low IS NOT NULL THEN 'FL' || CAST(altitude_low AS STRING) || '–' ||
-  CAST(altitude_hi AS STRING) END, substr(raw, 1, 400)) FROM h JOIN s ON s.ident = h.ident
-UNION ALL SELECT s.ident, s.station, 'report', n.position, concat_ws(' | ', r.ac_type, 'FL' || r.flt_lvl, r.raw_ob)
-FROM n JOIN s ON s.ident = n.ident JOIN v_pireps r ON r.report_id = n.report_id""")
+   FROM {taf}) q WHERE rn = 1),
+ f AS (SELECT p.*, {zulu('issue_time')} AS issued, raw_taf AS raw FROM ({PERIODS.replace('{source}', 'newest')}) p
+   JOIN newest USING (taf_id)), h AS ({SHOWN} FROM ({OVER}) o JOIN (FROM {hazards}) h USING (hazard_id)),
+ n AS ({NEAR.format(radius=150).replace('v_pireps', pireps)})
+""" + " UNION ALL ".join([
+        panel("conditions", "0", "m JOIN s USING (station)", **{c: same[c] for c in COLUMNS[:9]}, raw="raw_ob"),
+        panel("forecast", "pos", "f JOIN s USING (station)", **{c: same[c] for c in ("issued", "time_from", "time_to", "change", "wind", "visibility", "weather", "clouds", "raw")}),
+        panel("hazard", "h.hazard_id", "h JOIN s ON s.ident = h.ident", title="coalesce(hazard, source)", source="source", severity="severity",
+              until=zulu("valid_time_to"), levels="""CASE WHEN altitude_low IS NOT NULL THEN 'FL' || CAST(altitude_low AS STRING) || '–' ||
+  CAST(altitude_hi AS STRING) END""", raw="substr(raw, 1, 400)"),
+        panel("report", "n.position", "n JOIN s ON s.ident = n.ident JOIN v_pireps r ON r.report_id = n.report_id", ac_type="r.ac_type",
+              levels="'FL' || r.flt_lvl", observed=zulu("r.obs_time"), raw="r.raw_ob")])
+
+
+@query("airport_weather", weather_sql())
 def _(t, spark):
     return plans.airport_weather(t)
 
 
-@query("airport_weather_one", f"""SELECT station, report_id, {WIND} AS wind FROM v_metar WHERE station = 'K12'
-ORDER BY obs_time DESC, report_id DESC LIMIT 1""")
+@query("airport_weather_one", weather_sql("WHERE ident = 'A12'"))
+def _(t, spark):
+    return plans.airport_weather(t, "A12")
+
+
+AS_OF = 1704067200 + 43200
+
+
+def window(view: str, column: str, hours: int) -> str:
+    return f"(SELECT * FROM {view} WHERE {column} BETWEEN {AS_OF - hours * 3600 + 1} AND {AS_OF})"
+
+
+@query("airport_weather_current", weather_sql("", window("v_metar", "obs_time", 2), window("v_taf", "issue_time", 30),
+                                              f"(SELECT * FROM v_hazards WHERE valid_time_to > {AS_OF})", window("v_pireps", "obs_time", 2)))
+def _(t, spark):
+    return plans.airport_weather(t, as_of=AS_OF)
+
+
+@query("weather_from_landing", f"SELECT * EXCLUDE (report_id) FROM ({CONDITIONS} FROM v_metar) c")
 def _(t, spark):
-    rows = plans.current_conditions(t.metar.where("station = 'K12'").orderBy(F.col("obs_time").desc()).limit(1))
-    return rows.select("station", "report_id", "wind")
+    """Observations as the feed names them, landed, read back, and shown."""
+    path = scratch(spark, "metar")
+    clouds = F.transform("clouds", lambda c: F.struct(c["cover"].alias("cover"), c["base"].alias("base")))
+    t.metar.select(F.col("station").alias("icaoId"), "name", F.col("obs_time").alias("obsTime"), F.col("flt_cat").alias("fltCat"), "altim", "wdir", "wspd",
+                   "wgst", "visib", "temp", "dewp", clouds.alias("clouds"), F.col("raw_ob").alias("rawOb")).write.json(path)
+    return plans.current_conditions(weather_rows(read_weather_json(spark, path, "metar"), "metar")).drop("report_id")
 
 
 @query("read_weather_json", f"""SELECT station AS "icaoId", obs_time AS "obsTime", flt_cat AS "fltCat", CAST(wdir AS STRING) AS wdir,

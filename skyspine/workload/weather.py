@@ -193,9 +193,9 @@ def _(t, spark):
     return plans.airport_weather(t)
 
 
-@query("airport_weather_one", weather_sql("WHERE ident = 'A12'"))
+@query("airport_weather_one", weather_sql("WHERE ident = 'A000003'"))
 def _(t, spark):
-    return plans.airport_weather(t, "A12")
+    return plans.airport_weather(t, "A000003")
 
 
 AS_OF = 1704067200 + 43200

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skyspine.operators import airports as A
 from skyspine.operators import hazards as H
 from skyspine.operators import keys as K
-from skyspine.operators import spine, traffic
-from skyspine.plans import fleet, routes
+from skyspine.operators import joblog, spine, traffic
+from skyspine.plans import airports, fleet, routes
 from skyspine.standins import domain_tables
 from skyspine.tables import Tables
 
@@ -34,8 +34,8 @@ def plan(df):
 
 
 def test_no_query_needs_a_nested_loop(spark, no_broadcast):
-    import __spark_entry__ as entry
-    lazy = {k: q for k, q in entry.queries().items() if not re.match(
+    from skyspine import workload
+    lazy = {k: q for k, q in workload.queries().items() if not re.match(
         r"ingest_|upsert_stored|stream_|replace_table|read_|load_periods|append_log|text_search_stored|filter_record|resolve|merge_pages", k)}
     assert len(lazy) > 140
     for key, q in lazy.items():
@@ -142,3 +142,17 @@ def test_parents_with_children_is_the_left_join(spark):
     got = sorted(tuple(r[c] for c in ("k", "v", "w")) for r in K.parents_with_children(parents, children, ["k"]).collect())
     want = sorted(tuple(r) for r in parents.join(children, "k", "left").select("k", "v", "w").collect())
     assert str(got) == str(want)
+
+
+def test_one_station_does_not_form_the_newest_of_all(spark, no_broadcast, t):
+    """Below each ranking of the newest report stands the semi join with the chosen station."""
+    for branch in plan(airports.airport_weather(t, "A000003")).split("WindowGroupLimit [station")[1::2]:
+        assert "LeftSemi" in branch
+    assert plan(airports.airport_weather(t, "A000003")).count("LeftSemi") >= 2
+
+
+def test_newest_and_summary_do_not_sort_raw_rows(spark, no_broadcast, t):
+    assert "SortAggregate" not in plan(joblog.newest_per_key(t.metar, "station", "obs_time", "report_id"))
+    assert "SortAggregate" not in plan(joblog.run_ledger(t.run_events))
+    summary = plan(traffic.route_summary(traffic.charter_routes(t)))
+    assert summary.rindex("HashAggregate") > summary.rindex("SortAggregate")  # the lowest aggregation is a hash

@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
 from skyspine.session import scratch
 from skyspine.sources import text as X
+from skyspine.sources.archive import bad_archives, member_table, read_zip_members
 from skyspine.sources.json_feeds import read_mail_json, read_photo_answers
 from skyspine.sources.store import StoredTable, load_report
 
@@ -96,23 +99,45 @@ def shape_traffic(raw: DataFrame, strict: bool = True) -> DataFrame:
     return typed_load(first, S.table_schema("t100_segment"), strict=strict)
 
 
+class BrokenArchive(ValueError):
+    """A zip archive that cannot be read to its end."""
+
+
+def _period_table(spark: SparkSession, path: str) -> DataFrame:
+    """A traffic file with its source order, the columns found by its header."""
+    if not path.endswith(".zip"):
+        return X.read_text_table(spark, path, position=True)
+    members = read_zip_members(spark, path, ".csv")
+    broken = bad_archives(members).first()
+    if broken:
+        raise BrokenArchive(f"broken archive: {broken['reason']}")
+    heads = members.where("line_no = 0").select("line").distinct().collect()
+    if not heads:
+        raise KeyError("no archive")
+    rows = member_table(members, [c for c in next(csv.reader([heads[0]["line"]], skipinitialspace=True)) if c.strip() in V.TRAFFIC_COLUMNS])
+    return rows.withColumn(POSITION, F.struct(F.col("_position.archive").alias("file"), F.lit(0).cast("bigint").alias("offset"),
+                                               F.col("_position.line_no").alias("place")))
+
+
 def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Several period files to (rows of the good periods with their ``period``, report per period).
 
-    A period whose file lacks columns, or holds one bad cell, is left out whole and reported as skipped.
-    All files are checked in one job; only their headers are looked at beforehand. The checked rows are
-    written once to the shared folder, so that neither the report nor the load reads the files again.
+    A path is a text file, a folder of them, or a zip archive (or a folder ``…/*.zip``) with a ``.csv`` member. A period whose file
+    is missing, broken, lacks columns, or holds one bad cell, is left out whole and reported as skipped; one without
+    rows is reported as empty. All rows are checked in one job; only headers are looked at beforehand, and zips for breaks. The
+    checked rows are written once to the shared folder, so that neither the report nor the load reads the files again.
     """
     order = S.table_schema("t100_segment").fieldNames()
-    shaped, skipped = [], []
+    shaped, skipped, found = [], [], []
     for period, path in sorted(files.items()):
-        raw = X.read_text_table(spark, path, position=True)
         try:
-            rows = X.project_rename(raw, V.TRAFFIC_COLUMNS, order, [POSITION])
-        except KeyError as why:
-            skipped.append((period, 0, 0, "skipped", str(why.args[0])))
+            rows = X.project_rename(_period_table(spark, path), V.TRAFFIC_COLUMNS, order, [POSITION])
+        except (KeyError, AnalysisException, BrokenArchive) as why:
+            reason = "no such file" if isinstance(why, AnalysisException) else str(why.args[0])
+            skipped.append((period, 0, 0, "skipped", reason))
             continue
         shaped.append(rows.withColumn("period", F.lit(period)))
+        found.append(period)
     report_ddl = "period STRING, rows BIGINT, bad_rows BIGINT, status STRING, reason STRING"
     missing = spark.createDataFrame(skipped, report_ddl)
     if not shaped:
@@ -130,6 +155,10 @@ def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame,
     report = checked.groupBy("period").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_rows")).select(
         "period", "rows", "bad_rows", F.when(F.col("bad_rows") > 0, "skipped").otherwise("loaded").alias("status"),
         F.when(F.col("bad_rows") > 0, "bad cells").alias("reason"))
+    held = spark.createDataFrame([(p,) for p in found], "period STRING")
+    report = held.join(report, "period", "left").select(
+        "period", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"),
+        F.coalesce("status", F.lit("empty")).alias("status"), "reason")
     good = checked.join(report.where("status = 'skipped'").select("period"), "period", "left_anti")
     return good.select(*schema.fieldNames(), "period"), report.unionByName(missing)
 

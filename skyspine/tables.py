@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    from skyspine.sources.store import StoredTable
+
 
 class Tables:
     """Table name -> DataFrame, each resolved on first use."""
@@ -18,6 +22,11 @@ class Tables:
     def from_parquet(cls, spark: SparkSession, paths: Mapping[str, str]) -> "Tables":
         return cls({name: (lambda p=path: spark.read.parquet(p)) for name, path in paths.items()})
 
+    @classmethod
+    def from_stored(cls, spark: SparkSession, stored: Mapping[str, "StoredTable"]) -> "Tables":
+        """Stored tables as of their newest commit; their folders also hold rows that no longer count."""
+        return cls({name: (lambda s=table: s.read(spark)) for name, table in stored.items()})
+
     @classmethod
     def of(cls, **frames: DataFrame) -> "Tables":
         return cls({name: (lambda f=frame: f) for name, frame in frames.items()})

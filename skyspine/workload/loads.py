@@ -234,6 +234,41 @@ def _(t, spark):
     return as_loaded(ingest.stored(root, "t100_segment", ("year", "month")).read(spark))
 
 
+def zip_traffic(spark, rows, tag: str) -> str:
+    """The rows as one zip archive, its columns in an order of their own."""
+    folder = scratch(spark, tag)
+    heads = {v: k for k, v in V.TRAFFIC_COLUMNS.items()}
+    columns = rows.columns[::-1]
+    line = csv_line(F.lit("x"), *[F.col(c).cast("string") for c in columns])
+    packed = zip_batches(rows.coalesce(1), line, "T_SEGMENT.csv", ",".join(["UNUSED", *[heads[c] for c in columns]]))
+    packed.select(F.base64("content").alias("content")).write.json(folder)
+    return folder
+
+
+@query("ingest_traffic_zip", f"SELECT {SHOWN}, {', '.join(m + '::DOUBLE AS ' + m for m in MEASURES)} FROM ({KEYED_SQL}) q WHERE year = {BAD_YEAR}")
+def _(t, spark):
+    """Columns are found by the header of the zipped member, whatever their order."""
+    rows = keyed_traffic(t, spark).where(F.col("year") == BAD_YEAR)
+    packed = spark.read.json(zip_traffic(spark, rows, "zips")).select(F.lit("a.zip").alias("path"), F.unbase64("content").alias("content"))
+    members = archive.member_lines(packed, ".csv")
+    raw = archive.member_table(members, list(V.TRAFFIC_COLUMNS))
+    return as_loaded(ingest.shape_traffic(raw))
+
+
+@query("ingest_traffic_report", f"""SELECT CAST(year AS VARCHAR) AS period, count(*) AS rows, CAST(0 AS BIGINT) AS bad_rows, 'loaded' AS status, CAST(NULL AS VARCHAR) AS reason
+FROM ({KEYED_SQL}) q WHERE year = 1996 GROUP BY year UNION ALL SELECT CAST(year AS VARCHAR), count(*), count(*) FILTER (WHERE unique_carrier = '7'), 'skipped', 'bad cells'
+FROM ({KEYED_SQL}) q WHERE year = {BAD_YEAR} GROUP BY year
+UNION ALL SELECT 'empty', 0, 0, 'empty', NULL UNION ALL SELECT 'missing', 0, 0, 'skipped', 'no such file'""")
+def _(t, spark):
+    """A good, a bad, an empty and a missing period."""
+    rows = keyed_traffic(t, spark).where(F.col("year").isin(1996, BAD_YEAR))
+    files = land_traffic(spark, rows, "traffic")
+    heads = ",".join(V.TRAFFIC_COLUMNS)
+    none = scratch(spark, "none")
+    spark.createDataFrame([(heads,)], "value STRING").coalesce(1).write.text(none)
+    return ingest.ingest_traffic(spark, files | {"empty": none, "missing": f"{none}/nowhere"}, scratch(spark, "tables"))
+
+
 @query("read_zip_members", """SELECT o_orderkey, o_custkey, o_orderpriority FROM orders""")
 def _(t, spark):
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"))

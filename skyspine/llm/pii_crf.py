@@ -2,8 +2,8 @@
 
 The patterns give the base spans. The field labels the words between blanks from features of their shape alone (counts of
 digits, letters and signs), is trained on the small labelled table below, and adds spans that the patterns miss, such as
-grouped telephone numbers without a plus sign. A span that it adds must also look like its kind (``plausible``) and must not touch
-a base span.
+grouped telephone numbers without a plus sign. Words that touch a base span are left to it, and a span that the field adds must
+also look like its kind (``plausible``).
 
 Decoding is exact Viterbi over whole texts. A word whose "outside" score leads by more than any change of its neighbours'
 transitions could make up is outside on the best path in any case; the runs of words between such words are decoded on their
@@ -369,9 +369,11 @@ def plausible(kind: str, s: str) -> bool:
         return s.count(".") == 3 and all(p.isdigit() and p.isascii() for p in s.split(".")) and _ip_ok(s)
     if any(not ("0" <= c <= "9") and c not in " ().-/+" for c in s):
         return False
-    if kind == "card":
-        return _card_ok(s)
-    return 9 <= len(d) <= 15 and len(d) < len(s) and s[0] in "+(0123456789" and s.count("(") == s.count(")")
+    groups = [len(g) for g in re.findall("[0-9]+", s)]
+    if kind == "card":  # no dates or counts
+        return _card_ok(s) and min(groups) >= 3
+    grouped = len(groups) <= (7 if s[0] == "+" else 5) and (s[0] == "+" or max(groups, default=0) >= 3)
+    return grouped and 9 <= len(d) <= 15 and len(d) < len(s) and s[0] in "+(0123456789" and s.count("(") == s.count(")")
 
 
 def all_spans(texts: common.Texts, model: Field) -> Iterator[tuple[list[Span], list[Span]]]:
@@ -391,22 +393,23 @@ def all_spans(texts: common.Texts, model: Field) -> Iterator[tuple[list[Span], l
         more = []
         if i in by_text:
             plain = len(text) == len(data)
-            runs: list[list[int]] = []
-            for k in by_text[i]:  # words of one span: labelled alike, next to each other, later ones "inside"
-                name = LABELS[labels[k]]
-                if runs and name[0] == "I" and runs[-1][1] == k - 1 and LABELS[labels[k - 1]][2:] == name[2:]:
-                    runs[-1][1] = k
-                else:
-                    runs.append([k, k])
-            for a, b in runs:
-                kind, x, y = LABELS[labels[a]][2:], int(begins[a]) - cut[i], int(ends[b]) - cut[i]
+            runs: list[list[int]] = []  # last word, its label's kind, start, end
+            for k in by_text[i]:  # words of one span: labelled alike, next to each other, later ones "inside", none in a base span
+                name, x, y = LABELS[labels[k]], int(begins[k]) - cut[i], int(ends[k]) - cut[i]
                 if not plain:
                     x, y = len(data[:x].decode("utf-8", "replace")), len(data[:y].decode("utf-8", "replace"))
+                if any(x < q and p < y for _, p, q in base):
+                    continue
+                if runs and name[0] == "I" and runs[-1][0] == k - 1 and runs[-1][1] == name[2:]:
+                    runs[-1][0], runs[-1][3] = k, y
+                else:
+                    runs.append([k, name[2:], x, y])
+            for _, kind, x, y in runs:
                 while x < y and text[x] in _EDGES[kind]:
                     x += 1
                 while y > x and text[y - 1] in _EDGES[kind]:
                     y -= 1
-                if x < y and plausible(kind, text[x:y]) and not any(x < q and p < y for _, p, q in base):
+                if x < y and plausible(kind, text[x:y]):
                     more.append((kind, x, y))
         yield base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
 

@@ -316,7 +316,6 @@ def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold.
 
-    The verdict belongs to an id: if several rows share one, all go if one of their texts is toxic. A row without an id stays
-    if it has no score to its name, so all such rows stay.
+    The verdict belongs to an id: if several rows share one, all go if one of their texts is toxic. Rows without an id stay.
     """
     return common.without(docs, score(docs, labels).where(F.col("score") >= THRESHOLD).select("doc_id"), "doc_id")

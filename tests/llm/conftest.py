@@ -1,7 +1,5 @@
 import pytest
 
-LONG = "word " * 30_000 + "end"
-
 
 @pytest.fixture
 def documents(spark):
@@ -11,10 +9,3 @@ def documents(spark):
         return spark.createDataFrame(full, "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG, size INT, node STRING, "
                                            "score DOUBLE, _gone STRING").repartition(3)
     return make
-
-
-@pytest.fixture
-def rows():
-    def collect(df):
-        return sorted((tuple(r) for r in df.collect()), key=repr)
-    return collect

@@ -6,7 +6,8 @@ matched with that one only, so a passage in a third of all documents makes one m
 group. Matches of one document with one source are chained: places must rise in both, each match scores ``GAIN`` and each word of
 a gap costs ``GAP``; the best chain to every match comes from a Fenwick tree of prefix maxima over the source's places. Chains are
 then aligned on the words themselves, across the gaps and beyond both ends, and kept as passages from ``MIN_WORDS`` words and
-``MIN_IDENTITY`` on. Since an alignment runs on past its chain, seeds that went to another source cost nothing.
+``MIN_IDENTITY`` on; an alignment below that identity, as over two passages and what differs between them, is cut into its longest
+stretches that reach it. Since an alignment runs on past its chain, seeds that went to another source cost nothing.
 
 Odd rows: a null or empty text and a text of fewer than K words have no seeds; A-Z count as small letters; rows without an id take no part;
 rows of one id are one document, whose repeats within itself are no matches, the first of its texts by content being aligned; ties go
@@ -137,17 +138,17 @@ def _edits(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _beyond(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far two runs go on alike from their starts: words of each, and how many are equal."""
-    i = j = same = 0
-    end = (0, 0, 0)
+def _beyond(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """How two texts go on alike from their starts: equal runs (place in a, place in b, words)."""
+    i = j = 0
+    out = []
     while i < len(a) and j < len(b):
         n = min(len(a) - i, len(b) - j)
         differ = np.flatnonzero(a[i:i + n] != b[j:j + n])
         run = int(differ[0]) if len(differ) else n
-        i, j, same = i + run, j + run, same + run
         if run:
-            end = (i, j, same)
+            out.append((i, j, run))
+        i, j = i + run, j + run
         step = None
         for total in range(1, 2 * SKIP + 1):
             for da in range(max(0, total - SKIP), min(SKIP, total) + 1):
@@ -161,7 +162,17 @@ def _beyond(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         if step is None:
             break
         i, j = step[1], step[2]
-    return end
+    return out
+
+
+def _end(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """Words of each text up to the end of the runs, and how many are equal."""
+    return (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2], sum(n for _, _, n in runs)) if runs else (0, 0, 0)
+
+
+def _mirrored(runs: list[tuple[int, int, int]], i: int, j: int) -> list[tuple[int, int, int]]:
+    """Runs found backwards from the places i and j, as places of the texts."""
+    return [(i - p - n, j - q - n, n) for p, q, n in reversed(runs)]
 
 
 def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> tuple[int, int, int, int, int]:
@@ -177,8 +188,8 @@ def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> tuple[int
         n = min(end, len(a) - i, len(b) - j)
         same += int((a[i:i + n] == b[j:j + n]).sum())
         i, j = i + n, j + n
-    back = _beyond(a[:x[0]][::-1], b[:y[0]][::-1])
-    on = _beyond(a[i:], b[j:])
+    back = _end(_beyond(a[:x[0]][::-1], b[:y[0]][::-1]))
+    on = _end(_beyond(a[i:], b[j:]))
     return x[0] - back[0], i + on[0], y[0] - back[1], j + on[1], same + back[2] + on[2]
 
 
@@ -187,6 +198,49 @@ def x_end(place: int, at: int) -> int:
     return place + K - max(place, at)
 
 
+def stretches(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Of the alignment around a chain, the longest stretch that is a passage, and again so on either side of it, as ``align`` gives them."""
+    runs = []  # place in a, place in b, words, equal words, equal words of the gap before
+    i, j = x[0], y[0]
+    for p, q in zip(x, y):
+        inner = 0
+        if p > i or q > j:
+            if p < i or q < j:
+                p, q = p + max(i - p, j - q), q + max(i - p, j - q)
+            on = _beyond(a[i:p], b[j:q])
+            runs += [(i + u, j + v, n, n, 0) for u, v, n in on]
+            i, j = i + _end(on)[0], j + _end(on)[1]
+            back = _mirrored(_beyond(a[i:p][::-1], b[j:q][::-1]), p, q)
+            inner = _edits(a[i:(back[0][0] if back else p)], b[j:(back[0][1] if back else q)])
+            for u, v, n in back:
+                runs.append((u, v, n, n, inner))
+                inner = 0
+            i, j = p, q
+        n = max(0, min(x_end(p, i), x_end(q, j), len(a) - i, len(b) - j))
+        runs.append((i, j, n, int((a[i:i + n] == b[j:j + n]).sum()), inner))
+        i, j = i + n, j + n
+    before = _mirrored(_beyond(a[:x[0]][::-1], b[:y[0]][::-1]), x[0], y[0])
+    runs = [(u, v, n, n, 0) for u, v, n in before] + runs + [(i + u, j + v, n, n, 0) for u, v, n in _beyond(a[i:], b[j:])]
+    s, u, n, equal, inner = np.array(runs, dtype=np.int64).T
+    e, v, total = s + n, u + n, np.cumsum(equal + inner)
+    out, todo = [], [(0, len(s))]
+    while todo:
+        first, end = todo.pop()
+        best = (0, 0, 0)
+        for k in range(first, end):
+            if e[end - 1] - s[k] < MIN_WORDS or e[end - 1] - s[k] <= best[0]:
+                break
+            one, other, same = e[k:end] - s[k], v[k:end] - u[k], total[k:end] - total[k] + equal[k]
+            good = np.flatnonzero((np.minimum(one, other) >= MIN_WORDS) & (same >= MIN_IDENTITY * np.maximum(one, other)))
+            if len(good) and one[good[-1]] > best[0]:
+                best = (int(one[good[-1]]), k, k + int(good[-1]))
+        if best[0]:
+            _, k, to = best
+            out.append(tuple(int(c) for c in (s[k], e[to], u[k], v[to], total[to] - total[k] + equal[k])))
+            todo += [(first, k), (to + 1, end)]
+    return out
+
+
 def passages(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[tuple[int, int, int, int, int, float]]:
     """Passages (start, end, source start, source end, equal words, identity) of two texts from their matches, by start.
 
@@ -196,10 +250,13 @@ def passages(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[t
     for chain in chains(x, y) or [[0]]:
         if any(s <= x[chain[0]] and x[chain[-1]] + K <= e and u <= y[chain[0]] and y[chain[-1]] + K <= v for s, e, u, v, _, _ in out):
             continue  # an alignment went over it already
-        s, e, u, v, same = align(a, b, [x[k] for k in chain], [y[k] for k in chain])
-        identity = same / max(e - s, v - u)
-        if min(e - s, v - u) >= MIN_WORDS and identity >= MIN_IDENTITY:
-            out.append((s, e, u, v, same, identity))
+        along = [x[k] for k in chain], [y[k] for k in chain]
+        s, e, u, v, same = align(a, b, *along)
+        if min(e - s, v - u) < MIN_WORDS:
+            continue
+        whole = same >= MIN_IDENTITY * max(e - s, v - u)
+        out += [(s, e, u, v, same, same / max(e - s, v - u))
+                for s, e, u, v, same in ([(s, e, u, v, same)] if whole else stretches(a, b, *along))]
     return sorted(out)
 
 

@@ -89,6 +89,28 @@ def test_seeds_that_went_elsewhere_do_not_shorten_a_passage(documents):
     assert len(got) == 1 and got[0][0] == 2 and got[0][3] == 1 and abs(got[0][1] - 40) <= 2 and abs(got[0][2] - 130) <= 2
 
 
+@pytest.mark.parametrize("size", [60, 100, 200])
+@pytest.mark.parametrize("one_sided", [False, True])
+def test_two_exact_passages_of_one_pair_are_both_found(size, one_sided):
+    """At any gap, and with an insert on one side only."""
+    rng = np.random.default_rng(size)
+    for gap in (10, 20, 45, 60, 100, 150, 220, 300):
+        for _ in range(10):
+            def new(n):
+                return rng.integers(0, 2 ** 32, n).astype(np.uint32)
+
+            p, q, ends = new(size), new(size), [new(rng.integers(0, 60)) for _ in range(4)]
+            a = np.concatenate([ends[0], p, new(gap), q, ends[1]])
+            b = np.concatenate([ends[2], p, new(0 if one_sided else gap), q, ends[3]])
+            grams = [common.window_hashes(t.astype(np.uint64), ch.K) for t in (a, b)]
+            there = {int(grams[1][k]): int(k) for k in ch.sparse(grams[1])}
+            at = [(int(k), there[int(grams[0][k])]) for k in ch.sparse(grams[0]) if int(grams[0][k]) in there]
+            found = ch.passages(a, b, [k for k, _ in at], [k for _, k in at])
+            assert all(same >= ch.MIN_IDENTITY * max(e - s, v - u) and min(e - s, v - u) >= ch.MIN_WORDS for s, e, u, v, same, _ in found)
+            for begin in (len(ends[0]), len(ends[0]) + size + gap):
+                assert sum(max(0, min(e, begin + size) - max(s, begin)) for s, e, *_ in found) >= 0.95 * size
+
+
 def test_odd_rows(documents):
     rng = random.Random(7)
     p = " ".join(passage(rng, 60))

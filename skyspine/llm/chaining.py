@@ -7,7 +7,9 @@ group. Matches of one document with one source are chained: places must rise in
 a gap costs ``GAP``; the best chain to every match comes from a Fenwick tree of prefix maxima over the source's places. Chains are
 then aligned on the words themselves, across the gaps and beyond both ends, and kept as passages from ``MIN_WORDS`` words and
 ``MIN_IDENTITY`` on; an alignment below that identity, as over two passages and what differs between them, is cut into its longest
-stretches that reach it. Since an alignment runs on past its chain, seeds that went to another source cost nothing.
+stretches that reach it. Since an alignment runs on past its chain, seeds that went to another source cost little. Where they cost a passage, a second step finds it if
+it is exact: every run of MIN_WORDS words that no passage holds and whose seeds all stand in several documents is matched with the
+first document that holds that same run, and aligned too. An edited passage whose seeds went to lower ids can still be lost.
 
 Odd rows: a null or empty text and a text of fewer than K words have no seeds; A-Z count as small letters; rows without an id take no part;
 rows of one id are one document, whose repeats within itself are no matches, the first of its texts by content being aligned; ties go
@@ -27,14 +29,19 @@ from skyspine.llm import common
 
 K, W = 6, 12
 GAIN, GAP = 8.0, 0.25
-#: Score of a chain that is worth aligning: two matches not too far apart.
-MIN_SCORE = 12.0
+#: Score of a chain that is worth aligning: a single match.
+MIN_SCORE = 8.0
 MIN_WORDS, MIN_IDENTITY = 50, 0.8
+#: Windows of W hashes within MIN_WORDS words, and seeds that they have at least.
+INSIDE = MIN_WORDS - K - W + 2
+LEAST_SEEDS = -(-INSIDE // W)
 #: Words that an alignment beyond the chain may skip at once on either side, and equal words that must follow.
 SKIP, AGAIN = 6, 4
 
 SEEDS = common.arrow_schema(seed=pa.int64(), doc=pa.int64(), pos=pa.int32(), first=pa.bool_())
-WORDS = common.arrow_schema(doc=pa.int64(), words=pa.binary())
+WORDS = common.arrow_schema(doc=pa.int64(), words=pa.binary(), seeds=pa.binary())
+#: Words of MIN_WORDS in a row: ``open`` if no passage holds them, ``first`` at their first place in the document.
+WINDOWS = common.arrow_schema(window=pa.int64(), doc=pa.int64(), pos=pa.int32(), open=pa.bool_(), first=pa.bool_())
 PASSAGES = common.arrow_schema(doc_id=pa.int64(), start=pa.int64(), end=pa.int64(), source_doc_id=pa.int64(), source_start=pa.int64(),
                                source_end=pa.int64(), matched=pa.int64(), identity=pa.float64())
 _PASSAGES_DDL = ("doc_id long, start long, end long, source_doc_id long, source_start long, source_end long, matched long, "
@@ -82,7 +89,48 @@ def _words(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for at, texts in common.text_slices(batch.column(1)):
         words, first = word_hashes(texts)
         short = (words >> np.uint64(32)).astype(np.uint32)
-        yield common.record(WORDS, batch.column(0).slice(at, len(texts)), [short[first[i]:first[i + 1]].tobytes() for i in range(len(texts))])
+        yield common.record(WORDS, batch.column(0).slice(at, len(texts)), [short[first[i]:first[i + 1]].tobytes() for i in range(len(texts))],
+                            [_ranked(words[first[i]:first[i + 1]]).tobytes() for i in range(len(texts))])
+
+
+def _ranked(words: np.ndarray) -> np.ndarray:
+    """Places of the seeds, and the rank of each one's hash among them."""
+    grams = common.window_hashes(words, K)
+    places = sparse(grams)
+    return np.stack([places, np.unique(grams[places], return_inverse=True)[1]]).astype(np.int32)
+
+
+def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, words, seeds, shared places, passages), the windows whose seeds all stand in other documents too."""
+    parts = []
+    for doc, words, seeds, shared, found in zip(*(c.to_pylist() for c in batch.columns)):
+        words = np.frombuffer(words, dtype=np.uint32).astype(np.uint64)
+        windows = common.window_hashes(words, MIN_WORDS)
+        if not len(windows):
+            continue
+        places, ranks = np.frombuffer(seeds, dtype=np.int32).reshape(2, -1)
+        several = np.zeros(len(places), dtype=bool)
+        several[ranks[np.isin(places, shared)]] = True
+        # the least hash of every W is a seed, wherever the text goes on beyond them
+        rank = np.full(len(words) - K + 1, len(places), dtype=np.int32)
+        rank[places] = ranks
+        least = np.lib.stride_tricks.sliding_window_view(rank, W).min(axis=1)
+        alone = np.concatenate([[0], np.cumsum(~several[least])])
+        keep = np.flatnonzero(alone[INSIDE:] == alone[:-INSIDE])
+        if not len(keep):
+            continue
+        held = np.zeros(len(windows) + 1, dtype=np.int64)
+        for p in found or ():
+            held[min(p["start"], len(windows))] += 1
+            held[min(max(p["start"], p["end"] - MIN_WORDS + 1), len(windows))] -= 1
+        free = np.cumsum(held[:-1])[keep] == 0
+        new = np.zeros(len(keep), dtype=bool)
+        new[np.unique(windows[keep], return_index=True)[1]] = True
+        some = free | new
+        parts.append((windows[keep][some].view(np.int64), np.full(int(some.sum()), doc), keep[some], free[some], new[some]))
+    if parts:
+        window, doc, pos, free, new = (np.concatenate(c) for c in zip(*parts))
+        yield common.record(WINDOWS, window, doc.astype(np.int64), pos.astype(np.int32), free, new)
 
 
 def chains(x: list[int], y: list[int]) -> list[list[int]]:
@@ -271,25 +319,44 @@ def _align_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield common.record(PASSAGES, *zip(*rows))
 
 
+def first_holders(rows: DataFrame, key: str) -> DataFrame:
+    """(key, source, there): the smallest id of each key that is in several documents, and its first place there."""
+    return (rows.where("first").groupBy(key).agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("there"))
+            .where("last > source").drop("last"))
+
+
+def aligned(matches: DataFrame, words: DataFrame) -> DataFrame:
+    both = (matches.join(words.select("doc", "words"), "doc")
+            .join(words.select(F.col("doc").alias("source"), F.col("words").alias("source_words")), "source"))
+    return both.select("doc", "source", "at", "words", "source_words").mapInArrow(_align_rows, _PASSAGES_DDL)
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that stand in a document of smaller id too, in words; see ``PASSAGES``."""
     common.prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("doc IS NOT NULL")
     seeds = common.stored(docs.mapInArrow(common.batches(_seeds), "seed long, doc long, pos int, first boolean"), "chain-seeds")
-    sources = (seeds.where("first").groupBy("seed").agg(F.min("doc").alias("source"), F.max("doc").alias("last"), F.min_by("pos", "doc").alias("there"))
-               .where("last > source").drop("last"))
-    matches = (seeds.join(sources, "seed").where("doc <> source").groupBy("doc", "source")
-               .agg(F.collect_list(F.struct("pos", "there")).alias("at")).where(F.size("at") >= 2))
-    matches = common.stored(matches, "chain-matches")
-    involved = matches.select("doc").unionAll(matches.select(F.col("source").alias("doc"))).distinct()
+    shared = (seeds.join(first_holders(seeds, "seed"), "seed").groupBy("doc", "source")
+              .agg(F.collect_list(F.struct("pos", "there")).alias("at")))
+    shared = common.stored(shared, "chain-matches")
+    matches = shared.where((F.col("doc") != F.col("source")) & (F.size("at") >= 2))
+    places = shared.groupBy("doc").agg(F.flatten(F.collect_list("at.pos")).alias("shared")).where(F.size("shared") >= LEAST_SEEDS)
+    places = common.stored(places, "chain-places")
+    involved = matches.select("doc").unionAll(matches.select(F.col("source").alias("doc"))).unionAll(places.select("doc")).distinct()
     involved = common.stored(involved, "chain-documents")
     few = involved.count() <= common.BROADCAST_IDS
-    words = (docs.join(F.broadcast(involved) if few else involved, "doc").mapInArrow(common.batches(_words), "doc long, words binary")
-             .groupBy("doc").agg(F.min("words").alias("words")))
+    words = (docs.join(F.broadcast(involved) if few else involved, "doc").mapInArrow(common.batches(_words), "doc long, words binary, seeds binary")
+             .groupBy("doc").agg(F.min(F.struct("words", "seeds")).alias("w")).select("doc", "w.*"))
     words = common.stored(words, "chain-words")
-    both = (matches.join(words, "doc")
-            .join(words.select(F.col("doc").alias("source"), F.col("words").alias("source_words")), "source"))
-    return both.select("doc", "source", "at", "words", "source_words").mapInArrow(_align_rows, _PASSAGES_DDL)
+    found = common.stored(aligned(matches, words), "chain-passages")
+
+    held = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    windows = (words.join(places, "doc").join(held, "doc", "left").select("doc", "words", "seeds", "shared", "found")
+               .mapInArrow(common.batches(_windows), "window long, doc long, pos int, open boolean, first boolean"))
+    windows = common.stored(windows, "chain-windows")
+    left = (windows.where("open").join(first_holders(windows, "window"), "window").where("doc <> source").groupBy("doc", "source")
+            .agg(F.collect_list(F.struct("pos", "there")).alias("at")))
+    return found.unionAll(aligned(common.stored(left, "chain-left"), words))
 
 
 def query(docs: DataFrame) -> DataFrame:

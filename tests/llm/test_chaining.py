@@ -111,6 +111,21 @@ def test_two_exact_passages_of_one_pair_are_both_found(size, one_sided):
                 assert sum(max(0, min(e, begin + size) - max(s, begin)) for s, e, *_ in found) >= 0.95 * size
 
 
+@pytest.mark.parametrize("size, cuts", [(55, [(0, 45)]), (60, [(0, 30), (30, 60)]), (80, [(0, 40), (40, 80)]), (100, [(0, 48), (26, 74), (52, 100)]),
+                                        (60, [(0, 20), (20, 40), (40, 60)]), (50, [(0, 25), (20, 50)])])
+def test_an_exact_passage_is_found_though_pieces_of_it_stand_in_lower_ids(documents, size, cuts):
+    rng = random.Random(size + len(cuts))
+    rows, at = [], {}
+    for k in range(0, 20 * 25, 20):
+        p = passage(rng, size)
+        rows += [(k + i, " ".join(passage(rng, 30) + p[s:e] + passage(rng, 30))) for i, (s, e) in enumerate(cuts)]
+        at[k + 11] = rng.randrange(60)
+        rows += [(k + 10, " ".join(passage(rng, 25) + p + passage(rng, 40))), (k + 11, " ".join(passage(rng, at[k + 11]) + p + passage(rng, 20)))]
+    got = {(r["doc_id"], r["source_doc_id"]): r for r in ch.repeated(documents(rows)).collect()}
+    assert set(got) == {(d, d - 1) for d in at}
+    assert all(abs(r["start"] - at[d]) <= 2 and abs(r["end"] - at[d] - size) <= 2 for (d, _), r in got.items())
+
+
 def test_odd_rows(documents):
     rng = random.Random(7)
     p = " ".join(passage(rng, 60))

@@ -1 +1 @@
-"""Training-data operators: ten corpus operators, their queries and SQL twins."""
+"""Training-data operators: thirteen corpus operators, their queries and SQL twins."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyspine.session import configure, scratch
+from skyspine.session import configure, scratch, shared_dir
 
 #: Rows of an Arrow batch, so that a batch of very long texts stays small.
 BATCH_ROWS = 256
@@ -30,6 +30,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a stored table that nothing reads any more; frames over other files stay as they are."""
+    spark = df.sparkSession
+    own = f"{shared_dir(spark).rstrip('/')}/skyspine/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if own.split(":", 1)[-1].lstrip("/") in folder:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Rows of ids that ``without`` broadcasts.
 BROADCAST_IDS = 200_000
 
@@ -166,6 +176,16 @@ def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
                                        for c, f in zip(columns, schema)], schema=schema)
 
 
+# --- vocabularies --------------------------------------------------------------------------------------------------
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 itself, other bytes as 256 and on."""
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(printed)]
+    return {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 # --- connected components ------------------------------------------------------------------------------------------
 
 

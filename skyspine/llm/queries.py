@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyspine.llm import chaining, langid, mixing, packing, pii_crf, rule_ledger, toxicity, trie_join, voronoi_join, warc
+from skyspine.llm import (alignment, chaining, langid, lloyd, mixing, packing, pii_crf, rule_ledger, token_counts, toxicity, trie_join,
+                          voronoi_join, warc)
 from skyspine.llm.common import prepare
 
 
@@ -54,9 +55,23 @@ def op10_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.query(table(spark, sf_dir, "documents"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.query(table(spark, sf_dir, "embeddings"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.query(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op5_chaining, op6_warc, op7_trie_join, op8_mixing, op9_langid, op10_pii_crf)}
+    return {f.__name__: f for f in (op1_toxicity, op2_voronoi_join, op3_packing, op4_rule_ledger, op5_chaining, op6_warc, op7_trie_join,
+                                    op8_mixing, op9_langid, op10_pii_crf, op11_lloyd, op12_alignment, op13_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_voronoi_join": voronoi_join.SQL, "op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op7_trie_join": trie_join.SQL, "op8_mixing": mixing.SQL}
+    return {"op2_voronoi_join": voronoi_join.SQL, "op4_rule_ledger": rule_ledger.SQL, "op6_warc": warc.SQL, "op7_trie_join": trie_join.SQL,
+            "op8_mixing": mixing.SQL, "op11_lloyd": lloyd.SQL}

@@ -18,7 +18,7 @@ from skyspine.functions.text import (COMMON_ADDRESS, address_name, address_spec,
                                      search_document, strip_tags)
 from skyspine.functions.clean import strip
 from skyspine.operators.ordering import down_nulls_last, page, up
-from skyspine.operators.textindex import Query, build_text_index, text_search, vocabulary
+from skyspine.operators.textindex import Query, WordIndex, indexed_search, scan_search, text_search, vocabulary
 
 BODY_DEPTH = 4
 
@@ -135,19 +135,21 @@ def searched_text() -> Column:
 
 
 def mail_list(emails: DataFrame, query: Query | None = None, mailbox: str | None = None, limit: int = 50,
-              postings: DataFrame | None = None, stems: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+              postings: DataFrame | None = None, stems: DataFrame | None = None, stemmed: bool = True,
+              index: WordIndex | None = None) -> DataFrame:
     """Newest messages that fit the query and the mailbox; a word stands for all words of its stem, unless ``stemmed`` is off.
 
-    Without a stored index the words are taken from the messages on the fly; the mailbox is applied first. ``stems`` is the stored
-    vocabulary of the index; without it the stems of all its words are formed anew.
+    With a stored ``index`` only its words' postings are read, rarest first. Without one the messages left by the mailbox are
+    scanned. Bare ``postings`` and their ``stems`` (``vocabulary``) can be given instead.
     """
     rows = emails.where(F.col("mailbox") == F.lit(mailbox)) if mailbox else emails
-    if query is not None:
-        index = postings if postings is not None else build_text_index(rows, "id", searched_text())
-        if stemmed and stems is None:
-            stems = vocabulary(index)
-        found = text_search(index, query, "id", docs=rows, stems=stems if stemmed else None)
-        rows = rows.join(found, "id", "left_semi")
+    if query is not None and index is not None:
+        rows = rows.join(indexed_search(index, query, "id", docs=rows, stemmed=stemmed), "id", "left_semi")
+    elif query is not None and postings is not None:
+        stems = vocabulary(postings) if stemmed and stems is None else stems
+        rows = rows.join(text_search(postings, query, "id", docs=rows, stems=stems if stemmed else None), "id", "left_semi")
+    elif query is not None:
+        rows = scan_search(rows, searched_text(), query, stemmed=stemmed)
     shown = rows.select("id", "mailbox", "from_addr", "from_name", "subject", "snippet", "internal_ts")
     return page(shown, [down_nulls_last("internal_ts"), up("id")], limit)
 

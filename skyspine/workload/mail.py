@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from skyspine.functions import text as X
 from skyspine.operators import mail as M
-from skyspine.operators.textindex import (Clause, Query, build_text_index, read_text_index, text_search, vocabulary,
-                                           write_text_index)
+from skyspine.operators.textindex import (Clause, Query, build_text_index, indexed_search, read_text_index, scan_search, store_index,
+                                           text_search, vocabulary, write_text_index)
 from skyspine.plans import mail as plans
 from skyspine.plans import platform
 from skyspine.session import scratch
@@ -57,7 +57,8 @@ def found(condition: str) -> str:
     return f"WITH p AS ({DOC_POSTINGS}) SELECT doc_id FROM documents WHERE {condition}"
 
 
-@query("text_search", found(f"doc_id IN ({with_word('tion')}) AND doc_id IN ({with_word('ing')})"))
+@query("text_search", f"""WITH p AS ({DOC_POSTINGS})
+SELECT doc_id FROM p WHERE token IN ('tion', 'ing') GROUP BY doc_id HAVING count(DISTINCT token) = 2""")
 def _(t, spark):
     return text_search(doc_postings(t), Query((Clause(("tion", "Ing the")),)), "doc_id")
 
@@ -78,11 +79,27 @@ def _(t, spark):
     return text_search(doc_postings(t), q, "doc_id")
 
 
-@query("text_search_stored", found(f"doc_id IN ({with_words('er', 'es')}) AND doc_id IN ({with_word('ea')})"))
+@query("text_search_stored", f"""WITH p AS ({DOC_POSTINGS}), er_re AS ({with_words('er', 're')}) SELECT doc_id FROM p
+WHERE token = 'ea' AND EXISTS (SELECT 1 FROM er_re WHERE er_re.doc_id = p.doc_id) GROUP BY doc_id""")
 def _(t, spark):
     path = scratch(spark, "index")
     write_text_index(doc_postings(t), path)
-    return text_search(read_text_index(spark, path), Query((Clause(("er es", "ea")),)), "doc_id")
+    return text_search(read_text_index(spark, path), Query((Clause(("er re", "ea")),)), "doc_id")
+
+
+MIXED = Query((Clause(("license", "er")), Clause(("er re", "tion"), ("license",)), Clause(("anea eriner",)), Clause(("qqqqqqqq", "er"))))
+MIXED_SQL = found(f"""(doc_id IN ({with_word('license')}) AND doc_id IN ({with_word('er')})) OR doc_id IN ({with_words('anea', 'eriner')})
+OR (doc_id IN ({with_words('er', 're')}) AND doc_id IN ({with_word('tion')}) AND doc_id NOT IN ({with_word('license')}))""")
+
+
+@query("text_search_indexed", MIXED_SQL)
+def _(t, spark):
+    return indexed_search(store_index(doc_postings(t), "doc_id", scratch(spark, "index")), MIXED, "doc_id")
+
+
+@query("text_search_scanned", MIXED_SQL)
+def _(t, spark):
+    return scan_search(t.documents, F.col("text"), MIXED).select("doc_id")
 
 
 MAIL_SHOWN = """id, mailbox, from_addr, from_name, subject, snippet, make_timestamp(CAST(internal_ms AS BIGINT) * 1000) AS internal_ts"""
@@ -118,6 +135,14 @@ def _(t, spark):
     return plans.mail_search(t, Query((Clause(("erly",)),)), "src3@example.com")
 
 
+@query("mail_search_indexed", f"""WITH p AS ({MAIL_POSTINGS}) SELECT {MAIL_SHOWN} FROM v_emails
+WHERE id IN (SELECT id FROM p WHERE token IN {forms('licens')}) AND id IN (SELECT id FROM p WHERE token IN {forms('er')})
+ORDER BY internal_ts DESC NULLS LAST, id NULLS LAST LIMIT 50""")
+def _(t, spark):
+    index = store_index(build_text_index(t.emails, "id", M.searched_text()), "id", scratch(spark, "mail-index"))
+    return plans.mail_search(t, Query((Clause(("erly", "licensed")),)), index=index)
+
+
 @query("optional_filters_mail", f"SELECT {MAIL_SHOWN} FROM v_emails ORDER BY internal_ts DESC NULLS LAST, id NULLS LAST LIMIT 50")
 def _(t, spark):
     return plans.mail_search(t)

@@ -54,7 +54,7 @@ def member_lines(archives: DataFrame, suffix: str, encoding: str = "ISO-8859-1")
         lines, "archive STRING, member STRING, line_no BIGINT, line STRING")
 
 
-def read_zip_members(spark: SparkSession, path: str, suffix: str, encoding: str = "ISO-8859-1") -> DataFrame:
+def read_zip_members(spark: SparkSession, path: str | list[str], suffix: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """The same for the archives in a folder."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
     return member_lines(archives, suffix, encoding)

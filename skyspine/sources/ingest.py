@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import csv
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyspine import schemas as S
@@ -21,9 +22,9 @@ from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
 from skyspine.session import scratch
 from skyspine.sources import text as X
-from skyspine.sources.archive import bad_archives, member_table, read_zip_members
+from skyspine.sources.archive import read_zip_members
 from skyspine.sources.json_feeds import read_mail_json, read_photo_answers
-from skyspine.sources.store import StoredTable, load_report
+from skyspine.sources.store import StoredTable
 
 POSITION = X.POSITION
 
@@ -99,76 +100,170 @@ def shape_traffic(raw: DataFrame, strict: bool = True) -> DataFrame:
     return typed_load(first, S.table_schema("t100_segment"), strict=strict)
 
 
-class BrokenArchive(ValueError):
-    """A zip archive that cannot be read to its end."""
+REPORT_DDL = "period STRING, rows BIGINT, bad_rows BIGINT, status STRING, reason STRING"
 
 
-def _period_table(spark: SparkSession, path: str) -> DataFrame:
-    """A traffic file with its source order, the columns found by its header."""
-    if not path.endswith(".zip"):
-        return X.read_text_table(spark, path, position=True)
-    members = read_zip_members(spark, path, ".csv")
-    broken = bad_archives(members).first()
-    if broken:
-        raise BrokenArchive(f"broken archive: {broken['reason']}")
-    heads = members.where("line_no = 0").select("line").distinct().collect()
-    if not heads:
-        raise KeyError("no archive")
-    rows = member_table(members, [c for c in next(csv.reader([heads[0]["line"]], skipinitialspace=True)) if c.strip() in V.TRAFFIC_COLUMNS])
-    return rows.withColumn(POSITION, F.struct(F.col("_position.archive").alias("file"), F.lit(0).cast("bigint").alias("offset"),
-                                               F.col("_position.line_no").alias("place")))
+def _period_lines(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, dict[str, list[str]], dict[str, str]]:
+    """(file, offset, place, line) of all periods together, the files of each period, and why periods have none.
+
+    All text files are one scan, all archives another, whose lines are stored so that no archive is unpacked twice. An archive
+    that cannot be read gives a line without a place that holds the reason.
+    """
+    held, missing = {}, {}
+    for period, path in files.items():
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip") if path.endswith(".zip") else spark.read.format("text")
+        try:
+            names = [n.replace(":///", ":/") for n in reader.load(path).inputFiles()]  # as rows name their files
+            held[period] = [unquote(n) for n in names] if path.endswith(".zip") else names
+        except AnalysisException:
+            missing[period] = "no such file"
+    parts = []
+    texts = [p for k, p in files.items() if held.get(k) and not p.endswith(".zip")]
+    zips = [p for k, p in files.items() if held.get(k) and p.endswith(".zip")]
+    if texts:
+        parts.append(spark.read.text(texts).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
+                                                   F.monotonically_increasing_id().alias("place"), F.col("value").alias("line")))
+    if zips:
+        members, staged = read_zip_members(spark, zips, ".csv"), scratch(spark, "members")
+        members.write.parquet(staged)
+        parts.append(spark.read.schema(members.schema).parquet(staged).select(
+            F.col("archive").alias("file"), F.lit(0).cast("bigint").alias("offset"), F.col("line_no").alias("place"), "line"))
+    lines = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "file STRING, offset BIGINT, place BIGINT, line STRING")
+    return lines, held, missing
+
+
+def _layouts(lines: DataFrame) -> list:
+    """One row per file: its header, where that stands, whether a cell may run over several lines, and why it cannot be read.
+
+    Only the first line is kept of each file, so this passes as many rows to the driver as it has listed files.
+    """
+    at = F.struct("offset", "place")
+    filled = F.when(F.col("place").isNotNull() & (F.trim("line") != ""), at)
+    return lines.groupBy("file").agg(F.min_by("line", filled).alias("header"), F.min(filled).alias("at"),
+                                     F.bool_or(F.col("place").isNotNull() & X.open_quotes(F.col("line"))).alias("breaks"),
+                                     F.max(F.when(F.col("place").isNull(), F.col("line"))).alias("fault")).collect()
+
+
+def _cells(spark: SparkSession, lines: DataFrame, layouts: dict[str, dict], order: list[str]) -> DataFrame:
+    """The traffic columns of all lines, each found at its file's place for it; ``_too_long`` marks rows that the header does not cover.
+
+    Headers join by file. A text file with open quotes is read by the file reader, which keeps line breaks in their
+    cells, in one scan with the others of its kind; in an archive such a line is a bad row.
+    """
+    table = spark.createDataFrame([(f, x["period"], x["width"], x["places"], *x["at"]) for f, x in layouts.items()],
+                                  "file STRING, period STRING, width INT, places ARRAY<INT>, first_offset BIGINT, first_place BIGINT")
+    most = max(x["width"] for x in layouts.values())
+
+    def shaped(rows: DataFrame, cells: Column, raw: Column, wrong: Column) -> DataFrame:
+        beyond = F.exists(F.slice("_cells", F.col("width") + 1, most + len(X.BEYOND)), lambda c: F.coalesce(c, F.lit("")) != "")
+        rows = rows.withColumn("_cells", cells)
+        named = [F.coalesce(F.get("_cells", F.get("places", F.lit(i))), F.lit("")).alias(c) for i, c in enumerate(order)]
+        return rows.select(*named, F.struct("file", "offset", "place").alias(POSITION), "period",
+                           (wrong | beyond | X.far_cell(raw, most).isNotNull()).cast("string").alias("_too_long"))
+
+    broken = [f for f, x in layouts.items() if x["breaks"] and not f.endswith(".zip")]
+    whole = lines.where(F.trim("line") != "")
+    whole = whole.where(~F.col("file").isin(broken)) if broken else whole
+    rows = whole.join(table, "file").where((F.col("offset") != F.col("first_offset")) | (F.col("place") != F.col("first_place")))
+    parsed = X.cells_of(F.col("line"), most)
+    out = shaped(rows, F.array(*[parsed[n] for n in [*(f"c{i}" for i in range(most)), *X.BEYOND]]), F.col("line"), X.open_quotes(F.col("line")))
+    if not broken:
+        return out
+    names = [*(f"c{i}" for i in range(most)), *X.BEYOND]
+    fields = ", ".join(f"{n} STRING" for n in [*names, X.RAW])
+    scan = spark.read.options(header=True, ignoreLeadingWhiteSpace=True, escape='"', multiLine=True, columnPruning=False,
+                              columnNameOfCorruptRecord=X.RAW).schema(fields).csv([unquote(f) for f in broken])
+    scan = scan.select(*names, X.RAW, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
+                       F.monotonically_increasing_id().alias("place")).join(table, "file")
+    return out.unionByName(shaped(scan, F.array(*names), F.col(X.RAW), F.lit(False)))
 
 
 def load_periods(spark: SparkSession, files: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """Several period files to (rows of the good periods with their ``period``, report per period).
 
     A path is a text file, a folder of them, or a zip archive (or a folder ``…/*.zip``) with a ``.csv`` member. A period whose file
-    is missing, broken, lacks columns, or holds one bad cell, is left out whole and reported as skipped; one without
-    rows is reported as empty. All rows are checked in one job; only headers are looked at beforehand, and zips for breaks. The
-    checked rows are written once to the shared folder, so that neither the report nor the load reads the files again.
+    is missing, broken, lacks columns, or holds one bad cell or a row longer than its header, is left out whole and reported as
+    skipped; one without rows is reported as empty. However many periods there are, their headers are one job and their
+    rows one scan. The checked rows are written once to the shared folder, so that neither the report nor the load
+    reads the files again.
     """
-    order = S.table_schema("t100_segment").fieldNames()
-    shaped, skipped, found = [], [], []
-    for period, path in sorted(files.items()):
-        try:
-            rows = X.project_rename(_period_table(spark, path), V.TRAFFIC_COLUMNS, order, [POSITION])
-        except (KeyError, AnalysisException, BrokenArchive) as why:
-            reason = "no such file" if isinstance(why, AnalysisException) else str(why.args[0])
-            skipped.append((period, 0, 0, "skipped", reason))
-            continue
-        shaped.append(rows.withColumn("period", F.lit(period)))
-        found.append(period)
-    report_ddl = "period STRING, rows BIGINT, bad_rows BIGINT, status STRING, reason STRING"
-    missing = spark.createDataFrame(skipped, report_ddl)
-    if not shaped:
-        return spark.createDataFrame([], S.TABLE_DDL["t100_segment"] + ", period STRING"), missing
-    all_rows = reduce(DataFrame.unionByName, shaped)
-    first = keep_first(all_rows, ["period", *S.KEYS["t100_segment"]], [POSITION])
     schema = S.table_schema("t100_segment")
-    checked = typed_load(first, S.T.StructType([*schema.fields, S.T.StructField("period", S.T.StringType())]),
-                         strict=False)
+    order, heads = schema.fieldNames(), {v: k for k, v in V.TRAFFIC_COLUMNS.items()}
+    lines, held, missing = _period_lines(spark, files)
+    seen = {r["file"]: r for r in _layouts(lines)}
+    skipped, layouts, found = [(p, 0, 0, "skipped", why) for p, why in missing.items()], {}, []
+    for period, names in sorted(held.items()):
+        own, why = {}, None
+        for name in names:
+            r = seen.get(name)
+            if r is None or (r["header"] is None and not r["fault"]):
+                continue  # a file without lines
+            if r["fault"]:
+                why = f"broken archive: {r['fault']}"
+                break
+            columns = [c.strip() for c in next(csv.reader([r["header"].lstrip("\ufeff")], skipinitialspace=True))]
+            lacking = [heads[c] for c in order if heads[c] not in columns]
+            if lacking:
+                why = f"columns {lacking} are missing"
+                break
+            own[name] = {"period": period, "width": len(columns), "places": [columns.index(heads[c]) for c in order], "at": r["at"], "breaks": r["breaks"]}
+        if why is None and not own:
+            why = "no header"
+        if why:
+            skipped.append((period, 0, 0, "skipped", why))
+        else:
+            layouts |= own
+            found.append(period)
+    report = spark.createDataFrame(skipped, REPORT_DDL)
+    if not found:
+        return spark.createDataFrame([], S.TABLE_DDL["t100_segment"] + ", period STRING"), report
+    rows = _cells(spark, lines, layouts, order)
+    # A row too long is kept beside a good one of its key, so that it is seen.
+    first = keep_first(rows, ["period", *S.KEYS["t100_segment"], "_too_long"], [POSITION])
+    checked = typed_load(first, S.T.StructType([*schema.fields, S.T.StructField("period", S.T.StringType()),
+                                                S.T.StructField("_too_long", S.T.StringType())]), strict=False)
     staged = scratch(spark, "periods")
     checked.write.parquet(staged)
-    checked = spark.read.parquet(staged)
+    checked = spark.read.schema(checked.schema).parquet(staged)
     key_missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in S.KEYS["t100_segment"]])
-    bad = (F.size("_bad_cells") > 0) | key_missing
-    report = checked.groupBy("period").agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad_rows")).select(
-        "period", "rows", "bad_rows", F.when(F.col("bad_rows") > 0, "skipped").otherwise("loaded").alias("status"),
-        F.when(F.col("bad_rows") > 0, "bad cells").alias("reason"))
-    held = spark.createDataFrame([(p,) for p in found], "period STRING")
-    report = held.join(report, "period", "left").select(
-        "period", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"),
-        F.coalesce("status", F.lit("empty")).alias("status"), "reason")
-    good = checked.join(report.where("status = 'skipped'").select("period"), "period", "left_anti")
-    return good.select(*schema.fieldNames(), "period"), report.unionByName(missing)
+    bad = (F.size("_bad_cells") > 0) | key_missing | F.col("_too_long").cast("boolean")
+    counts = {r["period"]: r for r in checked.groupBy("period").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"), F.bool_or(F.col("_too_long").cast("boolean")).alias("long")).collect()}
+    states = []
+    for period in found:
+        r = counts.get(period)
+        if r is None:
+            states.append((period, 0, 0, "empty", None))
+        elif r["bad"]:
+            states.append((period, r["rows"], r["bad"], "skipped", "rows longer than the header" if r["long"] else "bad cells"))
+        else:
+            states.append((period, r["rows"], 0, "loaded", None))
+    good = checked.where(F.col("period").isin([s[0] for s in states if s[3] == "loaded"]))
+    return good.select(*order, "period"), spark.createDataFrame([*states, *skipped], REPORT_DDL)
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """Rows written once to the shared folder, with their number and quality counts gathered on the way.
+
+    The counts stand on the stage that writes, where a task counts once however often it is tried.
+    """
+    seen, staged = Observation(name), scratch(rows.sparkSession, name)
+    rows.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in counts.items()]).write.parquet(staged)
+    return rows.sparkSession.read.schema(rows.schema).parquet(staged), seen
+
+
+def observed_report(spark: SparkSession, table: str, seen: Observation) -> DataFrame:
+    """The report of a load from what was observed, in the form of ``load_report``."""
+    got = seen.get
+    fields = ", ".join(["table STRING", *(f"{n} BIGINT" for n in got)])
+    return spark.createDataFrame([(table, *got.values())], fields)
 
 
 def _replace(spark: SparkSession, root: str, table: str, rows: DataFrame, **counts: Column) -> DataFrame:
-    """The rows are formed once, into the shared folder. Missing or repeated keys fail the load before it shows."""
-    target, staged = stored(root, table), scratch(spark, table)
-    rows.write.parquet(staged)
-    target.replace(keyed(spark.read.schema(rows.schema).parquet(staged), S.KEYS[table]))
-    return load_report(table, target.read(spark), **counts)
+    """The rows are formed and counted once, into the shared folder. Missing or repeated keys fail the load before it shows."""
+    rows, seen = observed(rows, table, **counts)
+    stored(root, table).replace(keyed(rows, S.KEYS[table]))
+    return observed_report(spark, table, seen)
 
 
 def ingest_registry(spark: SparkSession, landing: str, root: str) -> DataFrame:
@@ -217,18 +312,19 @@ def ingest_traffic(spark: SparkSession, files: dict[str, str], root: str) -> Dat
 def ingest_photos(spark: SparkSession, landing: str, root: str) -> DataFrame:
     """Photo answers: "no photo" is stored too, a failed fetch is not and stays in the backlog."""
     answers = read_photo_answers(spark, landing)
+    answers, seen = observed(answers, "photos", processed=F.count_if("fetched_ok"),
+                             photos=F.count_if(F.col("fetched_ok") & F.col("local_path").isNotNull()), errors=F.count_if(~F.col("fetched_ok")))
     target = stored(root, "aircraft_photos")
     target.upsert(photo_results(answers, F.current_timestamp()), S.UPDATE_COLUMNS["aircraft_photos"],
                   order=[F.col("photo_id").desc_nulls_last()])
-    return load_report("aircraft_photos", answers, processed=F.count_if("fetched_ok"),
-                       photos=F.count_if(F.col("fetched_ok") & F.col("local_path").isNotNull()),
-                       errors=F.count_if(~F.col("fetched_ok")))
+    return observed_report(spark, "aircraft_photos", seen)
 
 
 def _ingest_messages(messages: DataFrame, root: str, update_cols: list[str]) -> DataFrame:
-    """Of several copies of one message in a landing the last one counts."""
+    """Of several copies of one message in a landing the last one counts. Messages are decoded once."""
+    messages, seen = observed(messages, "messages")
     stored(root, "emails").upsert(messages, update_cols, order=[F.col(POSITION).desc()])
-    return load_report("emails", messages)
+    return observed_report(messages.sparkSession, "emails", seen)
 
 
 def ingest_mail(spark: SparkSession, landing: str, root: str) -> DataFrame:

@@ -18,8 +18,24 @@ def file_position() -> Column:
 
 
 EXTRA = "_extra"
-#: Cells beyond the header that are looked at. Blank ones hold nothing and are no fault.
+#: Cells beyond the header that are named. Blank ones hold nothing and are no fault; ``far_cell`` finds filled ones farther out.
 BEYOND = [f"{EXTRA}{i}" for i in range(16)]
+RAW = "_raw_row"
+#: One cell of a row with the delimiter before it: quoted, or anything up to the next delimiter.
+CELL = r'(?:^|,)(\s*"(?:[^"]|"")*"\s*(?=,|$)|[^,]*)'
+
+
+def far_cell(raw: Column, width: int) -> Column:
+    """The first filled cell that stands behind the named ones, else NULL; only rows with that many delimiters are cut up."""
+    cells = F.transform(F.regexp_extract_all(raw, F.lit(CELL), 1), lambda c: F.trim(F.regexp_replace(c, '^\\s*"|"\\s*$', "")))
+    behind = F.filter(F.slice(cells, width + len(BEYOND) + 1, 1 << 20), lambda c: c != "")
+    commas = F.length(raw) - F.length(F.replace(raw, F.lit(","), F.lit("")))
+    return F.when(commas >= width + len(BEYOND), F.get(behind, F.lit(0)))
+
+
+def open_quotes(line: Column) -> Column:
+    """Whether a line holds an odd number of quotes, as one must in which a cell with a line break begins."""
+    return (F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1
 
 
 def refused(wrong: Column, why: str, row: Column) -> Column:
@@ -28,25 +44,27 @@ def refused(wrong: Column, why: str, row: Column) -> Column:
 
 
 def read_text_table(spark: SparkSession, path: str | list[str], position: bool = False, pandas_na: bool = False,
-                    multi_line: bool = True, keep_leading_space: bool = False, strict: bool = True) -> DataFrame:
+                    multi_line: bool | None = None, keep_leading_space: bool = False, strict: bool = True) -> DataFrame:
     """Delimited file with a header: all cells text, header names trimmed, missing cells blank.
 
     Blanks after a delimiter are skipped unless ``keep_leading_space``. ``pandas_na`` also blanks texts such as ``NA``, which
     loses real codes and is therefore off by default. ``position`` adds the source order. A row with a filled cell beyond the
     header fails the scan; without ``strict`` it stays, and the column ``_extra`` holds that cell and is NULL elsewhere.
-    Line breaks inside quotes belong to their cell, so one file is one task; ``multi_line=False`` lets files that hold
-    no such breaks be split.
+    Line breaks inside quotes belong to their cell, and a file with such breaks is one task. Whether there may be any is
+    found by a pass that counts quotes, unless ``multi_line`` says it; files without are split.
     """
+    if multi_line is None:
+        multi_line = not spark.read.text(path).where(open_quotes(F.col("value"))).isEmpty()
     options = {"header": True, "ignoreLeadingWhiteSpace": not keep_leading_space, "escape": '"', "multiLine": multi_line}
     names = spark.read.options(**options).csv(path).columns
     numbers = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*numbers, *BEYOND]])
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*numbers, *BEYOND, RAW]])
     # Without pruning the parser sees whole rows, whatever columns are asked for.
-    scan = spark.read.options(**options, columnPruning=False).schema(schema).csv(path)
+    scan = spark.read.options(**options, columnPruning=False, columnNameOfCorruptRecord=RAW).schema(schema).csv(path)
     cell = na_text_to_blank if pandas_na else (lambda c: F.coalesce(c, F.lit("")))
     cells = [cell(F.col(n)).alias(name.strip()) for n, name in zip(numbers, names)]
     place = [file_position().alias(POSITION)] if position else []
-    extra = F.coalesce(*BEYOND)
+    extra = F.coalesce(*BEYOND, far_cell(F.col(RAW), len(names)))
     if not strict:
         return scan.select(*cells, extra.alias(EXTRA), *place)
     row = F.concat_ws(",", *numbers, extra)
@@ -72,11 +90,11 @@ def resolve_columns(df: DataFrame, wanted: dict[str, list[tuple[str, ...]]], kee
 def read_banner_table(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
     """Delimited file whose first line is a title banner and whose second line is the header.
 
-    The first two lines of the landing name the columns; both are left out wherever a file repeats them. Rows with more cells
-    than the header, or with a quote that does not end in their line, fail the scan.
+    The first two lines of the landing name the columns; a file that begins with one or both of them has them left out there,
+    and nowhere else. Rows with more cells than the header, or with a quote that does not end in their line, fail the scan.
     """
-    lines = spark.read.text(path)
-    at_start = lines.where(F.col("_metadata.file_block_start") == 0)
+    lines = spark.read.text(path).select("value", file_position().alias(POSITION))
+    at_start = lines.where(F.col(f"{POSITION}.offset") == 0)
     banner, header = [r["value"] for r in at_start.limit(2).collect()]
     empty = spark.range(1).select(F.schema_of_csv(F.lit(header)))
     width = len(T.StructType.fromDDL(empty.first()[0][len("STRUCT<"):-1]).fields)
@@ -84,22 +102,29 @@ def read_banner_table(spark: SparkSession, path: str, position: bool = False) ->
                                                    {"escape": '"', "ignoreLeadingWhiteSpace": "true"})).first()
     names = [(n or f"_c{i}").strip() for i, n in enumerate(names_row[0])]
     fields = ", ".join(f"`c{i}` STRING" for i in range(width))
-    body = lines.select("value", *([file_position().alias(POSITION)] if position else []))
-    body = body.where((F.col("value") != F.lit(header)) & (F.col("value") != F.lit(banner)))
+    # One row per file: the place of its first line.
+    starts = at_start.groupBy(F.col(f"{POSITION}.file").alias("_file")).agg(F.min(f"{POSITION}.place").alias("_first"))
+    body = lines.join(starts, F.col(f"{POSITION}.file") == F.col("_file"))
+    at = F.when(F.col(f"{POSITION}.offset") == 0, F.col(f"{POSITION}.place") - F.col("_first"))
+    titles = F.col("value").isin(banner, header) & F.coalesce(at < 2, F.lit(False))
+    body = body.where(~titles).select("value", POSITION)
     keep = [POSITION] if position else []
     return parse_lines(body, "value", fields, keep).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *keep)
 
 
+def cells_of(line: Column, width: int) -> Column:
+    """Cells of a delimited line by place, as a struct of ``width`` cells and those beyond."""
+    fields = ", ".join(f"{n} STRING" for n in [*(f"c{i}" for i in range(width)), *BEYOND])
+    return F.from_csv(line, fields, {"escape": '"', "ignoreLeadingWhiteSpace": "true", "columnPruning": "false"})
+
+
 def parse_lines(lines: DataFrame, column: str, fields: str, keep: list[str]) -> DataFrame:
     """Cells of delimited lines, missing ones blank; lines with too many cells or an open quote fail."""
-    beyond = ", ".join(f"{n} STRING" for n in BEYOND)
-    parsed = F.from_csv(column, f"{fields}, {beyond}", {"escape": '"', "ignoreLeadingWhiteSpace": "true", "columnPruning": "false"})
-    rows = lines.select(parsed.alias("r"), F.col(column).alias("_line"), *keep)
-    open_quote = F.length("_line") - F.length(F.replace(F.col("_line"), F.lit('"'), F.lit("")))
-    wrong = F.coalesce(*[F.col(f"r.{n}") for n in BEYOND]).isNotNull() | (open_quote % 2 == 1)
-    rows = rows.where(refused(wrong, "no row of the header's cells: ", F.col("_line")))
     names = [f.name for f in T.StructType.fromDDL(fields).fields]
-    return rows.select(*[F.coalesce(F.col(f"r.`{n}`"), F.lit("")).alias(n) for n in names], *keep)
+    rows = lines.select(cells_of(F.col(column), len(names)).alias("r"), F.col(column).alias("_line"), *keep)
+    beyond = F.coalesce(*[F.col(f"r.{n}") for n in BEYOND], far_cell(F.col("_line"), len(names)))
+    rows = rows.where(refused(beyond.isNotNull() | open_quotes(F.col("_line")), "no row of the header's cells: ", F.col("_line")))
+    return rows.select(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)], *keep)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], encoding: str = "ISO-8859-1") -> DataFrame:

@@ -229,3 +229,109 @@ def test_ingest_mail_last_copy_counts(spark, folder):
     ingest.ingest_mail(spark, write(folder, "m2/a.json", doc("2", "new", "changed")), root)
     rows = {r.id: (r.snippet, r.subject, r.labels) for r in ingest.stored(root, "emails").read(spark).collect()}
     assert rows["2"] == ("new", "two", ["A"]) and rows["1"][0] == "s3"
+
+
+def test_periods_are_one_scan(spark, folder, monkeypatch):
+    """However many periods, their rows are one text scan and one job beside the headers'; columns are found by place per file."""
+    from skyspine.functions import fixed_values as V
+    heads = list(V.TRAFFIC_COLUMNS)
+    files = {}
+    for k in range(40):
+        period = f"2020-{k:02d}"
+        text = traffic_csv("2020-01", [{"SEATS": str(k)}, {"DEST": "LAX"}])
+        if k % 2:  # the columns in another order, with one more before them
+            lines = ["y," + line for line in text.splitlines()]
+            text = "\n".join(["NEW," + lines[0][2:], *lines[1:]]) + "\n\n"
+        files[period] = write(folder, f"p/{period} x%.csv", text)
+    plans = []
+    from pyspark.sql.readwriter import DataFrameWriter
+    original = DataFrameWriter.parquet
+    def parquet(self, path, *a, **k):
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return original(self, path, *a, **k)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    rows, report = ingest.load_periods(spark, files)
+    assert len(plans) == 1 and plans[0].count("FileScan text") == 1 and "FileScan csv" not in plans[0] and "Union" not in plans[0]
+    got = {r.period: (r.rows, r.status) for r in report.collect()}
+    assert got == {p: (2, "loaded") for p in files}
+    seats = {r.period: int(r.seats) for r in rows.where("dest = 'VNY'").collect()}
+    assert seats == {f"2020-{k:02d}": k for k in range(40)} and len(heads) > 20
+
+
+def test_bad_files_skip_their_periods_only(spark, folder):
+    good = traffic_csv("2020-01", [{}])
+    header, row = good.splitlines()
+    packed = lambda text: text.encode("latin-1")
+    os.makedirs(folder + "/z")
+    for name, members in {"good": {"T.csv": packed(good)}, "long": {"T.csv": packed(good + row + ",1,2\n")}, "none": {"x.txt": b""}}.items():
+        with zipfile.ZipFile(f"{folder}/z/{name}.zip", "w") as z:
+            for member, data in members.items():
+                z.writestr(member, data)
+    write(folder, "z/broken.zip", "no archive")
+    files = {
+        "good": write(folder, "q/good.csv", good),
+        "long": write(folder, "q/long.csv", good + row + ",more\n"),
+        "far": write(folder, "q/far.csv", good + row + "," * 60 + "far\n"),
+        "blanks": write(folder, "q/blanks.csv", good + row.replace("VNY", "SMO") + "," * 60 + "\n"),
+        "break": write(folder, "q/break.csv", header + "\n" + row.replace("Van Nuys, CA", "Van\nNuys, ""CA") + "\n"),
+        "headless": write(folder, "q/headless.csv", "\n\n"),
+        "lacking": write(folder, "q/lacking.csv", "YEAR,MONTH\n2020,1\n"),
+        "only header": write(folder, "q/only.csv", header + "\n"),
+        "missing": folder + "/nowhere.csv",
+        **{f"zip {n}": f"{folder}/z/{n}.zip" for n in ("good", "long", "none", "broken")},
+    }
+    rows, report = ingest.load_periods(spark, files)
+    got = {r.period: (r.rows, r.bad_rows, r.status, r.reason) for r in report.collect()}
+    lacking = got.pop("lacking")
+    assert lacking[2] == "skipped" and "CLASS" in lacking[3]
+    assert got.pop("zip none")[2:] == ("skipped", "broken archive: no member ends with .csv")
+    assert got.pop("zip broken")[2] == "skipped"
+    too_long = (2, 1, "skipped", "rows longer than the header")
+    assert got == {"good": (1, 0, "loaded", None), "long": too_long, "far": too_long, "blanks": (2, 0, "loaded", None),
+                   "break": (1, 0, "loaded", None), "headless": (0, 0, "skipped", "no header"), "only header": (0, 0, "empty", None),
+                   "missing": (0, 0, "skipped", "no such file"), "zip good": (1, 0, "loaded", None), "zip long": too_long}
+    shown = {(r.period, r.dest, r.dest_city) for r in rows.collect()}
+    assert ("break", "VNY", "Van\nNuys, CA") in shown and len(shown) == 5
+
+
+def test_files_are_split_unless_a_cell_has_breaks(spark, folder):
+    plain = write(folder, "s/plain.csv", "A,B\n" + "".join(f"{i},x\n" for i in range(3000)))
+    breaks = write(folder, "s/breaks.csv", "A,B\n" + "".join(f'{i},"x\ny"\n' for i in range(3000)))
+    stray = write(folder, "s/stray.csv", 'A,B\n1,5" pipe\n2,6\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        assert X.read_text_table(spark, plain).rdd.getNumPartitions() > 1
+        assert X.read_text_table(spark, plain).count() == 3000
+        broken = X.read_text_table(spark, breaks)
+        assert broken.rdd.getNumPartitions() == 1 and {r.B for r in broken.collect()} == {"x\ny"} and broken.count() == 3000
+        assert sorted(tuple(r) for r in X.read_text_table(spark, stray).collect()) == [("1", '5" pipe'), ("2", "6")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_filled_cells_far_beyond_the_header(spark, folder):
+    path = write(folder, "far/a.csv", "A,B\n1,2\n3,4" + "," * 17 + "lost\n5,6" + "," * 40 + '\n"7,' + "," * 30 + '",8\n9\n')
+    assert [r._extra for r in X.read_text_table(spark, path, strict=False).collect()] == [None, "lost", None, None, None]
+    with pytest.raises(PySparkException, match="more cells than the header"):
+        X.read_text_table(spark, path).collect()
+
+
+def test_titles_are_dropped_by_place(spark, folder):
+    write(folder, "bt/1.csv", "T\nA,B\n1,2\nA,B\nT\n")
+    write(folder, "bt/2.csv", "T\nA,B\n3,4\n")
+    write(folder, "bt/3.csv", "5,6\n7,8\nA,B\n")
+    rows = sorted(tuple(r) for r in X.read_banner_table(spark, folder + "/bt").collect())
+    assert rows == [("1", "2"), ("3", "4"), ("5", "6"), ("7", "8"), ("A", "B"), ("A", "B"), ("T", "")]
+
+
+def test_loads_do_not_read_their_tables_again(spark, folder, monkeypatch):
+    """Reports come from what was observed while writing: the stored table is opened by no load."""
+    from skyspine.sources.store import StoredTable
+    monkeypatch.setattr(StoredTable, "read", lambda self, spark, parts=None: (_ for _ in ()).throw(AssertionError(self.root))
+                        if parts is None else spark.createDataFrame([], self.schema))
+    root = folder + "/tables"
+    assert ingest.ingest_registry(spark, write(folder, "m/MASTER.txt", MASTER), root).first().rows == 2
+    assert {r.table: r.rows for r in ingest.ingest_certificates(spark, write(folder, "l/list.csv", LIST), root).collect()} == {
+        "operators": 3, "part135_aircraft": 2}
+    mail = write(folder, "m1/a.json", '{"id": "1", "payload": {}}\n{"id": "1", "payload": {}}\n{"id": "2", "payload": {}}')
+    assert ingest.ingest_mail(spark, mail, root).first().rows == 3

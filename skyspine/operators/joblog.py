@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyspine.functions import fixed_values as V
@@ -62,13 +62,42 @@ def append_log(rows: DataFrame, path: str) -> None:
     log_rows(rows).hint("rebalance", F.col("day")).write.mode("append").partitionBy("day").parquet(path)
 
 
+def _chosen_logs(logs: DataFrame, level: str | None, service: str | None, q: str | None) -> DataFrame:
+    return optional_filters(logs, (level, F.col("level") == F.lit((level or "").upper())),
+                            (service, F.col("service") == F.lit(service)),
+                            (q, contains(F.col("message"), q or "")))
+
+
 def search_logs(logs: DataFrame, limit: int = 300, level: str | None = None, service: str | None = None,
                 q: str | None = None) -> DataFrame:
     """Newest log rows that fit all given arguments."""
-    rows = optional_filters(logs, (level, F.col("level") == F.lit((level or "").upper())),
-                            (service, F.col("service") == F.lit(service)),
-                            (q, contains(F.col("message"), q or "")))
-    return latest_n(rows, "ts", limit, "id")
+    return latest_n(_chosen_logs(logs, level, service, q), "ts", limit, "id")
+
+
+def log_days(logs: DataFrame) -> list[str | None]:
+    """The days of a stored log, newest first and rows without a time before them, as the newest rows come. Read off its folders."""
+    folders = {part[4:] for f in logs.inputFiles() for part in f.split("/") if part.startswith("day=")}
+    none = {f for f in folders if f.startswith("__HIVE_DEFAULT")}
+    return [None] * bool(none) + sorted(folders - none, reverse=True)
+
+
+def search_stored_logs(spark: SparkSession, path: str, limit: int = 300, level: str | None = None, service: str | None = None,
+                       q: str | None = None) -> DataFrame:
+    """The same rows from a log written by ``append_log``, opening the newest days first.
+
+    Days are added, twice as many each time, until they hold ``limit`` rows that fit; older ones cannot hold newer rows. Only as many
+    rows as wanted are counted in a step.
+    """
+    logs = spark.read.parquet(path)
+    days = log_days(logs)
+    taken = 1
+    while True:
+        some = days[:taken]
+        in_days = F.col("day").cast("string").isin([d for d in some if d is not None])
+        rows = logs.where(F.coalesce(in_days, F.lit(False)) | (F.col("day").isNull() if None in some else F.lit(False)))
+        if taken >= len(days) or _chosen_logs(rows, level, service, q).limit(limit).count() >= limit:
+            return search_logs(rows.drop("day"), limit, level, service, q)
+        taken *= 2
 
 
 def unread_count(notifications: DataFrame) -> DataFrame:

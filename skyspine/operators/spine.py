@@ -89,11 +89,9 @@ def aircraft_profile(t: Tables) -> DataFrame:
                 .join(reference, "mfr_mdl_code", "left"))
     held = (t.part135_aircraft.withColumnRenamed("serial_number", "certificate_serial")
             .join(t.operators.select("certificate_designator", "operator_name", "fsdo"), "certificate_designator"))
-    on_certificate = held.join(registry, "n_number", "left")
-    registered_only = registry.join(held.select("n_number").distinct(), "n_number", "left_anti")
     photos = t.aircraft_photos.where("has_photo").select("n_number", "local_path", "page_link", "photographer")
-    return (on_certificate.unionByName(registered_only, allowMissingColumns=True)
-            .join(photos, "n_number", "left")
+    # A tail has one registration and one photo, so the only rows that repeat it are its certificates.
+    return (held.join(registry, "n_number", "full_outer").join(photos, "n_number", "left")
             .withColumn("registered", F.coalesce("registered", F.lit(False))))
 
 
@@ -162,12 +160,36 @@ def table_counts(relations: dict[str, DataFrame]) -> DataFrame:
 def share_of_max(counts: DataFrame, n: str = "n") -> DataFrame:
     """Each count as a percentage of the largest, which is taken as at least one.
 
-    The input is an aggregate; its maximum is a scalar subquery.
+    The input is an aggregate of few rows, so the window over all of it is small; it is planned once.
     """
-    top = counts.agg(F.greatest(F.max(n), F.lit(1)).cast("double")).scalar()
+    top = F.greatest(F.max(n).over(Window.partitionBy(F.lit(0))), F.lit(1)).cast("double")
     return counts.withColumn("share", F.round(F.col(n) * 100.0 / top, 1))
 
 
+def spine_totals(t: Tables) -> DataFrame:
+    """Certificate tails by category, by operator name and in all, from one pass over the spine.
+
+    Rows (section, name, n, ready): section ``all``, ``category`` or ``operator``; ``ready`` counts tails of known operators with a
+    transponder code. Certificate tails are counted per operator, category and readiness before the three sums are formed.
+    """
+    reference = t.aircraft_ref.select(F.col("code").alias("mfr_mdl_code"), "category")
+    registry = t.faa_registry.select("n_number", "mfr_mdl_code", "mode_s_hex").join(reference, "mfr_mdl_code", "left").select(
+        "n_number", F.col("category"), nonblank(F.col("mode_s_hex")).alias("_coded"))
+    holders = t.operators.select("certificate_designator", "operator_name", F.lit(True).alias("_held"))
+    tails = (t.part135_aircraft.select("n_number", "certificate_designator").join(holders, "certificate_designator", "left")
+             .join(registry, "n_number", "left"))
+    ready = F.coalesce(F.col("_coded") & F.col("_held"), F.lit(False))
+    groups = tails.groupBy(F.coalesce("_held", F.lit(False)).alias("_held"), "operator_name",
+                           F.coalesce("category", F.lit("Unknown")).alias("category")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(ready).alias("_ready"))
+    sums = groups.groupingSets([[], [F.col("category")], [F.col("_held"), F.col("operator_name")]], "category", "_held", "operator_name").agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_ready"), F.lit(0)).alias("ready"),
+        F.grouping("category").alias("_not_category"), F.grouping("operator_name").alias("_not_operator"))
+    section = F.when(F.col("_not_category") == 0, F.lit("category")).when(F.col("_not_operator") == 0, F.lit("operator")).otherwise(F.lit("all"))
+    sums = sums.where((F.col("_not_operator") == 1) | F.col("_held"))
+    return sums.select(section.alias("section"), F.coalesce("category", "operator_name").alias("name"), "n", "ready")
+
+
 def ranked_list(short: DataFrame, order: list[Column]) -> DataFrame:
     """Position 1..n on a list that is already cut to a page."""
     return short.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -53,3 +53,22 @@ def charter_route_aircraft(t: Tables, carrier: str | None = None, origin: str |
     rows = optional_filters(traffic.charter_routes(t), *_on_route(carrier, origin, dest))
     mix = traffic.route_aircraft_mix(rows, t.aircraft_type_ref)
     return mix.withColumn("aircraft_name", F.coalesce("aircraft_name", F.lit(V.DASH)))
+
+
+def charter_route_report(t: Tables, carrier: str | None = None, origin: str | None = None, dest: str | None = None) -> DataFrame:
+    """Everything the page of a route (or of each) shows, one row per item: summary, months and aircraft, from one scan of the segments.
+
+    The columns are those of the three products above; an item has NULL where its section has no such column.
+    """
+    rows = traffic.route_report(optional_filters(traffic.charter_routes(t), *_on_route(carrier, origin, dest)))
+    is_summary, is_month, is_aircraft = (F.col("section") == s for s in ("summary", "month", "aircraft"))
+    codes = airport_by_code(t)
+    ends = [codes.select(F.col("code").alias(f"_{end}"), F.col("ident").alias(f"{end}_ident"), F.col("name").alias(f"{end}_airport"))
+            for end in ("origin", "dest")]
+    rows = rows.withColumn("pax_per_departure", F.when(is_summary, ratio(
+        F.col("passengers"), F.nullif(F.col("departures"), F.lit(0).cast("decimal(18,2)")))))
+    rows = rows.withColumn("period", F.when(is_month, period_label(F.col("year"), F.col("month"))))
+    rows = rows.withColumn("_origin", F.when(is_summary, F.col("origin"))).withColumn("_dest", F.when(is_summary, F.col("dest")))
+    rows = traffic.decode_join(rows, t.aircraft_type_ref).withColumn(
+        "aircraft_name", F.when(is_aircraft, F.coalesce("aircraft_name", F.lit(V.DASH))))
+    return rows.join(ends[0], "_origin", "left").join(ends[1], "_dest", "left").drop("_origin", "_dest")

@@ -248,6 +248,21 @@ def _(t, spark):
                          [up("registrant_name"), up("n_number")], 900, offset=100)
 
 
+@query("page_deep", """SELECT n_number, registrant_name FROM v_registry
+ORDER BY registrant_name DESC NULLS LAST, n_number NULLS LAST LIMIT 70 OFFSET 410""")
+def _(t, spark):
+    """A page found by counting ranges, as ``page`` does from a far offset on."""
+    return ordering.deep_page(t.faa_registry.select("n_number", "registrant_name"),
+                              [ordering.down_nulls_last("registrant_name"), up("n_number")], 70, 410)
+
+
+@query("page_after", """SELECT n_number, registrant_name FROM v_registry WHERE registrant_name > 'OWNER 2' OR registrant_name IS NULL
+ORDER BY registrant_name NULLS LAST, n_number NULLS LAST LIMIT 300""")
+def _(t, spark):
+    keys = [ordering.Key("registrant_name"), ordering.Key("n_number")]
+    return ordering.page_after(t.faa_registry.select("n_number", "registrant_name"), keys, 300, ("OWNER 2", "ZZZZ"))
+
+
 @query("order_by_flag", f"""SELECT n_number, any_value(category = 'Jet') AS is_jet FROM v_link LEFT JOIN {KNOWN_SQL} k USING (n_number)
 GROUP BY n_number ORDER BY is_jet DESC NULLS LAST, n_number NULLS LAST LIMIT 300""")
 def _(t, spark):

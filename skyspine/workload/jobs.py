@@ -60,6 +60,13 @@ def _(t, spark):
     return plans.log_search(t, limit=200, service="svc3")
 
 
+@query("search_logs_stored", LOGS + " WHERE level = 'ERROR' ORDER BY ts DESC NULLS FIRST, id DESC LIMIT 50")
+def _(t, spark):
+    path = scratch(spark, "logs")
+    J.append_log(t.service_logs, path)
+    return J.search_stored_logs(spark, path, 50, level="error")
+
+
 @query("latest_n", LOGS + " ORDER BY ts DESC NULLS FIRST, id DESC LIMIT 100")
 def _(t, spark):
     return ordering.latest_n(t.service_logs, "ts", 100, "id")

@@ -1,5 +1,7 @@
 """Relational rules on small fixtures: null logic, null order, ties, spellings."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from skyspine.operators import airports as A
@@ -174,3 +176,61 @@ def test_filters(spark):
     assert filters.flag_filter(df, "f").count() == 1 and filters.flag_filter(df, "f", False).count() == 1
     assert filters.either_code(df, "a", "x", "y").count() == 2
     assert filters.optional_filters(df, (None, F.col("x") == "zzz"), ("", F.lit(False)), (0, F.lit(False))).count() == 3
+
+
+def test_deep_pages_are_those_of_the_sorted_whole(spark):
+    """Ties in the first column, nulls, and pages over range borders, at the end and beyond it."""
+    rows = [(i, None if i % 97 == 0 else (i * 7919) % 50) for i in range(5000)]
+    df = spark.createDataFrame(rows, "id INT, v INT").repartition(6)
+    order = [ordering.down_nulls_last("v"), ordering.up("id")]
+    whole = [r.id for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 3), (1234, 50), (2490, 1500), (4990, 50), (5000, 5), (6000, 5)):
+        assert [r.id for r in ordering.deep_page(df, order, limit, offset).collect()] == whole[offset:offset + limit], offset
+
+
+def test_far_offsets_sort_only_the_ranges_of_the_page(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "DEEP", 1_000_000)
+    df = spark.range(1_200_000).select((F.col("id") * 7919 % 1_200_007).alias("id"))
+    got = ordering.page(df, [ordering.up("id")], 10, offset=1_000_000)
+    want = sorted(i * 7919 % 1_200_007 for i in range(1_200_000))[1_000_000:1_000_010]
+    assert [r.id for r in got.collect()] == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_range" in plan and int(re.search(r"Offset (\d+)|offset=(\d+)", plan).group(1) or 0) < 400_000
+
+
+def test_pages_after_a_key(spark):
+    rows = [(i, None if i % 10 == 0 else i % 7) for i in range(200)]
+    df = spark.createDataFrame(rows, "id INT, v INT")
+    for descending in (False, True):
+        for nulls_first in (False, True):
+            keys = [ordering.Key("v", descending, nulls_first), ordering.Key("id")]
+            whole = [tuple(r) for r in df.orderBy(*[k.order() for k in keys]).select("v", "id").collect()]
+            got, after = [], None
+            while True:
+                part = [tuple(r) for r in ordering.page_after(df, keys, 33, after).select("v", "id").collect()]
+                if not part:
+                    break
+                got, after = got + part, part[-1]
+            assert got == whole
+
+
+def test_stored_logs_open_the_newest_days(spark, folder):
+    rows = [(i, f"2024-01-{1 + i // 100:02d} 0{i % 10}:00:00", "svc", 1, "error" if i % 100 == 7 else "info", f"m{i}") for i in range(3000)]
+    logs = spark.createDataFrame(rows, "id LONG, ts STRING, service STRING, run_id LONG, level STRING, message STRING").withColumn("ts", F.col("ts").cast("timestamp"))
+    joblog.append_log(logs, folder + "/logs")
+    def days(df):
+        """Folders that the scan of a collected frame opened."""
+        df.collect()
+        p = df._jdf.queryExecution().executedPlan()
+        p = p.executedPlan() if "Adaptive" in p.getClass().getName() else p
+        leaves = p.collectLeaves()
+        return sum(leaves.apply(i).metrics().get("numPartitions").get().value() for i in range(leaves.size()))
+    newest = joblog.search_stored_logs(spark, folder + "/logs", 50)
+    assert days(newest) == 1
+    assert [r.id for r in newest.collect()] == [r.id for r in joblog.search_logs(logs, 50).collect()]
+    rare = joblog.search_stored_logs(spark, folder + "/logs", 5, level="error", q="m")
+    assert days(rare) == 8 and [r.id for r in rare.collect()] == [2907, 2807, 2707, 2607, 2507]
+    assert joblog.search_stored_logs(spark, folder + "/logs", 5, q="nothing").count() == 0
+    joblog.append_log(logs.limit(3).withColumn("ts", F.lit(None).cast("timestamp")), folder + "/logs")
+    untimed = joblog.search_stored_logs(spark, folder + "/logs", 2)
+    assert [r.ts for r in untimed.collect()] == [None, None]

@@ -156,3 +156,61 @@ def test_newest_and_summary_do_not_sort_raw_rows(spark, no_broadcast, t):
     assert "SortAggregate" not in plan(joblog.run_ledger(t.run_events))
     summary = plan(traffic.route_summary(traffic.charter_routes(t)))
     assert summary.rindex("HashAggregate") > summary.rindex("SortAggregate")  # the lowest aggregation is a hash
+
+
+def scans(df):
+    """Files and their stand-ins: the leaves of the optimized plan."""
+    return len(re.findall(r"Relation \[", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def parquet_tables(spark, tmp, t, names):
+    """The tables written as files, so that each leaf of a plan is one table."""
+    for name in names:
+        t[name].write.parquet(f"{tmp}/{name}")
+    return Tables.from_parquet(spark, {name: f"{tmp}/{name}" for name in names})
+
+
+@pytest.fixture(scope="module")
+def files(spark, t):
+    import tempfile
+    return parquet_tables(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"), t, [
+        "operators", "part135_aircraft", "faa_registry", "aircraft_ref", "aircraft_photos", "t100_segment", "aircraft_type_ref", "airports", "emails"])
+
+
+def test_profiles_read_each_table_once(files):
+    p = spine.aircraft_profile(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Relation [") == 5
+
+
+def test_profiles_hold_every_tail(spark):
+    make = lambda rows, ddl: (lambda: spark.createDataFrame(rows, ddl))
+    t = Tables({
+        "aircraft_ref": make([("C1", "LEAR", "35", "a", "e", "Jet", "2", "8")], "code STRING, manufacturer STRING, model STRING, aircraft_type STRING, engine_type STRING, category STRING, num_engines STRING, num_seats STRING"),
+        "faa_registry": make([("N1", "C1"), ("N2", "zz"), ("N3", "C1")], "n_number STRING, mfr_mdl_code STRING"),
+        "part135_aircraft": make([("N1", "A", "s", "m"), ("N1", "B", "s", "m"), ("N9", "A", "s", "m"), ("N3", "gone", "s", "m"), (None, "A", "s", "m")],
+                                 "n_number STRING, certificate_designator STRING, serial_number STRING, make_model_series STRING"),
+        "operators": make([("A", "Alpha", "f"), ("B", "Beta", "f")], "certificate_designator STRING, operator_name STRING, fsdo STRING"),
+        "aircraft_photos": make([("N1", True, "p", "l", "x"), ("N2", False, "p", "l", "x")], "n_number STRING, has_photo BOOLEAN, local_path STRING, page_link STRING, photographer STRING"),
+    })
+    got = sorted((str(r.n_number), str(r.certificate_designator), r.registered, str(r.category), str(r.local_path)) for r in spine.aircraft_profile(t).collect())
+    assert got == [("N1", "A", True, "Jet", "p"), ("N1", "B", True, "Jet", "p"), ("N2", "None", True, "None", "None"), ("N3", "None", True, "Jet", "None"),
+                   ("N9", "A", False, "None", "None"), ("None", "A", False, "None", "None")]
+
+
+def test_the_route_report_is_one_scan(files):
+    p = routes.charter_route_report(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[year#", p)) == 1
+
+
+def test_spine_totals_are_one_pass(files):
+    p = spine.spine_totals(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Relation [") == 4
+    got = {(r["section"], r["name"]): (r["n"], r["ready"]) for r in spine.spine_totals(files).collect()}
+    assert got["all", None] == (files.part135_aircraft.count(), spine.adsb_ready(spine.charter_fleet(files)).count())
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "category"} == {r.category: r.n for r in spine.count_by_category(files).collect()}
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "operator"} == {r.operator_name: r.n for r in spine.top_operators(files, 10 ** 6).collect()}
+
+
+def test_shares_plan_their_input_once(files):
+    p = spine.share_of_max(spine.count_by_category(files))._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Relation [") == 3

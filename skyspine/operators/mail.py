@@ -34,16 +34,25 @@ def _deep_body(payload: pd.Series) -> pd.Series:
         except ValueError:
             return ""
 
+    def scalar(value: object) -> str:
+        """As a variant's scalar reads as text; objects and lists are none."""
+        if isinstance(value, bool):
+            return "true" if value else "false"
+        return value if isinstance(value, str) else str(value) if isinstance(value, int) else ""
+
     def body(doc: str | None) -> str | None:
         if doc is None:
             return None
         try:
             stack = [(json.loads(doc), False)]
-        except ValueError:
+        except (ValueError, RecursionError):
             return ""
         while stack:
             node, children_done = stack.pop()
-            kind, data = node.get("mimeType"), (node.get("body") or {}).get("data")
+            if not isinstance(node, dict):
+                continue  # a child that is no part
+            held, parts = node.get("body"), node.get("parts")
+            kind, data = scalar(node.get("mimeType")), scalar(held.get("data")) if isinstance(held, dict) else ""
             got = ""
             if children_done:
                 got = re.sub(V.TAG_PATTERN, " ", text(data))
@@ -52,7 +61,7 @@ def _deep_body(payload: pd.Series) -> pd.Series:
             else:
                 if kind == "text/html" and data:
                     stack.append((node, True))
-                stack.extend((child, False) for child in reversed(node.get("parts") or []))
+                stack.extend((child, False) for child in reversed(parts if isinstance(parts, list) else []))
             if got:
                 return got
         return ""
@@ -64,7 +73,7 @@ def mime_body(payload_json: Column, depth: int = BODY_DEPTH) -> Column:
     """Readable text of a message payload.
 
     Depth first: a plain part speaks for itself; otherwise the first child with any text; otherwise the
-    part's own HTML without tags. The column expression covers ``depth`` levels of parts; a message that
+    part's own HTML without tags. What is no part, no text or no JSON is blank. The column expression covers ``depth`` levels of parts; a message that
     may be nested deeper goes through the Arrow function, so no level is cut off.
     """
     def level(node: Column, left: int) -> Column:
@@ -80,7 +89,7 @@ def mime_body(payload_json: Column, depth: int = BODY_DEPTH) -> Column:
 
     deep = F.regexp_count(payload_json, F.lit('"parts"\\s*:')) > depth
     # The one-element transform parses each document once instead of once per field.
-    parsed = F.array(F.parse_json(F.when(~deep, payload_json)))
+    parsed = F.array(F.try_parse_json(F.when(~deep, payload_json)))
     shallow = F.element_at(F.transform(parsed, lambda node: level(node, depth)), 1)
     return strip(F.coalesce(F.when(~deep, shallow), _deep_body(F.when(deep, payload_json)), F.lit("")))
 

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 import csv
-from functools import reduce
+from functools import partial, reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -22,8 +22,8 @@ from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
 from skyspine.session import scratch
 from skyspine.sources import text as X
-from skyspine.sources.archive import read_zip_members
-from skyspine.sources.json_feeds import read_mail_json, read_photo_answers
+from skyspine.sources.archive import bad_archives, member_table, read_zip_members
+from skyspine.sources.json_feeds import WEATHER, read_mail_json, read_photo_answers, read_weather_json, weather_rows
 from skyspine.sources.store import StoredTable
 
 POSITION = X.POSITION
@@ -266,12 +266,46 @@ def _replace(spark: SparkSession, root: str, table: str, rows: DataFrame, **coun
     return observed_report(spark, table, seen)
 
 
+class BrokenArchive(ValueError):
+    """A zip archive that cannot be read to its end, or lacks the member."""
+
+
+def _zip_lines(spark: SparkSession, landing: str, member: str, encoding: str = "UTF-8-SIG") -> DataFrame:
+    """Stored lines of a member: an archive is unpacked once, and one that cannot be read ends the load."""
+    members, staged = read_zip_members(spark, landing, member, encoding), scratch(spark, "members")
+    members.write.parquet(staged)
+    members = spark.read.schema(members.schema).parquet(staged)
+    broken = bad_archives(members).first()
+    if broken:
+        raise BrokenArchive(f"{broken['archive']}: {broken['reason']}")
+    return members
+
+
+def landed_table(spark: SparkSession, landing: str, member: str) -> DataFrame:
+    """A landed table with its source order: a text file, a folder of them, or zip archives that hold it as a member."""
+    if not landing.endswith(".zip"):
+        return X.read_text_table(spark, landing, position=True)
+    return packed_table(_zip_lines(spark, landing, member))
+
+
+def packed_table(lines: DataFrame) -> DataFrame:
+    """The table of a zip member's lines, with all columns of its header."""
+    header = lines.where("line_no = 0").select("line").first()
+    if header is None:
+        raise KeyError("no header")
+    names = [n.strip() for n in next(csv.reader([header["line"]], skipinitialspace=True))]
+    rows = member_table(lines, [n for n in dict.fromkeys(names) if n])
+    return rows.withColumn(POSITION, F.struct(F.col("_position.archive").alias("file"), F.lit(0).cast("bigint").alias("offset"),
+                                               F.col("_position.line_no").alias("place")))
+
+
 def ingest_registry(spark: SparkSession, landing: str, root: str) -> DataFrame:
-    return _replace(spark, root, "faa_registry", clean_registry(X.read_text_table(spark, landing, position=True)))
+    """``landing`` is the file or the publisher's archive."""
+    return _replace(spark, root, "faa_registry", clean_registry(landed_table(spark, landing, "MASTER.txt")))
 
 
 def ingest_reference(spark: SparkSession, landing: str, root: str) -> DataFrame:
-    return _replace(spark, root, "aircraft_ref", clean_reference(X.read_text_table(spark, landing)))
+    return _replace(spark, root, "aircraft_ref", clean_reference(landed_table(spark, landing, "ACFTREF.txt")))
 
 
 def ingest_certificates(spark: SparkSession, landing: str, root: str) -> DataFrame:
@@ -289,7 +323,9 @@ def ingest_airports(spark: SparkSession, landing: str, root: str) -> DataFrame:
 
 
 def ingest_airport_detail(spark: SparkSession, landing: str, root: str) -> DataFrame:
-    rows = clean_airport_detail(X.read_lines(spark, landing))
+    lines = (_zip_lines(spark, landing, "APT.txt", "ISO-8859-1").select(F.col("line").alias("value")) if landing.endswith(".zip")
+             else X.read_lines(spark, landing))
+    rows = clean_airport_detail(lines)
     jets = F.col("based_jet")
     return _replace(spark, root, "faa_airport_detail", rows, airports_with_jets=F.count_if(jets > 0),
                     total_based_jets=F.coalesce(F.sum(jets), F.lit(0)).cast("bigint"))
@@ -339,6 +375,29 @@ def ingest_mailboxes(spark: SparkSession, landing: str, root: str) -> DataFrame:
     return _ingest_messages(rows, root, S.UPDATE_COLUMNS["emails_domain_wide"])
 
 
+#: Weather feeds: the table each goes to, its kind of record, and the columns that name a record.
+WEATHER_FEEDS = {"metar": ("metar", "metar", "report_id"), "taf": ("taf", "taf", "taf_id"), "airsigmet": ("hazards", "hazard", "hazard_id"),
+                 "isigmet": ("hazards", "hazard", "hazard_id"), "pirep": ("pireps", "pirep", "report_id")}
+
+
+def weather_table(spark: SparkSession, root: str, feed: str) -> StoredTable:
+    """The stored table of a feed; hazards of both feeds share one and say which they come from."""
+    table, kind, key = WEATHER_FEEDS[feed]
+    schema = weather_rows(spark.createDataFrame([], WEATHER[kind]), kind).schema
+    if table == "hazards":
+        schema = S.T.StructType([*schema.fields, S.T.StructField("feed", S.T.StringType())])
+    return StoredTable(f"{root}/{table}", schema, (key,))
+
+
+def ingest_weather(spark: SparkSession, landing: str, root: str, feed: str) -> DataFrame:
+    """Records of one feed, one per line. A record that is there already, or lands twice, is one; others are added."""
+    table, kind, key = WEATHER_FEEDS[feed]
+    rows = weather_rows(read_weather_json(spark, landing, kind), kind)
+    rows, seen = observed(rows.withColumn("feed", F.lit(feed)) if table == "hazards" else rows, feed)
+    weather_table(spark, root, feed).upsert(rows, [c for c in rows.columns if c != key], order=[F.to_json(F.struct(*rows.columns))])
+    return observed_report(spark, table, seen)
+
+
 INGESTS = {
     "faa_registry": ingest_registry,
     "faa_reference": ingest_reference,
@@ -350,4 +409,5 @@ INGESTS = {
     "photos": ingest_photos,
     "mail": ingest_mail,
     "mailboxes": ingest_mailboxes,
+    **{feed: partial(ingest_weather, feed=feed) for feed in WEATHER_FEEDS},
 }

@@ -13,8 +13,11 @@ from skyspine.sources import archive, ingest
 from skyspine.sources import store
 from skyspine.sources import text as X
 from skyspine.session import scratch
+from skyspine.plans import fleet
 from skyspine.streaming.upsert_stream import stream_upsert
+from skyspine.tables import Tables
 from skyspine.workload.cleaning import WS
+from skyspine.workload.fleet import SPINE_SQL
 from skyspine.workload.landing import csv_line, land_lines, zip_batches
 from skyspine.workload.registry import query
 
@@ -68,15 +71,31 @@ def _(t, spark):
     return X.resolve_columns(X.read_text_table(spark, land_registry(t, spark)), V.REGISTRY_HEADER)
 
 
-@query("ingest_registry", """SELECT CASE WHEN substr(n_number, 1, 1) = 'X' THEN 'N' || n_number ELSE n_number END AS n_number,
+REGISTRY_ROWS = """SELECT CASE WHEN substr(n_number, 1, 1) = 'X' THEN 'N' || n_number ELSE n_number END AS n_number,
   serial_number, mfr_mdl_code, year_mfr, registrant_type, registrant_name, city, state,
-  NULLIF(status_code, '') AS status_code, mode_s_code_octal, NULLIF(mode_s_hex, '') AS mode_s_hex FROM v_registry""")
+  NULLIF(status_code, '') AS status_code, mode_s_code_octal, NULLIF(mode_s_hex, '') AS mode_s_hex FROM v_registry"""
+
+
+@query("ingest_registry", REGISTRY_ROWS)
 def _(t, spark):
     root = scratch(spark, "tables")
     ingest.ingest_registry(spark, land_registry(t, spark), root)
     return ingest.stored(root, "faa_registry").read(spark)
 
 
+@query("ingest_registry_zip", REGISTRY_ROWS)
+def _(t, spark):
+    """The registration file as the publisher packs it."""
+    mark = F.regexp_replace("n_number", "^N", "")
+    cells = [mark, *[_padded(c) for c in REGISTRY_COLUMNS[1:-1]], F.lower("mode_s_hex")]
+    folder = scratch(spark, "zips")
+    packed = zip_batches(t.faa_registry.coalesce(1), csv_line(*cells), "MASTER.txt", REGISTRY_HEAD + ",")
+    packed.select("path", F.base64("content").alias("content")).write.json(folder)
+    archives = spark.read.schema("path STRING, content STRING").json(folder).withColumn("content", F.unbase64("content"))
+    members = archive.member_lines(archives, "MASTER.txt", "UTF-8")
+    return ingest.clean_registry(ingest.packed_table(members)).select(*REGISTRY_COLUMNS)
+
+
 CERTIFICATES = """SELECT p.n_number, p.certificate_designator, p.serial_number, p.make_model_series, o.operator_name, o.fsdo
 FROM v_link p JOIN v_operators o USING (certificate_designator)"""
 
@@ -113,6 +132,21 @@ def _(t, spark):
     return operators
 
 
+INGESTED = SPINE_SQL.replace("FROM v_registry", f"FROM ({REGISTRY_ROWS}) v_registry")
+
+
+@query("fleet_search_ingested", f"""SELECT * REPLACE (operator_name || ', INC' AS operator_name) FROM {INGESTED} spine
+WHERE category = 'Jet' AND mode_s_hex > '' ORDER BY spine.operator_name || ', INC' NULLS LAST, n_number NULLS LAST, certificate_designator NULLS LAST LIMIT 800""")
+def _(t, spark):
+    """From landed files through stored tables to the product."""
+    root = scratch(spark, "tables")
+    ingest.ingest_registry(spark, land_registry(t, spark), root)
+    ingest.ingest_certificates(spark, land_certificates(t, spark), root)
+    store.replace_table(t.aircraft_ref.select(*S.column_names("aircraft_ref")), ingest.stored(root, "aircraft_ref"))
+    held = Tables.from_stored(spark, {n: ingest.stored(root, n) for n in ("faa_registry", "operators", "part135_aircraft", "aircraft_ref")})
+    return fleet.fleet_search(held, category="Jet", adsb_ready=True, limit=800)
+
+
 LAYOUT = {"record": (1, 3), "key": (4, 11), "priority": (15, 20), "count": (35, 3), "flag": (38, 3)}
 
 

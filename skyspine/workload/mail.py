@@ -260,6 +260,24 @@ def _(t, spark):
     return t.emails.select("id", M.mime_body(payload(F.col("body"))).alias("body"))
 
 
+@query("mime_body_odd", """SELECT id, CASE WHEN CAST(id AS BIGINT) % 8 IN (0, 5, 6) THEN 'ok ' || id ELSE '' END AS body FROM v_emails""")
+def _(t, spark):
+    """Children that are no objects, bodies that are text, and broken documents, at every depth from 0 to 8; good parts beside them count."""
+    number = F.col("id").cast("bigint")
+    good = F.replace(F.replace(F.base64(F.encode(F.concat(F.lit("ok "), "id"), "UTF-8")), F.lit("\r\n"), F.lit("")), F.lit("="), F.lit(""))
+    part = F.concat(F.lit('{"mimeType":"text/plain","body":{"data":"'), good, F.lit('"}}'))
+    kinds = [part, F.lit("5"), F.lit('{"mimeType":"text/plain","body":"x"}'), F.lit('{"mimeType":7,"body":{"data":[1]},"parts":{"a":1}}'),
+             F.lit('{"mimeType":"text/html","body":null,"parts":"x"}'), F.concat(F.lit('{"parts":[1,null,"x",[2],'), part, F.lit("]}")),
+             F.concat(F.lit('{"parts":[{"mimeType":"text/plain","body":{}},'), part, F.lit("]}")), F.lit('{"mimeType":')]
+    node = reduce(lambda other, k: F.when(number % 8 == k, kinds[k]).otherwise(other), range(7), kinds[7])
+    nested = [node]
+    for _ in range(8):
+        nested.append(F.concat(F.lit('{"mimeType":"multipart/mixed","parts":['), nested[-1], F.lit("]}")))
+    depth = F.floor(number / 8) % 9
+    doc = reduce(lambda other, k: F.when(depth == k, nested[k]).otherwise(other), range(8), nested[8])
+    return t.emails.select("id", M.mime_body(doc).alias("body"))
+
+
 @query("mime_body_malformed", """SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'ok ' || id ELSE '' END AS body FROM v_emails""")
 def _(t, spark):
     """Data that is no base64 gives a blank body at every depth from 0 to 8."""

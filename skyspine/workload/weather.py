@@ -11,8 +11,10 @@ from skyspine.operators import hazards as H
 from skyspine.operators import ordering
 from skyspine.plans import airports as plans
 from skyspine.session import scratch
+from skyspine.sources import ingest
 from skyspine.sources.json_feeds import read_photo_json, read_weather_json, weather_rows
 from skyspine.standins import polygons
+from skyspine.tables import Tables
 from skyspine.workload.registry import query
 
 CLOUDS = "list_filter([{'cover': cover1, 'base': base1}, {'cover': cover2, 'base': base2}], lambda x: x.cover IS NOT NULL)"
@@ -221,6 +223,54 @@ def _(t, spark):
     return plans.current_conditions(weather_rows(read_weather_json(spark, path, "metar"), "metar")).drop("report_id")
 
 
+def land_feeds(t, spark, names) -> dict[str, str]:
+    """Feeds as their publisher names the columns, one record per line."""
+    covers = lambda c: F.transform(c, lambda x: F.struct(x["cover"].alias("cover"), x["base"].alias("base")))
+    feeds = {
+        "metar": t.metar.select(F.col("station").alias("icaoId"), "name", F.col("obs_time").alias("obsTime"), F.col("flt_cat").alias("fltCat"), "altim",
+                                "wdir", "wspd", "wgst", "visib", "temp", "dewp", covers("clouds").alias("clouds"), F.col("raw_ob").alias("rawOb")),
+        "taf": t.taf.select(F.col("station").alias("icaoId"), F.from_unixtime("issue_time", "yyyy-MM-dd HH:mm:ss").alias("issueTime"),
+                            F.col("raw_taf").alias("rawTAF"), "fcsts"),
+        "pirep": t.pireps.select(F.col("report_lat").alias("lat"), F.col("report_lon").alias("lon"), F.col("obs_time").alias("obsTime"),
+                                 F.col("ac_type").alias("acType"), F.col("flt_lvl").alias("fltLvl"), F.col("raw_ob").alias("rawOb"))}
+    for feed in ("airsigmet", "isigmet"):
+        feeds[feed] = t.hazards.where(F.col("feed") == feed).select(
+            "coords", "hazard", "severity", F.col("valid_time_to").alias("validTimeTo"), F.col("altitude_low").alias("altitudeLow1"),
+            F.col("altitude_hi").alias("altitudeHi1"), F.col("raw_air_sigmet").alias("rawAirSigmet"), F.col("raw_sigmet").alias("rawSigmet"))
+    paths = {feed: scratch(spark, feed) for feed in names}
+    for feed, path in paths.items():
+        feeds[feed].write.json(path)
+    return paths
+
+
+def stored_weather(t, spark, *names: str) -> Tables:
+    """Feeds landed and ingested; the first one twice, so that what is there already must not count again."""
+    root, paths = scratch(spark, "weather"), land_feeds(t, spark, names)
+    for feed in [*names, names[0]]:
+        ingest.INGESTS[feed](spark, paths[feed], root)
+    return Tables.from_stored(spark, {ingest.WEATHER_FEEDS[feed][0]: ingest.weather_table(spark, root, feed) for feed in names})
+
+
+@query("ingest_pireps", "SELECT DISTINCT lat AS report_lat, lon AS report_lon, obs_time, ac_type, flt_lvl, raw_ob FROM v_pireps")
+def _(t, spark):
+    return stored_weather(t, spark, "pirep").pireps.drop("report_id")
+
+
+@query("ingest_hazards", """SELECT DISTINCT feed, hazard, severity, CAST(valid_time_to AS BIGINT) AS valid_time_to, CAST(altitude_low AS INTEGER) AS altitude_low, CAST(altitude_hi AS INTEGER) AS altitude_hi,
+  raw_air_sigmet, raw_sigmet FROM v_hazards""")
+def _(t, spark):
+    return stored_weather(t, spark, "airsigmet", "isigmet").hazards.select("feed", "hazard", "severity", "valid_time_to", "altitude_low", "altitude_hi",
+                                                   "raw_air_sigmet", "raw_sigmet").distinct()
+
+
+@query("airport_weather_ingested", f"SELECT DISTINCT * EXCLUDE (place) FROM ({weather_sql()}) w WHERE part <> 'report'")
+def _(t, spark):
+    """The panel from ingested feeds. Reports of one minute are told apart by an id of their own there, so they are left out here."""
+    held = stored_weather(t, spark, "metar", "taf", "airsigmet", "isigmet")
+    tables = Tables.of(airports=t.airports, metar=held.metar, taf=held.taf, hazards=held.hazards, pireps=t.pireps.limit(0))
+    return plans.airport_weather(tables).where("part <> 'report'").drop("place").distinct()
+
+
 @query("read_weather_json", f"""SELECT station AS "icaoId", obs_time AS "obsTime", flt_cat AS "fltCat", CAST(wdir AS STRING) AS wdir,
   CAST(wspd AS INTEGER) AS wspd, {CLOUD_TEXT} AS clouds, raw_ob AS "rawOb" FROM v_metar""")
 def _(t, spark):

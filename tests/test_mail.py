@@ -133,3 +133,24 @@ def test_merge_pages(spark):
     pages = spark.createDataFrame([([("a", False), ("b", True)],), ([("c", None)],), ([],)],
                                   "users ARRAY<STRUCT<primaryEmail: STRING, suspended: BOOLEAN>>")
     assert sorted(r.mailbox for r in M.merge_pages(pages).collect()) == ["a", "c"]
+
+
+def test_no_message_ends_a_load(spark):
+    """The column expression and the Arrow function agree on odd parts, at every depth on both sides of their border."""
+    import base64
+    from skyspine.operators.mail import mime_body
+    good = base64.urlsafe_b64encode("fine é".encode()).decode().rstrip("=")
+    part = '{"mimeType":"text/plain","body":{"data":"%s"}}' % good
+    odd = {"5": "", "null": "", '"x"': "", "[1]": "", "true": "", '{"body":"x","mimeType":"text/plain"}': "", '{"body":[1]}': "",
+           '{"mimeType":"text/plain","body":{"data":5}}': "", '{"mimeType":{"a":1},"parts":{"b":2}}': "", '{"parts":[1,null,"x",[2],%s]}' % part: "fine é",
+           '{"mimeType":"text/html","body":{"data":"%s"},"parts":[7]}' % good: "fine é", '{"mimeType":': "", "": "", "nonsense": "", part: "fine é"}
+    rows = []
+    for node, want in odd.items():
+        doc = node
+        for depth in range(9):
+            rows.append((doc, want, depth))
+            doc = '{"mimeType":"multipart/mixed","parts":[%s]}' % doc
+    rows.append((None, "", 0))
+    rows.append(('{"parts":[' * 3000 + "]}" * 3000, "", 3000))
+    got = spark.createDataFrame(rows, "doc STRING, want STRING, depth INT").select("doc", "want", "depth", mime_body(F.col("doc")).alias("body")).collect()
+    assert [(r.doc[:60], r.depth, r.body) for r in got if r.doc and r.body != r.want] == []

@@ -335,3 +335,32 @@ def test_loads_do_not_read_their_tables_again(spark, folder, monkeypatch):
         "operators": 3, "part135_aircraft": 2}
     mail = write(folder, "m1/a.json", '{"id": "1", "payload": {}}\n{"id": "1", "payload": {}}\n{"id": "2", "payload": {}}')
     assert ingest.ingest_mail(spark, mail, root).first().rows == 3
+
+
+def test_ingests_from_the_publishers_archives(spark, folder):
+    from skyspine.functions import fixed_values as V
+    os.makedirs(folder + "/z")
+    record = [" "] * 1100
+    for name, text in (("location_id", "TEB"), ("based_jet", " 12"), ("owner_name", "CITÉ")):
+        start, _ = V.AIRPORT_RECORD[name]
+        record[start - 1:start - 1 + len(text)] = text
+    record[0:3] = "APT"
+    with zipfile.ZipFile(folder + "/z/all.zip", "w") as z:
+        z.writestr("readme.txt", "x")
+        z.writestr("MASTER.txt", "﻿" + MASTER)
+        z.writestr("ACFTREF.txt", REFERENCE)
+        z.writestr("APT.txt", ("".join(record) + "\r\nRWY\r\n").encode("latin-1"))
+    packed, plain = folder + "/packed", folder + "/plain"
+    assert ingest.ingest_registry(spark, folder + "/z/all.zip", packed).first().rows == 2
+    ingest.ingest_registry(spark, write(folder, "m/MASTER.txt", MASTER), plain)
+    ingest.ingest_reference(spark, folder + "/z/*.zip", packed)
+    ingest.ingest_reference(spark, write(folder, "r/ACFTREF.txt", REFERENCE), plain)
+    for table in ("faa_registry", "aircraft_ref"):
+        rows = [sorted(map(str, ingest.stored(root, table).read(spark).collect())) for root in (packed, plain)]
+        assert rows[0] == rows[1] and rows[0]
+    assert ingest.ingest_airport_detail(spark, folder + "/z/all.zip", packed).first().total_based_jets == 12
+    assert ingest.stored(packed, "faa_airport_detail").read(spark).first().owner_name == "CITÉ"
+    write(folder, "y/broken.zip", "no archive")
+    with pytest.raises(ingest.BrokenArchive):
+        ingest.ingest_registry(spark, folder + "/y/broken.zip", packed)
+    assert ingest.stored(packed, "faa_registry").read(spark).count() == 2

@@ -3,11 +3,12 @@
 Main path: column expressions, two aggregations (size per source; sums per source and seed) and joins with the table
 of sources. Rules for odd rows:
 
-- a null or empty text has size 0 and is never taken; a source of size 0 has target 0;
+- a null, empty or blank text has size 0: it is copied like any other of its source, and adds no words; a source of size 0
+  has target 0 and rate 1, so its documents pass once;
 - a null source is a source of its own, last in the order of sources;
 - repeated rows are documents of their own that share the coin of their id; a null id has the coin of the empty text;
-- an empty table gives an empty result; ``mix`` replaces input columns with the names of its results, ``mixed_rows`` keeps
-  all columns as they are.
+- an empty table gives an empty result; ``mix`` replaces input columns with the names of its results and keeps all others,
+  ``mixed_rows`` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -66,11 +67,10 @@ def coins(doc_id: Column, seeds: int) -> list[Column]:
     return out
 
 
-def by_source(rows: DataFrame, sources: DataFrame, broadcast: bool) -> DataFrame:
-    """Rows with the columns of their source; a null source meets the null source."""
-    side = sources.withColumnRenamed("source", "_source")
-    joined = rows.join(F.broadcast(side) if broadcast else side, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.drop("_source")
+def by_source(rows: DataFrame, sources: DataFrame, broadcast: bool, name: str) -> DataFrame:
+    """Rows with the table row of their source as the struct ``name``; a null source meets the null source."""
+    side = sources.select(F.struct(*sources.columns).alias(name))
+    return rows.join(F.broadcast(side) if broadcast else side, rows["source"].eqNullSafe(F.col(name)["source"]))
 
 
 def mix(docs: DataFrame, cycle=(1, 2, 3), share: float = 1.0, cap: float = 3.0, seeds: int = SEEDS) -> DataFrame:
@@ -81,14 +81,15 @@ def mix(docs: DataFrame, cycle=(1, 2, 3), share: float = 1.0, cap: float = 3.0,
     """
     own = ["size", "source_size", "target", "rate", "copies", "taken"]
     docs = docs.drop(*own)
+    of = max(docs.columns, key=len) + "_of_source"  # no column of the documents
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sized = stored(sized, "mix-sizes")
     sources = stored(water_targets(source_sizes(sized), cycle, share, cap), "mix-sources")
     broadcast = sources.count() <= BROADCAST_SOURCES
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     sources = sources.withColumn("rate", rate).withColumn("rest", F.col("rate") - F.floor("rate"))
-    tried = by_source(sized, sources.select("source", "rest"), broadcast)
-    sums = [F.sum(F.when(c < F.col("rest"), F.col("size")).otherwise(0)).alias(f"s{j}")
+    tried = by_source(sized, sources.select("source", "rest"), broadcast, of)
+    sums = [F.sum(F.when(c < F.col(of)["rest"], F.col("size")).otherwise(0)).alias(f"s{j}")
             for j, c in enumerate(coins(F.col("doc_id"), seeds))]
     sums = tried.groupBy("source").agg(*sums).withColumnRenamed("source", "_s")
     errors = F.array(*[F.struct(F.abs(F.col(f"s{j}") - F.col("rest") * F.col("source_size")).alias("e"), F.lit(j).alias("seed"))
@@ -96,12 +97,13 @@ def mix(docs: DataFrame, cycle=(1, 2, 3), share: float = 1.0, cap: float = 3.0,
     chosen = (sources.join(sums, F.col("source").eqNullSafe(F.col("_s")))
               .select("source", "source_size", "target", "rate", "rest", F.array_min(errors)["seed"].alias("seed")))
     chosen = stored(chosen, "mix-seeds")
-    out = by_source(docs, chosen, broadcast)
-    coin = F.element_at(F.array(*coins(F.col("doc_id"), seeds)), F.col("seed") + 1)
-    out = (out.withColumn("size", word_count(F.col("text")))
-           .withColumn("copies", F.when(F.col("size") > 0, F.floor("rate") + (coin < F.col("rest")).cast("long")).otherwise(F.lit(0)).cast("long"))
-           .withColumn("taken", F.col("copies") * F.col("size")))
-    return out.drop("rest", "seed")
+    out, source = by_source(docs, chosen, broadcast, of), F.col(of)
+    coin = F.element_at(F.array(*coins(F.col("doc_id"), seeds)), source["seed"] + 1)
+    out = out.withColumn("size", word_count(F.col("text")))
+    for name in ("source_size", "target", "rate"):
+        out = out.withColumn(name, source[name])
+    out = out.withColumn("copies", F.floor(source["rate"]) + (coin < source["rest"]).cast("long"))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).drop(of)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

@@ -86,3 +86,25 @@ def test_odd_rows(documents):
 def test_words_are_runs_of_other_characters(values):
     rows = [" a\tb\x0bc\x0cd\re\n ", " x", "", None, "a　b c"]
     assert values(lambda d: mixing.word_count(d["x"]), rows) == [len(re.findall(r"[^\x20\x09-\x0D]+", r or "")) for r in rows]
+
+
+def test_blank_documents_follow_the_rate_of_their_source(documents):
+    rows = [(i, None if i % 4 == 0 else " " if i % 4 == 1 else "a b c", "en", "ab"[i % 3 == 0]) for i in range(120)] + [(500, "", "en", "none")]
+    got = mixing.mix(documents(rows)).collect()
+    assert len(got) == 121
+    for r in got:
+        assert int(r["rate"] + 1e-12) <= r["copies"] <= -(-r["rate"] // 1) + 1e-9 and r["taken"] == r["copies"] * r["size"]
+    assert {r["doc_id"]: (r["rate"], r["copies"], r["taken"]) for r in got}[500] == (1.0, 1, 0)
+    kept = {r["doc_id"] for r in mixing.mixed_rows(documents(rows)).collect()}
+    assert {r["doc_id"] for r in got if r["copies"]} == kept and {d % 4 for d in kept} == {0, 1, 2, 3}
+
+
+def test_columns_with_names_used_inside(spark):
+    names = ["seed", "rest", "_source", "_s", "w", "most", "_row", "_copy", "target", "copies", "doc_id_of_source"]
+    rows = [(i, "a b", "xy"[i % 3 == 0], *[float(i)] * len(names)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, source STRING, " + ", ".join(f"{n} DOUBLE" for n in names))
+    plain = {(r["doc_id"], r["taken"]) for r in mixing.query(docs.select("doc_id", "text", "source")).collect()}
+    assert {(r["doc_id"], r["taken"]) for r in mixing.query(docs).collect()} == plain
+    got = mixing.mix(docs)
+    assert {(r["seed"], r["rest"], r["_source"]) for r in got.collect()} == {(float(i),) * 3 for i in range(60)}
+    assert mixing.mixed_rows(docs).columns == docs.columns

@@ -66,8 +66,10 @@ class WordTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True  # their strings are ordinary text
+        self.whole, self.encoder = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # Texts that hold the string of a special token go through ``whole``; small letters alone must not make one of others.
+        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values() if t.special]
+        self.encoder.encode_special_tokens = True
         self.model = self.encoder.model
         self.end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         self.known: dict[str, bytes] = {}
@@ -75,6 +77,12 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Of UTF-8 texts; only A-Z is put in lower case here, the rest is left to the vocabulary's rules."""
+        named = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        if named:
+            own = self.whole.encode_batch_fast([texts[k].decode() for k in named], add_special_tokens=False)
+            ids = {k: array("I", e.ids).tobytes() + self.end for k, e in zip(named, own)}
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in ids]))
+            return [ids[k] if k in ids else next(rest) for k in range(len(texts))]
         parts = [PART.findall(t.lower().decode()) for t in texts]
         new = list(set().union(*parts) - self.known.keys())
         self.missed += len(new)

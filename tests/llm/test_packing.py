@@ -12,7 +12,6 @@ from skyspine.llm import packing
 @pytest.fixture(scope="module")
 def direct():
     t = Tokenizer.from_file(packing.public_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids + [2]
 
 
@@ -20,7 +19,7 @@ def test_words_by_themselves_give_the_same_ids(direct):
     words = packing.WordTokens(packing.public_vocabulary(), 2)
     rng = random.Random(5)
     signs = "aAbZéÉÈßİıΣσς'’s.,-#<|≯́ \t\n\r 　 09½²ªºテスト\x1c\x0bK…“"
-    texts = ["", "It's the <|endoftext|> end, DON'T!!", "a" * 300] + ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    texts = ["", "It's the <|endoftext|> end, DON'T!!", "a<|startoftext|>B c", "<|ENDOFTEXT|> x", "<|endoftext|><|endoftext|>", "a" * 300] + ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(4000)]
     for t, got in zip(texts, words.encode([t.encode() for t in texts])):
         assert np.frombuffer(got, dtype="<u4").tolist() == direct(t), t
 

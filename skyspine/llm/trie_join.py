@@ -105,13 +105,13 @@ def frequent_tokens(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The list of frequent n-grams, sorted, with their counts; as many of the most frequent as fit."""
     total = counts.groupBy("token").agg(F.sum("n").alias("n"))
     levels = total.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("c")).collect()
-    room, least = LISTED, 1 << 17
+    room, least = LISTED, None
     for r in sorted(levels, key=lambda r: -r["n"]):
         room -= r["c"]
-        if room < 0:
+        if room < 0 and least is not None:
             break
-        least = r["n"]
-    rows = total.where(F.col("n") >= least).collect()
+        least = r["n"]  # the highest level even if it does not fit whole: then the limit cuts it
+    rows = total.where(F.col("n") >= (1 << 17 if least is None else least)).orderBy(F.desc("n"), "token").limit(LISTED).collect()
     tokens = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], np.array([r["n"] for r in rows], dtype=np.int64)[order]

@@ -226,7 +226,8 @@ def read_archives(spark: SparkSession, files: DataFrame, range_bytes: int = RANG
 
 
 def query(pages: DataFrame) -> DataFrame:
-    """Round trip of the pages. The digest of a response is checked against its payload as it was read."""
+    """Round trip of the pages. ``payload_bytes`` is null where a response's payload as read has another length; ``payload_sha1`` is
+    the digest of that payload, to be held against the record's own ``payload_digest``."""
     spark = pages.sparkSession
     files = write_archives(pages, scratch(spark, "warc"))
     back = read_archives(spark, files)

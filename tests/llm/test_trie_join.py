@@ -157,3 +157,16 @@ def test_one_row_of_each_group_stays(documents):
     want = sorted([d for d, n, c in set(brute(rows)) if d == c], key=repr)
     kept = [r["doc_id"] for r in out.collect()]
     assert sorted((d for d in kept if d is not None), key=repr) == want and kept.count(None) == 2
+
+
+def test_the_list_of_frequent_ngrams_is_bounded(spark, monkeypatch):
+    """More n-grams of the highest level than the list holds: as many as fit, by count and then by n-gram."""
+    monkeypatch.setattr(tj, "LISTED", 5)
+    rows = [(t, 200_000 + t % 2) for t in range(-10, 10)] + [(99, 70_000), (98, 3)]
+    tokens, counts = tj.frequent_tokens(spark.createDataFrame(rows, "token LONG, n LONG"))
+    assert sorted(tokens.view("int64").tolist()) == [-9, -7, -5, -3, -1] and set(counts.tolist()) == {200_001}
+    monkeypatch.setattr(tj, "LISTED", 21)
+    tokens, counts = tj.frequent_tokens(spark.createDataFrame(rows, "token LONG, n LONG"))
+    assert len(tokens) == 21 and 70_000 in counts.tolist()
+    tokens, counts = tj.frequent_tokens(spark.createDataFrame([], "token LONG, n LONG"))
+    assert len(tokens) == len(counts) == 0

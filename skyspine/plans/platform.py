@@ -24,10 +24,10 @@ def platform_stats(t: Tables) -> DataFrame:
     The spine's figures come from one pass (``spine_totals``); the other counts read no column of their tables.
     """
     sums = spine.spine_totals(t)
-    by = Window.partitionBy("section")
-    place = F.row_number().over(by.orderBy(down("n"), up("name")))
-    top = F.greatest(F.max("n").over(by), F.lit(1)).cast("double")
-    shown = sums.withColumn("place", place).withColumn("top", top).where((F.col("section") != "operator") | (F.col("place") <= OPERATORS_SHOWN))
+    # Only operators compete for a place, so the limit reaches them before the exchange and no task ranks them all.
+    rivals = Window.partitionBy("section", F.when(F.col("section") != "operator", F.col("name"))).orderBy(down("n"), up("name"))
+    shown = sums.withColumn("place", F.row_number().over(rivals)).where(F.col("place") <= OPERATORS_SHOWN)
+    shown = shown.withColumn("top", F.greatest(F.max("n").over(Window.partitionBy("section")), F.lit(1)).cast("double"))
     whole = F.col("section") == "all"
     parts = F.when(whole, F.array(*[F.struct(F.lit(k).alias("name"), F.col(c).alias("n")) for k, c in (("aircraft", "n"), ("adsb_ready", "ready"))])
                    ).otherwise(F.array(F.struct(F.col("name").alias("name"), F.col("n").alias("n"))))

@@ -214,3 +214,13 @@ def test_spine_totals_are_one_pass(files):
 def test_shares_plan_their_input_once(files):
     p = spine.share_of_max(spine.count_by_category(files))._jdf.queryExecution().optimizedPlan().toString()
     assert p.count("Relation [") == 3
+
+
+def test_platform_ranks_are_cut_before_the_exchange(files, t):
+    from skyspine.plans.platform import platform_stats
+    named = Tables({**{n: (lambda n=n: t[n]) for n in t.names()}, **{n: (lambda n=n: files[n]) for n in files.names()}})
+    df = platform_stats(named)
+    assert "WindowGroupLimit" in plan(df)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    for first in ("n_number", "certificate_designator"):
+        assert text.count(f"Relation [{first}#") <= 3

@@ -17,6 +17,7 @@ from skyspine import schemas as S
 from skyspine.functions import fixed_values as V
 from skyspine.functions.clean import drop_blank_key, int_or_zero, norm_tail, row_total, strip_all, yes_no
 from skyspine.functions.decode import classify_category, decode_passthrough
+from skyspine.operators.airports import jet_capable
 from skyspine.operators.keys import keep_first, keyed, typed_load
 from skyspine.operators.mail import message_rows
 from skyspine.operators.upsert import photo_results
@@ -25,6 +26,7 @@ from skyspine.sources import text as X
 from skyspine.sources.archive import bad_archives, member_table, read_zip_members
 from skyspine.sources.json_feeds import WEATHER, read_mail_json, read_photo_answers, read_weather_json, weather_rows
 from skyspine.sources.store import StoredTable
+from skyspine.tables import Tables
 
 POSITION = X.POSITION
 
@@ -315,11 +317,15 @@ def ingest_certificates(spark: SparkSession, landing: str, root: str) -> DataFra
 
 
 def ingest_airports(spark: SparkSession, landing: str, root: str) -> DataFrame:
-    """``landing`` holds the folders ``airports`` and ``runways``."""
+    """``landing`` holds the folders ``airports`` and ``runways``. The report also says how many airports jets can use."""
     def scan(name):
         return X.read_text_table(spark, f"{landing}/{name}", position=True, multi_line=False)
-    return _replace(spark, root, "airports", clean_airports(scan("airports"))).unionByName(
-        _replace(spark, root, "runways", clean_runways(scan("runways"))))
+    loads = {name: observed(clean(scan(name)), name) for name, clean in (("airports", clean_airports), ("runways", clean_runways))}
+    for name, (rows, _) in loads.items():
+        stored(root, name).replace(keyed(rows, S.KEYS[name]))
+    jets = jet_capable(Tables.of(**{name: rows for name, (rows, _) in loads.items()})).first()[0]
+    reports = [observed_report(spark, name, seen) for name, (_, seen) in loads.items()]
+    return reports[0].withColumn("jet_capable_4000ft", F.lit(jets)).unionByName(reports[1], allowMissingColumns=True)
 
 
 def ingest_airport_detail(spark: SparkSession, landing: str, root: str) -> DataFrame:

@@ -322,11 +322,22 @@ def land_table(df, columns, path: str) -> str:
     return land_lines(df, csv_line(*cells), path, ",".join(columns))
 
 
-def ingest_airports(t, spark) -> str:
-    landing, root = scratch(spark, "airports"), scratch(spark, "tables")
+def land_airports(t, spark) -> str:
+    landing = scratch(spark, "airports")
     land_table(t.airports, AIRPORT_COLUMNS, f"{landing}/airports")
     land_table(t.runways, RUNWAY_COLUMNS, f"{landing}/runways")
-    ingest.ingest_airports(spark, landing, root)
+    return landing
+
+
+@query("ingest_airports_report", """SELECT 'airports' AS "table", count(*) AS rows, count(*) FILTER (WHERE ident IN (SELECT airport_ident FROM v_runways
+  WHERE NOT closed AND length_ft >= 4000)) AS jet_capable_4000ft FROM v_airports UNION ALL SELECT 'runways', count(*), NULL FROM v_runways""")
+def _(t, spark):
+    return ingest.ingest_airports(spark, land_airports(t, spark), scratch(spark, "tables"))
+
+
+def ingest_airports(t, spark) -> str:
+    root = scratch(spark, "tables")
+    ingest.ingest_airports(spark, land_airports(t, spark), root)
     return root
 
 

@@ -33,7 +33,7 @@ from pyspark.taskcontext import TaskContext
 from skyspine.llm import common
 
 #: Links and texts of a block: its texts and its list of pairs meet in one task.
-BLOCK_LINKS = 8_000_000
+BLOCK_LINKS = 2_000_000
 #: Bytes of text that are tokenized and divided together.
 SLICE = 1_000_000
 
@@ -217,7 +217,7 @@ class Block:
         self.known, self.place, self.n = (np.zeros(0, dtype=np.int64) for _ in range(3))  # pairs by size, their places, links by place
 
     def placed(self, codes: np.ndarray) -> np.ndarray:
-        """The places of pairs in the list; new ones are put at its end."""
+        """The places of pairs in the list, where they are counted; new ones are put at its end."""
         at = np.minimum(np.searchsorted(self.known, codes), max(0, len(self.known) - 1))
         new = np.unique(codes[self.known[at] != codes]) if len(self.known) else np.unique(codes)
         if len(new):
@@ -226,24 +226,24 @@ class Block:
             self.place = np.concatenate([self.place, len(self.known) + np.arange(len(new))])[order]
             self.known = both[order]
             at = np.searchsorted(self.known, codes)
-        return self.place[at].astype("<u4")
+        places = self.place[at]
+        self.n = np.concatenate([self.n, np.zeros(len(self.known) - len(self.n), dtype=np.int64)]) + np.bincount(places, minlength=len(self.known))
+        return places
 
     def add(self, doc: tuple, links: np.ndarray) -> None:
-        self.docs.append((*doc, links.tobytes()))
+        """A text's links take two bytes each as long as its places fit them, else four."""
+        self.docs.append((*doc, links.astype("<u2" if links.max(initial=0) < 1 << 16 else "<u4").tobytes()))
         self.links += len(links) + 1
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """The texts, then the list with the links of each pair."""
-        n = np.zeros(len(self.known), dtype=np.int64)
         for at in range(0, len(self.docs), 1024):
             some = self.docs[at:at + 1024]
-            links = np.frombuffer(b"".join(d[-1] for d in some), dtype="<u4")
-            n += np.bincount(links, minlength=len(n)) if len(links) else 0
             yield common.record(_ROWS, [self.number] * len(some), *zip(*some), *(pa.nulls(len(some), f.type) for f in list(_ROWS)[7:]))
-        for at in range(0, len(n), 1 << 16):
+        for at in range(0, len(self.known), 1 << 16):
             pairs, place = self.known[at:at + (1 << 16)], self.place[at:at + (1 << 16)]
             yield common.record(_ROWS, np.full(len(pairs), self.number), *(pa.nulls(len(pairs), f.type) for f in list(_ROWS)[1:7]),
-                                pairs, place.astype(np.int32), n[place])
+                                pairs, place.astype(np.int32), self.n[place])
 
 
 def align_texts(texts: Iterable[tuple[list[int | None], list[bytes]]], a: ByteLevel, b: Pieces, first_block: int, block_links: int) -> Iterator[Block]:
@@ -326,8 +326,10 @@ def with_counts(rows: DataFrame, b_path: str) -> DataFrame:
         count, best = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
         count[place], best[place] = np.asarray(listed["count"].combine_chunks()), np.asarray(listed["best"].combine_chunks().cast(pa.int8()))
         numbers = []
+        total = [a + b - g for a, b, g in zip(*(docs[c].to_pylist() for c in ("n_a", "n_b", "n_groups")))]  # links of each text
         for links in docs["links"]:
-            at = np.frombuffer(links.as_buffer(), dtype="<u4")
+            size = total[len(numbers)]
+            at = np.frombuffer(links.as_buffer(), dtype="<u2" if links.as_buffer().size == 2 * size else "<u4")
             numbers.append((len(at), int(best[at].sum()), int(count[at].sum())))
         out = [pa.array(c, type=pa.int64()) for c in zip(*numbers)] if numbers else [pa.array([], type=pa.int64())] * 3
         return pa.table([docs["doc_id"], docs["n_a"], docs["n_b"], docs["n_groups"], *out, docs["groups_sha256"]],

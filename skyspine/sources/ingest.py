@@ -325,7 +325,7 @@ def ingest_airports(spark: SparkSession, landing: str, root: str) -> DataFrame:
         stored(root, name).replace(keyed(rows, S.KEYS[name]))
     jets = jet_capable(Tables.of(**{name: rows for name, (rows, _) in loads.items()})).first()[0]
     reports = [observed_report(spark, name, seen) for name, (_, seen) in loads.items()]
-    return reports[0].withColumn("jet_capable_4000ft", F.lit(jets)).unionByName(reports[1], allowMissingColumns=True)
+    return reports[0].withColumn("jet_capable_4000ft", F.lit(jets).cast("bigint")).unionByName(reports[1], allowMissingColumns=True)
 
 
 def ingest_airport_detail(spark: SparkSession, landing: str, root: str) -> DataFrame:

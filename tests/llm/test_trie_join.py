@@ -8,13 +8,13 @@ import pytest
 from skyspine.llm import trie_join as tj
 
 
-def grams(text):
+def grams(text, size=3):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(words[i:i + 3]) for i in range(len(words) - 2)} if len(words) >= 3 else {tuple(words)} if words else set()
+    return {tuple(words[i:i + size]) for i in range(len(words) - size + 1)} if len(words) >= size else {tuple(words)} if words else set()
 
 
-def brute(rows, percent=90):
-    sets = [grams(t) for _, t in rows]
+def brute(rows, percent=90, size=3):
+    sets = [grams(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -170,3 +170,12 @@ def test_the_list_of_frequent_ngrams_is_bounded(spark, monkeypatch):
     assert len(tokens) == 21 and 70_000 in counts.tolist()
     tokens, counts = tj.frequent_tokens(spark.createDataFrame([], "token LONG, n LONG"))
     assert len(tokens) == len(counts) == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_five_words_and_eighty_percent(documents, seed):
+    """The setting of the pipeline's stage, on edited copies around that similarity."""
+    rows = near_copies(seed)
+    found = got(tj.join(documents(rows), size=5, percent=80).select("doc_id", "n_shingles", "component_id"))
+    assert found == brute(rows, 80, 5)
+    assert {d for d, _, c in found if d != c} > {d for d, _, c in brute(rows, 90, 5) if d != c}

@@ -5,6 +5,7 @@ import zipfile
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from skyspine import schemas as S
 from skyspine.operators import keys as K
@@ -364,3 +365,79 @@ def test_ingests_from_the_publishers_archives(spark, folder):
     with pytest.raises(ingest.BrokenArchive):
         ingest.ingest_registry(spark, folder + "/y/broken.zip", packed)
     assert ingest.stored(packed, "faa_registry").read(spark).count() == 2
+
+
+def test_only_title_like_lines_look_for_their_file(spark, folder):
+    """The banner and header are dropped at the head of each file and kept elsewhere; no other line is joined, each is parsed once."""
+    titles = "UPDATED,today\nNAME,CODE\n"
+    os.makedirs(folder + "/many")
+    for i in range(3):
+        write(folder, f"many/{i}.csv", f"{titles if i < 2 else ''}a{i},1\nb{i},2\nNAME,CODE\nUPDATED,today\n")
+    df = X.read_banner_table(spark, folder + "/many")
+    want = [x for i in range(3) for x in ((f"a{i}", "1"), (f"b{i}", "2"), ("NAME", "CODE"), ("UPDATED", "today"))]
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < text.index("Union") < text.index("Join") and text.count("from_csv(") == text.count("Generate explode(array(from_csv(") > 0
+
+
+def test_member_lines_are_not_moved(spark, folder):
+    """No join over the lines of archives, each line parsed once; an archive broken inside is left out whole."""
+    os.makedirs(folder + "/zz")
+    for name, head in (("a", "K,V"), ("b", "V,K"), ("torn", "K,V")):
+        with zipfile.ZipFile(f"{folder}/zz/{name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("t.csv", "\n".join([head, *(f"{name}{i},{name}{i}" for i in range(60000))]))
+    with open(f"{folder}/zz/torn.zip", "r+b") as f:
+        f.seek(os.path.getsize(f"{folder}/zz/torn.zip") // 2)
+        f.write(b"\xff" * 64)
+    members = archive.read_zip_members(spark, folder + "/zz", ".csv")
+    table = archive.member_table(members, ["K", "V"])
+    text = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text and text.count("from_csv(") == text.count("Generate explode(array(from_csv(") == 2
+    assert table.groupBy(F.substring("K", 1, 1).alias("k")).count().sort("k").collect() == [("a", 60000), ("b", 60000)]
+    assert [os.path.basename(r.archive) for r in archive.bad_archives(members).collect()] == ["torn.zip"]
+
+
+def test_traffic_archives_are_packed_by_many_tasks(spark):
+    from skyspine.workload import loads
+    names = [*loads.SHOWN.split(", "), *loads.MEASURES]
+    rows = spark.range(0, 400, numPartitions=4).select(*[F.col("id").cast("string").alias(n) for n in names])
+    assert spark.read.schema("content STRING").json(loads.zip_traffic(spark, rows, "zips")).count() == 4
+
+
+def test_landed_periods_are_named_by_their_folders(spark, monkeypatch):
+    """The rows of a landing are formed once; the year of rows without one has no file."""
+    from skyspine.workload import loads
+    names = [*loads.SHOWN.split(", "), *loads.MEASURES]
+    formed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            formed.add(len(b))
+            yield b
+    rows = spark.createDataFrame([(y, *["1"] * (len(names) - 1)) for y in (1996, 1997, None)], ", ".join(
+        f"{n} {'BIGINT' if n == 'year' else 'STRING'}" for n in names))
+    files = loads.land_traffic(spark, rows.mapInPandas(counted, rows.schema), "traffic")
+    assert sorted(files) == ["1996", "1997", "None"] and formed.value == 3
+    assert [tuple(r)[0] for r in ingest.load_periods(spark, files)[1].where("status = 'skipped'").collect()] == ["None"]
+
+
+def test_repeated_rows_land_in_one_file_of_many(spark, folder):
+    from skyspine.workload import loads
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        loads.land_twice(spark.range(1000), folder + "/twice")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = spark.read.parquet(folder + "/twice").withColumn("file", F.input_file_name())
+    assert rows.select("file").distinct().count() > 1
+    assert rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file").alias("f")).where("n <> 2 OR f <> 1").count() == 0
+
+
+def test_children_are_counted_before_parents_are_looked_up(spark):
+    """Neither side of the search for orphans holds a key twice, and only keys and counts meet."""
+    parent = spark.createDataFrame([("a",), ("a",), (None,)], "id STRING")
+    child = spark.createDataFrame([(1, "z"), (2, "z"), (3, "a"), (4, None)], "n INT, p STRING")
+    rows = K.check_keys(child, ["n"], parent, {"p": "id"})
+    assert [tuple(r) for r in rows.collect()] == [("no parent p", "z", 2)]
+    below = rows._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[1]
+    assert below.count("Aggregate [p") == 2

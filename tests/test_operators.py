@@ -234,3 +234,19 @@ def test_stored_logs_open_the_newest_days(spark, folder):
     joblog.append_log(logs.limit(3).withColumn("ts", F.lit(None).cast("timestamp")), folder + "/logs")
     untimed = joblog.search_stored_logs(spark, folder + "/logs", 2)
     assert [r.ts for r in untimed.collect()] == [None, None]
+
+
+def test_route_report_moves_the_sections_once(spark):
+    """Rows are exchanged when they are reduced and when the sections are formed, not once more for the distinct months."""
+    from decimal import Decimal
+    route = ("C", "Carrier", "AAA", "A, X", "S1", "BBB", "B, Y", "S2")
+    rows = [(y, m, *route, kind, "1", 1, 2, 3, 4, "x") for y, m in ((2020, 1), (2020, 1), (2020, 2), (2021, 1), (2021, None), (None, None), (None, None))
+            for kind in ("10", "11")]
+    ddl = ("year BIGINT, month BIGINT, unique_carrier STRING, carrier_name STRING, origin STRING, origin_city STRING, origin_state STRING, dest STRING, "
+           "dest_city STRING, dest_state STRING, aircraft_type STRING, aircraft_config STRING, departures INT, seats INT, passengers INT, "
+           "distance DECIMAL(18,2), class_desc STRING")
+    report = traffic.route_report(spark.createDataFrame([(*r[:15], Decimal(r[15]), r[16]) for r in rows], ddl))
+    got = report.collect()
+    assert sorted((r.section, r.months, r.departures) for r in got if r.section != "month") == [("aircraft", None, 7), ("aircraft", None, 7), ("summary", 5, 14)]
+    assert sum(r.section == "month" for r in got) == 5
+    assert report._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2

@@ -80,7 +80,8 @@ def photo_backlog(t: Tables, limit: int | None = None) -> DataFrame:
 def aircraft_profile(t: Tables) -> DataFrame:
     """Everything known about each tail: one row per tail and certificate, or one for a tail without any.
 
-    A tail is listed when it is registered or on a certificate.
+    A tail is listed when it is registered or on a certificate. Photos meet the registrations first: what a full outer join gives moves
+    once more for the next join, and registrations with photos are fewer than certificates with both.
     """
     reference = t.aircraft_ref.select(
         F.col("code").alias("mfr_mdl_code"), "manufacturer", "model", "aircraft_type", "engine_type", "category",
@@ -91,7 +92,8 @@ def aircraft_profile(t: Tables) -> DataFrame:
             .join(t.operators.select("certificate_designator", "operator_name", "fsdo"), "certificate_designator"))
     photos = t.aircraft_photos.where("has_photo").select("n_number", "local_path", "page_link", "photographer")
     # A tail has one registration and one photo, so the only rows that repeat it are its certificates.
-    return (held.join(registry, "n_number", "full_outer").join(photos, "n_number", "left")
+    known = registry.join(photos, "n_number", "full_outer")
+    return (held.join(known, "n_number", "full_outer").where(F.col("registered") | F.col("certificate_designator").isNotNull())
             .withColumn("registered", F.coalesce("registered", F.lit(False))))
 
 

@@ -197,6 +197,28 @@ def test_profiles_hold_every_tail(spark):
                    ("N9", "A", False, "None", "None"), ("None", "A", False, "None", "None")]
 
 
+def test_profiles_move_once_for_the_last_join(files, no_broadcast):
+    joins = re.findall(r"SortMergeJoin .*(FullOuter|LeftOuter|Inner)", plan(spine.aircraft_profile(files)))
+    assert joins[0] == "FullOuter" and joins.count("FullOuter") == 2
+
+
+def test_profiles_repeat_with_their_rows_and_photos(spark):
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    t = Tables.of(
+        aircraft_ref=make([("C1", "LEAR JET", "35", "a", "e", "Jet", "2", "8")], "code STRING, manufacturer STRING, model STRING, aircraft_type STRING, engine_type STRING, category STRING, num_engines STRING, num_seats STRING"),
+        faa_registry=make([(n, "C1", "BIG OWNER LLC", "PORT", "TX", "V", "3", "2001", "A1") for n in ("N1", "N1", "N4", None)], "n_number STRING, mfr_mdl_code STRING, registrant_name STRING, "
+                          "city STRING, state STRING, status_code STRING, registrant_type STRING, year_mfr STRING, mode_s_hex STRING"),
+        part135_aircraft=make([("N1", "A", "s", "m"), ("N9", "A", "s", "m"), (None, "A", "s", "m")], "n_number STRING, certificate_designator STRING, serial_number STRING, make_model_series STRING"),
+        operators=make([("A", "Alpha", "f")], "certificate_designator STRING, operator_name STRING, fsdo STRING"),
+        aircraft_photos=make([(n, True, p, "l", "x") for n, p in (("N1", "p"), ("N1", "q"), ("N9", "r"), ("N8", "s"), (None, "t"))], "n_number STRING, has_photo BOOLEAN, local_path STRING, page_link STRING, photographer STRING"))
+    rows = sorted((str(r.n_number), str(r.certificate_designator), r.registered, str(r.local_path)) for r in spine.aircraft_profile(t).collect())
+    assert rows == [("N1", "A", True, "p")] * 2 + [("N1", "A", True, "q")] * 2 + [
+        ("N4", "None", True, "None"), ("N9", "A", False, "r"), ("None", "A", False, "None"), ("None", "None", True, "None")]
+    shown = [(r.n_number, r.registered, r.manufacturer, r.registered_owner, r.owner_location, r.local_path) for r in fleet.aircraft_detail(t, "n9").collect()]
+    assert shown == [("N9", False, None, None, "", "r")]
+    assert {(r.manufacturer, r.registered_owner, r.owner_location) for r in fleet.aircraft_detail(t, "n1").collect()} == {("Lear Jet", "Big Owner LLC", "Port, TX")}
+
+
 def test_the_route_report_is_one_scan(files):
     p = routes.charter_route_report(files)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"Relation \[year#", p)) == 1

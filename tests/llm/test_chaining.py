@@ -134,3 +134,37 @@ def test_odd_rows(documents):
     assert set(got) == {(5, 4), (6, 4), (8, 7)}
     assert got[8, 7]["end"] - got[8, 7]["start"] >= ch.MIN_WORDS and got[5, 4]["matched"] == 60
     assert ch.repeated(documents([])).collect() == []
+
+
+def test_going_on_beyond_a_chain_equals_a_plain_search():
+    def plain(a, b):
+        i, j, out = 0, 0, []
+        while i < len(a) and j < len(b):
+            run = 0
+            while i + run < len(a) and j + run < len(b) and a[i + run] == b[j + run]:
+                run += 1
+            out += [(i, j, run)] if run else []
+            i, j, step = i + run, j + run, None
+            for total in range(1, 2 * ch.SKIP + 1):
+                for da in range(max(0, total - ch.SKIP), min(ch.SKIP, total) + 1):
+                    p, q = i + da, j + total - da
+                    if p + ch.AGAIN <= len(a) and q + ch.AGAIN <= len(b) and list(a[p:p + ch.AGAIN]) == list(b[q:q + ch.AGAIN]):
+                        cost = (max(da, total - da), abs(2 * da - total))
+                        step = (cost, p, q) if step is None or cost < step[0] else step
+                if step is not None and total >= 2 * step[0][0]:
+                    break
+            if step is None:
+                break
+            i, j = step[1:]
+        return out
+
+    rng = np.random.default_rng(5)
+    for n in [*range(12), *range(20, 220)]:
+        a = rng.integers(0, 3 if n % 2 else 50, n).astype(np.uint32)
+        b = np.delete(a, rng.integers(0, max(n, 1), n // 12)) if n else a
+        b = np.where(rng.random(len(b)) < 0.05, 99, b).astype(np.uint32)
+        assert ch._beyond(a, b) == plain(a, b)
+        assert ch._beyond(a[::-1], b[::-1]) == plain(a[::-1], b[::-1])
+    words = np.arange(20, dtype=np.uint32)
+    assert ch._next_words(words, 3) == [words[k:k + ch.AGAIN].tobytes() for k in range(3, 3 + ch.SKIP + 1)]
+    assert len(ch._next_words(words, 15)) == 2 and ch._next_words(words, 20) == []

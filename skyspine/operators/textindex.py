@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from skyspine.functions import fixed_values as V
 from skyspine.functions.stem import english_stem, may_have_stem
 from skyspine.functions.text import tokens
+from skyspine.session import scratch
 
 INDEX_BUCKETS = 256
 #: Folders of the word and stem tables, which are as small as a vocabulary.
@@ -62,12 +63,27 @@ class WordIndex:
     stems: DataFrame
 
 
+def word_table(postings: DataFrame, key: str) -> DataFrame:
+    """(token, docs, uses) of stored postings.
+
+    They are dealt out by word and document first: a task's share of a scan holds far more of such pairs than it should group at once.
+    """
+    per_doc = postings.select("token", key).repartition("token", key).groupBy("token", key).agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("uses"))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read again, by which the planner knows their size before it joins them."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store_index(postings: DataFrame, key: str, path: str) -> WordIndex:
     """Store postings with their word table (token, docs, uses) and stem table (stem, token, docs)."""
     spark = postings.sparkSession
     write_text_index(postings, f"{path}/postings")
-    per_doc = read_text_index(spark, f"{path}/postings").groupBy("token", key).agg(F.count(F.lit(1)).alias("n"))
-    words = per_doc.groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("uses"))
+    words = word_table(read_text_index(spark, f"{path}/postings"), key)
 
     def write(rows: DataFrame, by: str, name: str) -> None:
         (rows.withColumn("bucket", _bucket(F.col(by), WORD_BUCKETS)).repartition(F.col("bucket"))
@@ -211,8 +227,12 @@ def indexed_search(index: WordIndex, query: Query, key: str, docs: DataFrame | N
     wanted = sorted({w for words in terms.values() for _, w in words})
     table, by = (index.stems, "stem") if stemmed else (index.words, "token")
     forms = _of_words(table, by, wanted)
-    forms = forms.where(~F.col("token").isin(list(stop))) if stemmed else forms
-    held = {r[by]: r["docs"] for r in forms.groupBy(by).agg(F.sum("docs").alias("docs")).collect()}
+    if stemmed:
+        forms = kept(forms.where(~F.col("token").isin(list(stop))), "forms")
+    sizes = forms.groupBy(by).agg(F.sum("docs").alias("docs"), F.collect_set(_bucket(F.col("token"))).alias("buckets")).collect()
+    held = {r[by]: r["docs"] for r in sizes}
+    # Constant folders here too: what the planner pushes below the join with the words reads no other.
+    postings = postings.where(F.col("bucket").isin(sorted({b for r in sizes for b in r["buckets"]}))) if stemmed else postings
     weight = {t: min(held.get(w, 0) for _, w in words) for t, words in terms.items()}
     clauses = [c for c in clauses if all(weight[t] for t in c.all)]
     if not clauses:
@@ -230,7 +250,8 @@ def indexed_search(index: WordIndex, query: Query, key: str, docs: DataFrame | N
     if not rest or any(not c.all for c in clauses) or documents(rest) <= CUT_RATIO * documents(first):
         found = _occurrences(postings, key, terms, number, stems, stop)
     else:
-        led = _occurrences(postings, key, first, number, stems, stop)
+        # Kept, so that few candidates are known to be few and the frequent words' postings do not move to meet them.
+        led = kept(_occurrences(postings, key, first, number, stems, stop), "led")
         others = postings.join(led.select(key).distinct(), key, "left_semi")
         found = led.unionByName(_occurrences(others, key, rest, number, stems, stop))
     return _fitting(found, key, clauses, number, docs)

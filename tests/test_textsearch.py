@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from skyspine.operators.mail import mail_list
 from skyspine.operators.textindex import (Clause, Query, build_text_index, indexed_search, open_index, scan_search, store_index,
-                                           text_search, vocabulary)
+                                           text_search, vocabulary, word_table)
 
 WORDS = ["alpha", "beta", "gamma", "delta", "flights", "flight", "flying", "flown", "the", "of", "Nice", "licensed", "license"]
 QUERIES = [
@@ -89,3 +90,19 @@ def test_scan_has_no_exchange_and_splits_once(spark):
 def test_open_again(spark, docs, folder):
     store_index(build_text_index(docs, "id", F.col("text")), "id", folder + "/i")
     assert ids(indexed_search(open_index(spark, folder + "/i"), Query((Clause(("rare",)),)), "id")) == list(range(0, 400, 40))
+
+
+def test_words_and_documents_are_dealt_out_before_they_are_grouped(index):
+    below = plan(word_table(index.postings, "id")).split("FileScan")[0]
+    first = below.rindex("HashAggregate")
+    assert "Exchange hashpartitioning(token" in below[first:]
+
+
+def test_few_candidates_move_no_postings(spark, index):
+    """Candidates and found messages have a known size before they are joined, so neither postings nor messages are shuffled to meet them."""
+    p = plan(indexed_search(index, Query((Clause(("alpha", "rare")),)), "id", stemmed=True))
+    assert "SortMergeJoin" not in p and p.count("LeftSemi, BuildRight") == 1
+    emails = spark.range(400).selectExpr("cast(id as int) id", "'m' mailbox", "'a' from_addr", "'n' from_name", "'s' subject", "'t' snippet",
+                                         "'b' body", "timestamp '2024-01-01' internal_ts")
+    shown = mail_list(emails, Query((Clause(("alpha", "rare")),)), index=index)
+    assert ids(shown) == list(range(0, 400, 40)) and "Exchange hashpartitioning" not in plan(shown)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skyspine.operators import upsert as U
+from skyspine.operators.keys import KeyViolation
+from skyspine.session import shared_dir
 from skyspine.sources.store import StoredTable
 from skyspine.streaming.upsert_stream import stream_upsert
 
@@ -181,3 +183,23 @@ def test_photo_failures_are_not_stored(spark):
                                "n_number STRING, has_photo BOOLEAN, fetched_ok BOOLEAN")
     kept = U.photo_results(df, F.lit("2024-01-01").cast("timestamp"))
     assert sorted(r.n_number for r in kept.collect()) == ["N1", "N2"] and "fetched_ok" not in kept.columns
+
+
+def test_a_kept_batch_moves_once(spark, folder):
+    """A batch that stands in the shared folder is not staged again; its rows meet the table where the first of each key was chosen."""
+    t = table(folder, buckets=4)
+    t.upsert(frame(spark, BASE), ["measure"], ["id"])
+    path = folder + "/kept"
+    spark.createDataFrame([*DELTA, (30, "late", -1)], SCHEMA).write.parquet(path)
+    before = set(os.listdir(shared_dir(spark) + "/skyspine"))
+    t.upsert(spark.read.schema(SCHEMA).parquet(path), ["measure"], [F.col("measure").desc()], kept=True)
+    assert rows(t.read(spark)) == expected() and set(os.listdir(shared_dir(spark) + "/skyspine")) == before
+    frame(spark, [(None, "x", 1)]).write.parquet(path + "2")
+    with pytest.raises(KeyViolation):
+        t.upsert(spark.read.schema(SCHEMA).parquet(path + "2"), ["measure"], ["id"], kept=True)
+    assert rows(t.read(spark)) == expected()
+
+
+def test_nothing_is_joined_with_an_empty_table(spark, folder):
+    merged = U.upsert_partial(table(folder).read(spark), frame(spark, BASE), ["id"], ["measure"])
+    assert rows(merged) == BASE and "Join" not in merged._jdf.queryExecution().optimizedPlan().toString()

@@ -54,18 +54,25 @@ def word_hashes(texts: common.Texts) -> tuple[np.ndarray, np.ndarray]:
     return texts.hashes(begins, ends), first
 
 
+def _over(limit: np.ufunc, values: np.ndarray, window: int) -> np.ndarray:
+    """The least or greatest of every ``window`` values in a row, from those of 2, 4, 8, ... in a row."""
+    width = 1
+    while 2 * width <= window:
+        values, width = limit(values[:-width], values[width:]), 2 * width
+    rest = window - width
+    return limit(values[:-rest], values[rest:]) if rest else values
+
+
 def sparse(hashes: np.ndarray, window: int = W) -> np.ndarray:
     """Places of the hashes that are the least of some window; all least ones of fewer hashes than a window."""
     n = len(hashes)
     if n <= window:
         return np.flatnonzero(hashes == hashes.min()) if n else np.zeros(0, dtype=np.int64)
-    least = hashes[:n - window + 1].copy()
-    for d in range(1, window):
-        np.minimum(least, hashes[d:n - window + 1 + d], out=least)
-    chosen = np.zeros(n, dtype=bool)
-    for d in range(window):
-        chosen[d:n - window + 1 + d] |= least == hashes[d:n - window + 1 + d]
-    return np.flatnonzero(chosen)
+    least = _over(np.minimum, hashes, window)
+    # No hash is below the least of a window that holds it, so it is equal to one of them where it is equal to the greatest of them.
+    around = np.full(n + window - 1, least.min(), dtype=hashes.dtype)
+    around[window - 1:n] = least
+    return np.flatnonzero(hashes == _over(np.maximum, around, window))
 
 
 def _seeds(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -100,10 +107,20 @@ def _ranked(words: np.ndarray) -> np.ndarray:
     return np.stack([places, np.unique(grams[places], return_inverse=True)[1]]).astype(np.int32)
 
 
+def _lists(column: pa.Array, *fields: str) -> Iterator:
+    """The lists of a column of numbers as arrays; of structs, one array a field."""
+    first = column.offsets.to_numpy()
+    held = [column.values.field(f) for f in fields] if fields else [column.values]
+    held = [h.to_numpy(zero_copy_only=False) for h in held]
+    for begin, end in zip(first[:-1], first[1:]):
+        yield [h[begin:end] for h in held] if fields else held[0][begin:end]
+
+
 def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Of rows (doc, words, seeds, shared places, passages), the windows whose seeds all stand in other documents too."""
     parts = []
-    for doc, words, seeds, shared, found in zip(*(c.to_pylist() for c in batch.columns)):
+    doc_ids, texts, ranked, places_shared, passages_found = batch.columns
+    for doc, words, seeds, shared, found in zip(doc_ids.to_pylist(), texts.to_pylist(), ranked.to_pylist(), _lists(places_shared), passages_found.to_pylist()):
         words = np.frombuffer(words, dtype=np.uint32).astype(np.uint64)
         windows = common.window_hashes(words, MIN_WORDS)
         if not len(windows):
@@ -114,7 +131,7 @@ def _windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         # the least hash of every W is a seed, wherever the text goes on beyond them
         rank = np.full(len(words) - K + 1, len(places), dtype=np.int32)
         rank[places] = ranks
-        least = np.lib.stride_tricks.sliding_window_view(rank, W).min(axis=1)
+        least = _over(np.minimum, rank, W)
         alone = np.concatenate([[0], np.cumsum(~several[least])])
         keep = np.flatnonzero(alone[INSIDE:] == alone[:-INSIDE])
         if not len(keep):
@@ -322,9 +339,11 @@ def passages(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int]) -> list[t
 def _align_rows(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         rows = []
-        for doc, source, at, words, source_words in zip(*(c.to_pylist() for c in batch.columns)):
-            at = sorted((m["pos"], m["there"]) for m in at)
-            found = passages(np.frombuffer(words, dtype=np.uint32), np.frombuffer(source_words, dtype=np.uint32), [p for p, _ in at], [q for _, q in at])
+        docs, sources, at, texts, source_texts = batch.columns
+        for doc, source, (pos, there), words, source_words in zip(docs.to_pylist(), sources.to_pylist(), _lists(at, "pos", "there"),
+                                                                  texts.to_pylist(), source_texts.to_pylist()):
+            order = np.lexsort((there, pos))
+            found = passages(np.frombuffer(words, dtype=np.uint32), np.frombuffer(source_words, dtype=np.uint32), pos[order].tolist(), there[order].tolist())
             rows += [(doc, s, e, source, u, v, same, identity) for s, e, u, v, same, identity in found]
         if rows:
             yield common.record(PASSAGES, *zip(*rows))

@@ -51,6 +51,25 @@ def test_seeds_hit_every_long_enough_run():
     assert len(ch.sparse(many)) < 0.17 * len(many)
 
 
+def test_seeds_are_the_least_of_their_windows():
+    rng = np.random.default_rng(3)
+    for _ in range(500):
+        n, window = int(rng.integers(1, 60)), int(rng.integers(1, 20))
+        hashes = rng.integers(0, rng.choice([1, 3, 9, 2 ** 63]), n).astype(np.uint64)
+        starts = range(max(1, n - window + 1))
+        want = {k for i in starts for k in range(i, min(n, i + window)) if hashes[k] == hashes[i:i + window].min()}
+        assert ch.sparse(hashes, window).tolist() == sorted(want)
+        if n >= window:
+            assert ch._over(np.minimum, hashes, window).tolist() == [int(hashes[i:i + window].min()) for i in starts]
+
+
+def test_lists_are_read_as_arrays():
+    import pyarrow as pa
+    pairs = pa.array([[{"pos": 9, "there": 9}], [{"pos": 4, "there": 1}, {"pos": 2, "there": 7}], []], pa.list_(pa.struct([("pos", pa.int32()), ("there", pa.int32())])))
+    assert [[p.tolist(), q.tolist()] for p, q in ch._lists(pairs.slice(1), "pos", "there")] == [[[4, 2], [1, 7]], [[], []]]
+    assert [a.tolist() for a in ch._lists(pa.array([[1], [2, 3], []], pa.list_(pa.int32())).slice(1))] == [[2, 3], []]
+
+
 @pytest.mark.parametrize("rate", [0.0, 0.04, 0.1])
 def test_planted_passages_are_found_where_they_are(documents, rate):
     rng = random.Random(int(rate * 100))

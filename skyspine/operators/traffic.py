@@ -79,28 +79,29 @@ def route_monthly(routes: DataFrame) -> DataFrame:
 def route_report(routes: DataFrame) -> DataFrame:
     """Summary, months and aircraft of every route from one pass, told apart by ``section``.
 
-    Rows are reduced once to carrier, route, labels, period and aircraft type; three grouping sets over those few rows give the
-    sections. Columns that a section lacks are NULL; the labels of the summary are those of the newest period. The periods of a route
-    are few, so they are counted as a set beside the sums; a distinct count would move all rows of the three sections once more.
+    Rows are reduced once to carrier, route, labels, period and aircraft type. Those few rows, bounded for a route, are moved to
+    their route and listed there once for each section, so that the three sections are formed in place. Columns that a section lacks
+    are NULL; the labels of the summary are those of the newest period.
     """
     labels = ["carrier_name", "origin_city", "origin_state", "dest_city", "dest_state"]
     route = ["unique_carrier", "origin", "dest"]
     reduced = routes.groupBy(*ROUTE_KEYS, "year", "month", "aircraft_type").agg(
         *[F.sum(c).alias(c) for c in ("departures", "passengers", "seats")], F.max("distance").alias("distance"))
-    reduced = reduced.withColumn("_period", F.struct("year", "month")).withColumn("_labels", F.struct("year", "month", *labels))
-    columns = [F.col(c) for c in route]
-    sets = [columns, [*columns, F.col("year"), F.col("month")], [*columns, F.col("aircraft_type")]]
-    sums = reduced.groupingSets(sets, *route, "year", "month", "aircraft_type").agg(
+    listed = reduced.repartition(*route).withColumn("section", F.explode(F.array(*[F.lit(s) for s in ("summary", "month", "aircraft")])))
+    summary, month, aircraft = (F.col("section") == s for s in ("summary", "month", "aircraft"))
+    # What a section does not show is left out before its sums are formed.
+    listed = listed.select(
+        *route, "section", *[F.when(month, F.col(c)).alias(c) for c in ("year", "month")],
+        F.when(aircraft, F.col("aircraft_type")).alias("aircraft_type"), "departures", "passengers",
+        F.when(~aircraft, F.col("seats")).alias("seats"), F.when(summary, F.col("distance")).alias("distance"),
+        F.when(summary, F.struct("year", "month")).alias("_period"), F.when(summary, F.struct("year", "month", *labels)).alias("_labels"))
+    sums = listed.groupBy(*route, "section", "year", "month", "aircraft_type").agg(
         F.sum("departures").alias("departures"), F.sum("passengers").alias("passengers"), F.sum("seats").alias("seats"), _distance(),
-        F.size(F.collect_set("_period")).cast("bigint").alias("months"), F.max("_labels").alias("_newest"),
-        F.grouping("month").alias("_no_month"), F.grouping("aircraft_type").alias("_no_type"))
-    section = F.when(F.col("_no_month") == 0, F.lit("month")).when(F.col("_no_type") == 0, F.lit("aircraft")).otherwise(F.lit("summary"))
+        F.size(F.collect_set("_period")).cast("bigint").alias("months"), F.max("_labels").alias("_newest"))
     summary = F.col("section") == "summary"
-    sums = sums.withColumn("section", section)
-    label = {c: F.when(summary, city_of(F.col(f"_newest.{c}")) if c.endswith("city") else F.col(f"_newest.{c}")).alias(c) for c in labels}
-    return sums.select("section", *route, *label.values(), "year", "month", "aircraft_type", "departures", "passengers",
-                       F.when(F.col("section") != "aircraft", F.col("seats")).alias("seats"),
-                       F.when(summary, F.col("distance")).alias("distance"), F.when(summary, F.col("months")).alias("months"))
+    label = [(city_of(F.col(f"_newest.{c}")) if c.endswith("city") else F.col(f"_newest.{c}")).alias(c) for c in labels]
+    return sums.select("section", *route, *label, "year", "month", "aircraft_type", "departures", "passengers", "seats", "distance",
+                       F.when(summary, F.col("months")).alias("months"))
 
 
 def decode_join(df: DataFrame, type_ref: DataFrame, column: str = "aircraft_type") -> DataFrame:

@@ -246,3 +246,15 @@ def test_platform_ranks_are_cut_before_the_exchange(files, t):
     text = df._jdf.queryExecution().optimizedPlan().toString()
     for first in ("n_number", "certificate_designator"):
         assert text.count(f"Relation [{first}#") <= 3
+
+
+def test_sections_of_a_route_are_formed_in_place(files, no_broadcast):
+    """Reduced rows move to their route once; they are listed by section behind that exchange, not before it."""
+    p = plan(traffic.route_report(traffic.charter_routes(files)))
+    moved = [re.sub(r"#\d+L?", "", m) for m in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", p)]
+    assert len(moved) == 2 and moved[0] == "unique_carrier, origin, dest" and "Expand" not in p
+
+
+def test_line_items_move_once_for_orders_and_customers(t, no_broadcast):
+    below = re.findall(r"Exchange hashpartitioning\(o_custkey.*\n(.*)", plan(t.v_t100))
+    assert below and not any("l_suppkey" in line for line in below)

@@ -441,3 +441,27 @@ def test_children_are_counted_before_parents_are_looked_up(spark):
     assert [tuple(r) for r in rows.collect()] == [("no parent p", "z", 2)]
     below = rows._jdf.queryExecution().optimizedPlan().toString().split("Join LeftAnti")[1]
     assert below.count("Aggregate [p") == 2
+
+
+def test_rows_of_periods_are_written_once_before_the_table(spark, folder, monkeypatch):
+    """The checked rows are the upsert's batch, and go by the number of their file."""
+    from pyspark.sql.readwriter import DataFrameWriter
+    written, original = [], DataFrameWriter.parquet
+    def parquet(self, path, *a, **k):
+        written.append((path, self._df._jdf.queryExecution().executedPlan().toString()))
+        return original(self, path, *a, **k)
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    files = {"2025-11": write(folder, "t/a.csv", traffic_csv("2025-11", [{}, {"SEATS": "99"}, {"MONTH": "011"}, {"DEST": "LAX"}]))}
+    report = [tuple(r) for r in ingest.ingest_traffic(spark, files, folder + "/tables").collect()]
+    # Keys are told apart by their text: month 11 and 011 are two rows here, of which the table holds one.
+    assert report == [("2025-11", 3, 0, "loaded", None)]
+    assert [p.startswith(folder) for p, _ in written] == [False, True] and "named_struct(file," not in written[0][1]
+    assert ingest.stored(folder + "/tables", "t100_segment", ("year", "month")).read(spark).count() == 2
+
+
+def test_landed_traffic_is_packed(spark):
+    from pathlib import Path
+    from skyspine.standins import domain_tables
+    from skyspine.workload.loads import keyed_traffic, land_traffic
+    files = land_traffic(spark, keyed_traffic(domain_tables(spark, "/root/testdata/sf0.001"), spark), "traffic")
+    assert files and all(f.name.endswith(".csv.gz") for path in files.values() for f in Path(path).glob("part-*"))

@@ -154,3 +154,20 @@ def test_no_message_ends_a_load(spark):
     rows.append(('{"parts":[' * 3000 + "]}" * 3000, "", 3000))
     got = spark.createDataFrame(rows, "doc STRING, want STRING, depth INT").select("doc", "want", "depth", mime_body(F.col("doc")).alias("body")).collect()
     assert [(r.doc[:60], r.depth, r.body) for r in got if r.doc and r.body != r.want] == []
+
+
+def test_landed_mailboxes_are_packed(spark, monkeypatch):
+    from pathlib import Path
+    from skyspine import workload
+    from skyspine.session import scratch
+    from skyspine.workload import loads
+    landed = []
+    def recorded(s, name):
+        path = scratch(s, name)
+        landed.extend([path] if name == "mail" else [])
+        return path
+    queries = workload.queries()
+    monkeypatch.setattr(loads, "scratch", recorded)
+    assert queries["ingest_mailboxes"](spark, "/root/testdata/sf0.001").count() > 0
+    files = [f.name for path in landed for f in Path(path).glob("mailbox=*/part-*")]
+    assert len(landed) == 2 and files and all(f.endswith(".txt.gz") for f in files)
